@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from transitloom.llm import best_fit, decontaminate, language, ngram_join, quality, secrets, token_counts
+from transitloom.llm import best_fit, decontaminate, language, line_dedup, ngram_join, packed_ids, quality, secrets, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_ids.packed_ids(_read(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return language.predict(docs, language.train(docs))
@@ -33,6 +37,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(_read(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents"))
 
@@ -41,5 +49,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.packed(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_ngram_jaccard_join, op4_token_counts, op5_quality_rules, op6_decontamination, op9_secret_scan, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_packed_ids, op2_language_id, op3_ngram_jaccard_join, op4_token_counts, op5_quality_rules, op6_decontamination, op8_line_dedup, op9_secret_scan, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
