@@ -25,10 +25,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from transitloom.llm._bitmap import Bitmap
 from transitloom.plans.staging import staged
 
 BUCKET_BITS = 12
-BITMAP_BITS = 1 << 22
 _LOW = (1 << (64 - BUCKET_BITS)) - 1
 
 
@@ -65,25 +65,6 @@ def lines(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
     return keyed.where("n > 0").select("doc_id", "line", "n", "sid", F.when(F.col("n") >= 4, prefix).otherwise(none).alias("prefix"))
 
 
-class Bitmap:
-    """A set of doc_ids as one array of longs; `has` may hold for others too."""
-
-    def __init__(self, ids: DataFrame, column: str = "doc_id", bits: int = BITMAP_BITS):
-        at = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits))
-        self.bits = bits
-        spark = ids.sparkSession
-        rows = ids.select((at / 64).cast("long").alias("w"), F.lit(1).cast("long").alias("one"), (at % 64).cast("int").alias("s"))
-        rows = rows.selectExpr("w", "shiftleft(one, s) as b").groupBy("w").agg(F.bit_or("b").alias("b"))
-        dense = spark.range(bits // 64).withColumnRenamed("id", "w").join(rows, "w", "left").select("w", F.coalesce("b", F.lit(0).cast("long")).alias("b"))
-        # One row of bits / 8 bytes, whatever the input.
-        self.words = staged(dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("words")), "bitmap")
-
-    def has(self, doc_id: str = "doc_id") -> Column:
-        at = F.pmod(F.xxhash64(F.col(doc_id).cast("long")), F.lit(self.bits))
-        word = F.element_at(self.words.select("words").scalar(), (at / 64).cast("int") + 1)
-        return F.coalesce(word.bitwiseAND(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(cast({doc_id} as long)), 64) as int))")) != 0, F.lit(False))
-
-
 def verified(docs: DataFrame, pairs: DataFrame, ranks: np.ndarray) -> DataFrame:
     """The pairs (y, x; with positions) that are similar, compared on whole sets."""
     need = staged(pairs.select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line")).unionByName(pairs.select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line"))).distinct(), "need")
