@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from transitloom.llm._bitmap import Bitmap
 from transitloom.llm._text import LOWER, NOT_SPACE, Text, chunks, mix, signed
 from transitloom.plans.components import components
 from transitloom.plans.staging import staged
@@ -38,7 +39,7 @@ WIDTH, PERCENT = 4, 85
 LEADER_ROUNDS = 4
 SEEDS = 3
 #: Bits of the bitmap of sets that need verification (8 MB); a full bitmap only means that more sets are kept.
-BITMAP_BITS = 1 << 26
+SET_BITS = 1 << 26
 #: Equal sets that a task remembers in order to send their signatures once.
 REMEMBERED = 1_000_000
 ROWS = 200_000
@@ -180,7 +181,7 @@ def buckets(rows: DataFrame) -> DataFrame:
 
 def kept_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """sid, n, sketch and content of the sets in `wanted` (sid), and a few others: a bitmap decides."""
-    bits = BITMAP_BITS
+    bits = SET_BITS
     at = F.pmod(F.col("sid"), F.lit(bits))
     # The bitmap has a fixed size, so its words reach the driver in a bounded number of rows.
     rows = wanted.select((at / 64).cast("long").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod(sid, {bits}), 64) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
@@ -286,3 +287,14 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, leader_
     rows = keys.join(root.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("c", F.coalesce("root", "sid"))
     least = rows.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "c", "left").select("doc_id", "n_shingles", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """`docs`, all columns kept, without the documents whose class has a smaller doc_id; of rows that repeat a doc_id
+    and its text one stays.  Rows with a null doc_id stay."""
+    found = staged(classes(docs, width, percent), "classes")
+    copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
+    repeated = found.groupBy("doc_id").count().where("doc_id is not null and count > 1").select(F.col("doc_id").alias("_copy"))
+    touched = Bitmap(copies.unionByName(repeated), "_copy")
+    some = docs.where(touched.has()).join(copies, F.col("doc_id").cast("long") == F.col("_copy"), "left_anti").dropDuplicates(["doc_id", "text"])
+    return docs.where(~touched.has()).unionByName(some)
