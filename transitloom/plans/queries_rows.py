@@ -352,9 +352,9 @@ def json_and_hash(t, spark):
     return t("events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"), F.sha2("props", 256).alias("hash"))
 
 
-@query("SELECT l_orderkey, round(l_extendedprice / 1000.0, 3) AS km, round(l_quantity * 60 / 60.0, 3) AS minutes, coalesce(nullif(trim(l_returnflag), 'N'), 'none') AS flag FROM lineitem")
+@query("SELECT l_orderkey, round(l_extendedprice / 1000.0, 5) AS km, round(l_quantity * 60 / 60.0, 3) AS minutes, coalesce(nullif(trim(l_returnflag), 'N'), 'none') AS flag FROM lineitem")
 def unit_conversions(t, spark):
-    return t("lineitem").select("l_orderkey", F.round(F.col("l_extendedprice") / 1000, 3).alias("km"), F.round(F.col("l_quantity") * 60 / 60, 3).alias("minutes"), F.coalesce(F.nullif(F.trim("l_returnflag"), F.lit("N")), F.lit("none")).alias("flag"))
+    return t("lineitem").select("l_orderkey", F.round(F.col("l_extendedprice") / 1000, 5).alias("km"), F.round(F.col("l_quantity") * 60 / 60, 3).alias("minutes"), F.coalesce(F.nullif(F.trim("l_returnflag"), F.lit("N")), F.lit("none")).alias("flag"))
 
 
 @query(
