@@ -39,7 +39,7 @@ def compile_services(calendar: DataFrame, exceptions: DataFrame, start, end, mod
 
     Dates are YYYYMMDD numbers.  `shift_months` moves all dates first, for feeds whose years are off.
     """
-    day = lambda c: F.add_months(F.try_to_date(F.col(c).cast("string"), F.lit("yyyyMMdd")), shift_months)
+    day = lambda c: F.add_months(F.try_to_date(F.col(c).cast("string"), "yyyyMMdd"), shift_months)
     lo, hi = F.lit(start), F.date_sub(F.lit(end), 1)
     mask = F.array(*[F.col(d).cast("int") for d in DAYS])
     regular = calendar.select(F.col("service_id").alias("service"), F.explode(active_dates(F.greatest(day("start_date"), lo), F.least(day("end_date"), hi), mask)).alias("date"))

@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Structured Streaming variants of link statistics, beyond the batch engine."""
