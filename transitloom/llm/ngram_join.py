@@ -10,10 +10,12 @@ empty subsets, so that no pair is lost.
 
 Equal sets are merged first.  Sets that share a signature form a bucket; equal buckets are merged.  Links within buckets
 are found by rounds: each set is compared with one leader of a bucket that isn't yet known to be in its component,
-which takes one comparison a set and round and joins large groups of near copies without all their pairs.  What
-buckets of several components then remain is compared in full: an exact lower bound on the difference from parity
-sketches rejects nearly all of those pairs, and the rest are verified on the sets themselves.  Components come from
-`plans.components`.
+which takes one comparison a set and round and joins large groups of near copies without all their pairs.  The first
+leaders are the sets that lie in most buckets, the centres of such groups.  What buckets of several components then
+remain are false candidates for the most part, because of passages that many sets hold.  Their sets are compared in
+full, but only where they share one of their rarest shingles early enough in the order of rarity for a link; an exact
+lower bound on the difference from parity sketches rejects most of those pairs, and the rest are verified on the sets
+themselves.  Components come from `plans.components`.
 
 Null and empty texts and texts without words have an empty set and are linked with nothing: their component is their
 own doc_id.  Equal rows fall into one class; rows of one doc_id with different texts are separate sets.  A null doc_id
@@ -23,7 +25,6 @@ is ignored when the smallest is taken.  Other columns are ignored.
 from __future__ import annotations
 
 import math
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,9 @@ from transitloom.plans.components import components
 from transitloom.plans.staging import staged
 
 WIDTH, PERCENT = 4, 85
-LEADER_ROUNDS = 4
+LEADER_ROUNDS = 1
 SEEDS = 3
+RARITY_BITS = 18
 #: Bits of the bitmap of sets that need verification (8 MB); a full bitmap only means that more sets are kept.
 SET_BITS = 1 << 26
 #: Equal sets that a task remembers in order to send their signatures once.
@@ -221,7 +223,52 @@ def near(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     ka, kb = F.col("k_a"), F.col("k_b")
     ka, kb = F.when(F.size(ka) > F.size(kb), half(ka)).otherwise(ka), F.when(F.size(kb) > F.size(ka), half(kb)).otherwise(kb)
     differ = F.aggregate(F.zip_with(ka, kb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    return both.where(differ * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    return both.withColumn("differ", differ).where(f"differ * {100 + percent} <= {100 - percent} * (n_a + n_b)").select("a", "b", "differ")
+
+
+def rare_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets in `labels` (sid, c), with different c, that share one of their rarest shingles so early
+    that a link is possible: it includes all links.
+
+    Rarity is counted in 2**RARITY_BITS counters.  A pair's first common shingle, at places i and j counted from 0,
+    leaves at most 1 + min(n_a - i - 1, n_b - j - 1) common ones.
+    """
+    size = 1 << RARITY_BITS
+    some = sets.where(Bitmap(labels.select("sid"), "sid").has("sid")).select("sid", "n", "content")
+
+    def tally(batches):
+        counts = np.zeros(size, np.int64)
+        for batch in batches:
+            for x in batch.column("content"):
+                counts += np.bincount((np.frombuffer(x.as_buffer(), "<u8") >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=size)
+        used = np.flatnonzero(counts)
+        yield pa.record_batch([pa.array(used), pa.array(counts[used])], names=["k", "m"])
+
+    rows = some.select("content").mapInArrow(tally, "k long, m long").groupBy("k").agg(F.sum("m").alias("m")).toPandas()
+    counts = np.zeros(size, np.int64)
+    counts[rows["k"].to_numpy(dtype=np.int64)] = rows["m"].to_numpy(dtype=np.int64)
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches):
+        counts = shared.value
+        for batch in batches:
+            out = []
+            for sid, n, x in zip(*(batch.column(k) for k in ("sid", "n", "content")), strict=True):
+                s = np.frombuffer(x.as_buffer(), "<u8")
+                m = counts[(s >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]
+                first = np.lexsort((s, m))[: (100 - percent) * len(s) // 100 + 1]
+                at = np.flatnonzero(m[first] > 1)  # a counter of 1 is a shingle that no other set has
+                if len(at):
+                    k = len(at)
+                    out.append((s[first[at]], np.full(k, sid.as_py()), np.full(k, n.as_py()), at))
+            if out:
+                token, sid, n, at = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.record_batch([pa.array(signed(token)), pa.array(sid), pa.array(n), pa.array(at)], names=["token", "sid", "n", "i"])
+
+    entries = staged(some.mapInArrow(run, "token long, sid long, n long, i long").join(labels, "sid"), "rare")
+    side = lambda x: entries.select("token", F.col("sid").alias(x), *[F.col(k).alias(f"{k}_{x}") for k in ("n", "i", "c")])
+    could = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and {100 + percent} * (1 + least(n_a - i_a, n_b - i_b) - 1) >= {percent} * (n_a + n_b)"
+    return side("a").join(side("b"), "token").where(f"a < b and c_a <> c_b and {could}").select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -236,6 +283,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(s) + len(t) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("sid"))
+    sets = sets.where(Bitmap(ids, "sid").has("sid"))
     x = sets.select(F.col("sid").alias("a"), F.col("content").alias("x"))
     y = sets.select(F.col("sid").alias("b"), F.col("content").alias("y"))
     return pairs.join(x, "a").join(y, "b").mapInArrow(run, "a long, b long")
@@ -246,35 +295,36 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, leader_ro
     members = staged(buckets(signed_rows(docs, width, percent)), "buckets")
     sets = staged(kept_sets(docs, members.select("sid").distinct(), width).dropDuplicates(["sid"]), "sets")
     known = sets.select("sid", "n", "sketch")
+    degree = members.groupBy("sid").agg(F.count("*").alias("d"))
+    members = staged(members.join(degree, "sid"), "members")
     found, root, tried = None, None, None
-    for turn in count():
+    for turn in range(leader_rounds + 1):
         here = members.withColumn("c", F.col("sid"))
         if root is not None:
-            here = members.join(root.select(F.col("node").alias("sid"), "root"), "sid", "left").select("bucket", "sid", F.coalesce("root", "sid").alias("c"))
-        rank = F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), F.col("sid").alias("leader"), F.col("c").alias("leader_c")) if turn else F.struct(F.col("sid").alias("leader"), F.col("c").alias("leader_c"))
+            here = members.join(root.select(F.col("node").alias("sid"), "root"), "sid", "left").select("bucket", "sid", "d", F.coalesce("root", "sid").alias("c"))
+        # first the sets in most buckets, then others
+        rank = F.struct(F.lit(0) if turn else -F.col("d"), F.xxhash64("sid", F.lit(turn)), F.col("sid").alias("leader"), F.col("c").alias("leader_c"))
         lead = here.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(rank).alias("l")).where("lo < hi").select("bucket", "l.leader", "l.leader_c")
-        mixed = staged(here.join(lead, "bucket"), "mixed")
+        mixed = staged(here.join(lead, "bucket").select("sid", "c", "leader", "leader_c").distinct(), "mixed")
         if mixed.isEmpty():
             break
-        last = turn >= leader_rounds
+        last = turn == leader_rounds
         if last:
-            a, b = mixed.select("bucket", F.col("sid").alias("a"), F.col("c").alias("ca")), mixed.select("bucket", F.col("sid").alias("b"), F.col("c").alias("cb"))
-            pairs = a.join(b, "bucket").where("a < b and ca <> cb").select("a", "b").distinct()
+            pairs = rare_pairs(sets, mixed.select("sid", "c").distinct(), percent)
         else:
-            pairs = mixed.where("c <> leader_c").select(F.greatest("sid", "leader").alias("b"), F.least("sid", "leader").alias("a"), F.col("sid").alias("y")).distinct()
-        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = mixed.where("c <> leader_c").select(F.greatest("sid", "leader").alias("b"), F.least("sid", "leader").alias("a"), F.col("sid").alias("y"))
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
         if last:
-            pairs = near(pairs, known, percent)
-        else:  # one comparison for each set: with the smallest of its leaders that may be similar
+            pairs = near(pairs, known, percent).select("a", "b")
+        else:  # one comparison for each set: with the leader whose sketch is nearest, if near enough
             ok = near(pairs.select("a", "b").distinct(), known, percent)
-            pairs = pairs.join(ok, ["a", "b"]).groupBy("y").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b").distinct()
+            pairs = pairs.join(ok, ["a", "b"]).groupBy("y").agg(F.min(F.struct("differ", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
         pairs = staged(pairs, "pairs")
         good = staged(verified(pairs, sets, percent), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = good if found is None else found.unionByName(good)
         root = staged(components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
-        if last:
-            break
     if root is None:
         return docs.sparkSession.createDataFrame([], "node long, root long")
     return root
