@@ -43,8 +43,9 @@ def timetable_pairs(events: DataFrame, trip: str, order: Sequence[str], station:
 
     One shuffle by trip numbers the stops; the self-join reuses that partitioning.
     """
-    w = Window.partitionBy(trip).orderBy(*order)
-    stops = events.select(F.col(trip).alias("trip"), F.col(station).alias("stn"), F.col(arr).alias("arr"), F.col(dep).alias("dep"), F.row_number().over(w).alias("pos"))
+    # the number comes before any renaming, so that the window's partitioning by trip serves the join as well
+    numbered = events.withColumn("pos", F.row_number().over(Window.partitionBy(trip).orderBy(*order)))
+    stops = numbered.select(F.col(trip).alias("trip"), F.col(station).alias("stn"), F.col(arr).alias("arr"), F.col(dep).alias("dep"), "pos")
     a = stops.select("trip", F.col("stn").alias("src"), "dep", F.col("pos").alias("i"))
     b = stops.select("trip", F.col("stn").alias("trg"), "arr", F.col("pos").alias("j"))
     pairs = a.join(b, "trip").where("i < j")
