@@ -153,6 +153,13 @@ def test_spans_are_cut(spark):
     assert decontaminate.clean_documents(docs, items.limit(0)).count() == 1
 
 
+def test_several_blocks_remove_the_same_documents(spark, odd):
+    items = spark.createDataFrame([x for x in ITEMS if x[0] != 5], "item_id long, text string")
+    one = decontaminate.clean_documents(odd.where("doc_id is not null"), items)
+    many = decontaminate.clean_documents(odd.where("doc_id is not null"), items, block_windows=4)
+    assert one.columns == many.columns and sorted(r["doc_id"] for r in one.collect()) == sorted(r["doc_id"] for r in many.collect())
+
+
 ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 

@@ -141,11 +141,15 @@ def _by_block(docs: DataFrame, blocks: list[Windows], percent: int) -> DataFrame
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = 5, spans: bool = False, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """`docs` without contaminated documents or, with `spans`, with hit words cut out of their texts; all columns stay.
 
-    The benchmark must fit one block here; use `contamination` and a join beyond that.
+    A benchmark of several blocks is scanned block by block, and contaminated doc_ids are joined away; spans are cut
+    for a benchmark of one block only.
     """
     blocks = _blocks(benchmark, width, block_windows)
     if len(blocks) > 1:
-        raise ValueError("more than one block of windows: join with contamination() instead")
+        if spans:
+            raise ValueError("spans can be cut for one block of windows only")
+        bad = _by_block(docs, blocks, percent).where("contaminated and doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct()
+        return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
     shared = docs.sparkSession.sparkContext.broadcast(blocks[0])
 
     def run(batches):
