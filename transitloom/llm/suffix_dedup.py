@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from transitloom.llm._bitmap import Bitmap
 from transitloom.llm._text import _BYTE, Sums, Text, chunks, mix, signed
-from transitloom.plans.staging import staged
+from transitloom.plans.staging import discard, staged
 
 LENGTH, GRAM, SHALLOW, GROUP = 100, 32, 16, 4096
 SEGMENT = 1 << 20
@@ -372,21 +372,22 @@ def window_matches(dealt: DataFrame) -> DataFrame:
 # --- results -----------------------------------------------------------------------------------------------------
 
 
-def removed_ranges(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """(doc_id, start, n): ranges of removed bytes, which may overlap."""
+def removed_ranges(docs: DataFrame, group: int = GROUP) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc_id, start, n): ranges of removed bytes, which may overlap; and the staged tables that it reads."""
     found = staged(compared(context_rows(docs)), "found")
     matches = staged(window_matches(with_bytes(docs, found.where("kind = 1"), group)), "matches")
     rows = matches.where("kind = 2")
     first = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("c")).where("c > 1")
     later = rows.join(first, ["h1", "h2"]).where(F.struct("doc_id", "start") != F.col("first"))
     columns = ["doc_id", "start", "n"]
-    return found.where("kind = 0").select(*columns).unionByName(matches.where("kind = 0").select(*columns)).unionByName(later.select(*columns))
+    return found.where("kind = 0").select(*columns).unionByName(matches.where("kind = 0").select(*columns)).unionByName(later.select(*columns)), [found, matches]
 
 
 def _with_ranges(docs: DataFrame, group: int) -> DataFrame:
     """`docs` (doc_id, text first) with `gone`, an array of removed ranges, or null."""
-    gone = removed_ranges(docs, group).groupBy(F.col("doc_id").alias("_gone_doc")).agg(F.collect_list(F.struct("start", "n")).alias("gone"))
-    gone = staged(gone, "gone")
+    ranges, read = removed_ranges(docs, group)
+    gone = staged(ranges.groupBy(F.col("doc_id").alias("_gone_doc")).agg(F.collect_list(F.struct("start", "n")).alias("gone")), "gone")
+    discard(*read)
     touched = Bitmap(gone.select("_gone_doc"), "_gone_doc")
     some = docs.where(touched.has()).join(gone, F.col("doc_id").cast("long") == F.col("_gone_doc"), "left").drop("_gone_doc")
     return docs.where(~touched.has()).withColumn("gone", F.lit(None).cast("array<struct<start:long,n:long>>")).unionByName(some)
