@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transitloom.plans.staging import staged
+from transitloom.plans.staging import discard, staged
 
 #: Edges that one task holds at a time.
 PART_EDGES = 500_000
@@ -82,15 +82,19 @@ def components(edges: DataFrame, rounds: int = 60, part_edges: int = PART_EDGES)
     e, was = staged(oriented, "edges"), None
     for _ in range(rounds):
         parts = max(1, -(-e.count() // part_edges))
+        before = e
         e = staged(_stars(e.coalesce(parts), part_edges), "stars")
+        discard(before)
         if parts == 1 and was is None:
             break
+        stars = e
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        discard(stars)
         now = _fingerprint(e)
         if now == was:
             break
