@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from transitloom.llm._bitmap import Bitmap
 from transitloom.llm._text import LOWER, NOT_SPACE, Text, chunks, mix, signed
 from transitloom.plans.components import components
-from transitloom.plans.staging import staged
+from transitloom.plans.staging import discard, staged
 
 WIDTH, PERCENT = 4, 85
 LEADER_ROUNDS = 1
@@ -296,7 +296,9 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, leader_ro
     sets = staged(kept_sets(docs, members.select("sid").distinct(), width).dropDuplicates(["sid"]), "sets")
     known = sets.select("sid", "n", "sketch")
     degree = members.groupBy("sid").agg(F.count("*").alias("d"))
+    first = members
     members = staged(members.join(degree, "sid"), "members")
+    discard(first)
     found, root, tried = None, None, None
     for turn in range(leader_rounds + 1):
         here = members.withColumn("c", F.col("sid"))
@@ -325,6 +327,8 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, leader_ro
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = good if found is None else found.unionByName(good)
         root = staged(components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
+        discard(mixed)
+    discard(members, sets)
     if root is None:
         return docs.sparkSession.createDataFrame([], "node long, root long")
     return root
