@@ -6,8 +6,9 @@ earlier line of any document, as given in the input, has a Jaccard similarity of
 Words become 64-bit hashes whose first bits are replaced by the rarity rank of their bucket, over counts of all words
 of the corpus, so that sorting a set puts rare words first; the replacement is one to one.  Equal sets are found by
 their hash and keep their first position.  Two sets with a similarity of 4/5 share one of the first n / 5 + 1 words of
-each (prefix filter); sizes must be within 4/5 (length filter), and the places of the shared word must leave room for
-enough common words (positional filter).  Each set is first compared with the earliest set of its size class that
+each (prefix filter); sizes must be within 4/5 (length filter), and the first shared word must leave enough words after it
+in both (positional filter).  Two parity sketches of 64 bits, which never differ more than the sets do, reject most other
+pairs.  Each set is first compared with the earliest set of its size class that
 shares a prefix word, which settles members of large groups with one comparison; only sets that stay unmatched are
 compared with all their other candidates.  Similarities are verified on whole sets.
 
@@ -26,9 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from transitloom.llm._bitmap import Bitmap
-from transitloom.plans.staging import staged
+from transitloom.plans.staging import discard, staged
 
-BUCKET_BITS = 12
+BUCKET_BITS = 16
 _LOW = (1 << (64 - BUCKET_BITS)) - 1
 
 
@@ -37,11 +38,11 @@ def _bucket(h: Column) -> Column:
 
 
 def word_ranks(docs: DataFrame) -> np.ndarray:
-    """Rank of each bucket of words by its count in the corpus, rarest first, less half the number of buckets."""
+    """The rank of each bucket of words by its count in the corpus, rarest first, less half their number."""
     words = docs.select(F.explode(F.split(F.translate("text", "\n", " "), " ")).alias("w")).where("w <> ''")
+    rows = words.select(_bucket(F.xxhash64("w")).alias("b")).groupBy("b").count().toPandas()  # one row a bucket
     counts = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
-    for b, n in words.select(_bucket(F.xxhash64("w")).alias("b")).groupBy("b").count().collect():  # one row a bucket
-        counts[b] = n
+    counts[rows["b"].to_numpy(dtype=np.int64)] = rows["count"].to_numpy(dtype=np.int64)
     ranks = np.empty(len(counts), dtype=np.int64)
     ranks[np.argsort(counts, kind="stable")] = np.arange(len(counts)) - len(counts) // 2
     return ranks
@@ -50,67 +51,119 @@ def word_ranks(docs: DataFrame) -> np.ndarray:
 def sorted_words(line: Column, ranks: np.ndarray) -> Column:
     """The line's distinct words as longs, rarest first."""
     table = F.lit(ranks)
-    hashes = F.transform(F.array_distinct(F.array_remove(F.split(line, " "), "")), lambda w: F.xxhash64(w))
+    hashes = F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)))
     keys = F.transform(hashes, lambda h: F.shiftleft(F.element_at(table, _bucket(h) + 1), 64 - BUCKET_BITS).bitwiseOR(h.bitwiseAND(F.lit(_LOW))))
     return F.sort_array(keys)
 
 
+def _sketch(skip: int) -> Column:
+    """Parities of the numbers of keys in 64 classes, by six bits of each key."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, skip).bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate("keys", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
+
+
 def lines(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """doc_id, line, n (words), sid (hash of the set) and prefix (32 bits of each prefix word) of every line."""
-    every = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    keyed = every.select("doc_id", "line", sorted_words(F.col("t"), ranks).alias("keys")).select("doc_id", "line", F.size("keys").alias("n"), F.xxhash64("keys").alias("sid"), "keys")
+    """doc_id, line, n (words), sid (hash of the set), sketch and sketch2 (parities of 64 classes of words each) and prefix (31 bits of
+    each prefix word) of every line."""
+    every = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).where("trim(t) <> ''")
+    keyed = every.select("doc_id", "line", sorted_words(F.col("t"), ranks).alias("keys")).select("doc_id", "line", F.size("keys").alias("n"), F.xxhash64("keys").alias("sid"), _sketch(0).alias("sketch"), _sketch(6).alias("sketch2"), "keys")
     prefix = F.transform(F.slice("keys", F.lit(1), (F.col("n") / 5).cast("int") + 1), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     none = F.array().cast("array<int>")
     # Below four words only equal sets are similar enough.
-    return keyed.where("n > 0").select("doc_id", "line", "n", "sid", F.when(F.col("n") >= 4, prefix).otherwise(none).alias("prefix"))
+    return keyed.select("doc_id", "line", "n", "sid", "sketch", "sketch2", F.when(F.col("n") >= 4, prefix).otherwise(none).alias("prefix"))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """The pairs (y, x; with positions) that are similar, compared on whole sets."""
+    """(doc_id, line) of the y in pairs (y, x) that are similar, compared on whole sets."""
     need = staged(pairs.select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line")).unionByName(pairs.select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line"))).distinct(), "need")
     by_doc = need.groupBy("doc_id").agg(F.collect_set("line").alias("wanted"))
     some = docs.select("doc_id", "text").where(Bitmap(by_doc).has()).join(by_doc, "doc_id")
     found = some.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"), "wanted").where("array_contains(wanted, line)")
     sets = staged(found.select("doc_id", "line", sorted_words(F.col("t"), ranks).alias("keys")), "sets")
-    side = lambda s: sets.select(F.col("doc_id").alias(f"{s}_doc"), F.col("line").alias(f"{s}_line"), F.col("keys").alias(f"{s}_keys"))
-    both = pairs.join(side("y"), ["y_doc", "y_line"]).join(side("x"), ["x_doc", "x_line"])
-    common = F.size(F.array_intersect("x_keys", "y_keys"))
-    return both.where(5 * common >= 4 * (F.size("x_keys") + F.size("y_keys") - common)).select("y").distinct()
+    third = sets.select("doc_id", "line", F.size("keys").alias("n"), F.filter("keys", lambda h: F.pmod(h, F.lit(3)) == 0).alias("keys"))
 
+    def both(which: DataFrame, given: DataFrame) -> DataFrame:
+        side = lambda s: given.select(*[F.col(c).alias(f"{s}_{c.replace('doc_id', 'doc')}") for c in given.columns])
+        joined = which.join(side("y"), ["y_doc", "y_line"]).join(side("x"), ["x_doc", "x_line"])
+        return joined.withColumn("common", F.size(F.array_intersect("x_keys", "y_keys")))
 
-_FILTERS = """5 * least(x_n, y_n) >= 4 * greatest(x_n, y_n)
-    and 9 * (least(x_i, y_i) + 1 + least(x_n - x_i, y_n - y_i) - 1) >= 4 * (x_n + y_n)
-    and (x_doc < y_doc or x_doc = y_doc and x_line < y_line)"""
+    # A third of the words rejects most pairs: they can't differ in more words than the sets may.
+    may = both(pairs, third).where("9 * (size(x_keys) + size(y_keys) - 2 * common) <= x_n + y_n").select(*_PAIR)
+    may = staged(may, "near")
+    found = both(may, sets).where("5 * common >= 4 * (size(x_keys) + size(y_keys) - common)").select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line")).distinct()
+    found = staged(found, "matched")
+    discard(sets, need, may)
+    return found
 
 
-def later_matches(docs: DataFrame) -> DataFrame:
-    """(doc_id, line) of every line that is removed."""
+#: A pair may be similar: sizes, the words after the first common one, parity sketches.  Sizes of BIG or more words are
+#: stored as BIG and pass.
+BIG = 65_535
+_MAY = f"""(x_n = {BIG} or y_n = {BIG} or 5 * least(x_n, y_n) >= 4 * greatest(x_n, y_n)
+    and 9 * least(x_n - x_i, y_n - y_i) >= 4 * (x_n + y_n) and 9 * bit_count(x_sketch ^ y_sketch) <= x_n + y_n
+    and 9 * bit_count(x_sketch2 ^ y_sketch2) <= x_n + y_n)"""
+_EARLIER = "(x_doc < y_doc or x_doc = y_doc and x_line < y_line)"
+_PAIR = ["y_doc", "y_line", "x_doc", "x_line"]
+
+
+def _side(entries: DataFrame, s: str) -> DataFrame:
+    """Entries with their packed numbers unpacked, columns named for one side of a pair."""
+    number = {"line": "shiftright(at, 32)", "n": f"shiftright(at, 16) & {BIG}", "i": f"at & {BIG}"}
+    return entries.select("token", F.col("doc").alias(f"{s}_doc"), *[F.expr(f"cast({e} as int)").alias(f"{s}_{k}") for k, e in number.items()], F.col("sketch").alias(f"{s}_sketch"), F.col("sketch2").alias(f"{s}_sketch2"))
+
+
+def candidates(first_lines: DataFrame) -> DataFrame:
+    """Pairs (y, x) of positions of different sets that may be similar, x earlier: with `led` the earliest set of y's
+    size class that may be, else all others that may be.
+
+    One shuffle by prefix word serves the leaders and both sides of the self-join.
+    """
     from pyspark.sql import Window
 
+    at = f"shiftleft(cast(line as long), 32) | shiftleft(cast(least(n, {BIG}) as long), 16) | cast(least(i, {BIG}) as long)"
+    entries = first_lines.select("doc_id", "line", "n", "sketch", "sketch2", F.posexplode("prefix").alias("i", "token")).selectExpr("token", "doc_id as doc", f"{at} as at", "sketch", "sketch2").repartition("token")
+    w = Window.partitionBy("token", "size_class")
+    y = _side(entries, "y").withColumn("size_class", F.floor(F.log("y_n") / float(np.log(1.25))))
+    leader = F.min(F.struct(*[F.col(f"y_{c}").alias(f"x_{c}") for c in ("doc", "line", "n", "i", "sketch", "sketch2")])).over(w)
+    led = y.withColumn("l", leader).select("token", "y_doc", "y_line", "y_n", "y_i", "y_sketch", "y_sketch2", "l.*").withColumn("led", F.expr(f"{_MAY} and {_EARLIER}"))
+    mine = led.where("led").select(*_PAIR, "led")
+    rest = led.where("not led").select("token", "y_doc", "y_line", "y_n", "y_i", "y_sketch", "y_sketch2", "led").join(_side(entries, "x"), "token").where(f"{_MAY} and {_EARLIER}").select(*_PAIR, "led")
+    return mine.unionByName(rest)
+
+
+def other_candidates(first_lines: DataFrame, open_lines: DataFrame) -> DataFrame:
+    """All pairs (y, x) that may be similar of the y in `open_lines` (doc_id, line)."""
+    own = first_lines.join(open_lines, ["doc_id", "line"], "left_semi")
+    at = f"shiftleft(cast(line as long), 32) | shiftleft(cast(least(n, {BIG}) as long), 16) | cast(least(i, {BIG}) as long)"
+    spread = lambda df: df.select("doc_id", "line", "n", "sketch", "sketch2", F.posexplode("prefix").alias("i", "token")).selectExpr("token", "doc_id as doc", f"{at} as at", "sketch", "sketch2")
+    mine = staged(spread(own), "open")
+    others = spread(first_lines).where(Bitmap(mine.select("token"), "token").has("token"))
+    return _side(mine, "y").join(_side(others, "x"), "token").where(f"{_MAY} and {_EARLIER}").select(*_PAIR).distinct()
+
+
+def later_matches(docs: DataFrame) -> DataFrame:
+    """(doc_id, line) of every line that is removed."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ranks = word_ranks(docs)
     all_lines = staged(lines(docs, ranks), "lines")
     at = F.struct("doc_id", "line")
-    first = staged(all_lines.groupBy("sid", "n").agg(F.min(at).alias("first"), F.max(at).alias("last")), "first")
+    first = all_lines.groupBy("sid", "n").agg(F.min(at).alias("first"), F.max(at).alias("last"))
     again = first.where("first <> last").select("sid", "n", "first")
-    copies = all_lines.join(again, ["sid", "n"]).where(at != F.col("first")).select("doc_id", "line")
-
-    w = Window.partitionBy("token")
-    entries = all_lines.select("sid", "n", F.posexplode("prefix").alias("i", "token"))
-    shared = entries.select("token", "sid", "n", "i", F.min("sid").over(w).alias("lo"), F.max("sid").over(w).alias("hi")).where("lo < hi").select("token", "sid", "n", "i").distinct()
-    entries = staged(shared.join(first.select("sid", "n", F.col("first.doc_id").alias("doc"), F.col("first.line").alias("line")), ["sid", "n"]), "entries")
-    side = lambda s: entries.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("n", "i", "doc", "line")], F.col("sid").alias(s))
-    y = side("y").withColumn("size_class", F.floor(F.log(F.col("y_n")) / F.lit(float(np.log(1.25)))))
-    leader = y.groupBy("token", "size_class").agg(F.min(F.struct(*[F.col(f"y_{c}").alias(f"x_{c}") for c in ("doc", "line", "n", "i")], F.col("y").alias("x"))).alias("l"))
-    columns = ["y", "y_doc", "y_line", "x_doc", "x_line"]
-    led = y.join(leader, ["token", "size_class"]).select("y", "y_n", "y_i", "y_doc", "y_line", "l.*").where(_FILTERS)
-    one = staged(led.groupBy("y", "y_doc", "y_line").agg(F.min(F.struct("x_doc", "x_line")).alias("x")).select("y", "y_doc", "y_line", "x.x_doc", "x.x_line"), "pairs")
-    matched = staged(verified(docs, one, ranks), "matched")
-    rest = side("y").join(matched, "y", "left_anti").join(side("x"), "token").where(_FILTERS).select(*columns).distinct()
-    rest = staged(rest.join(one.select(*columns), columns, "left_anti"), "pairs")
-    matched = staged(matched.unionByName(verified(docs, rest, ranks)), "matched")
-    near = first.join(matched.select(F.col("y").alias("sid")), "sid").select("first.doc_id", "first.line")
-    return staged(copies.unionByName(near).distinct(), "removed")
+    marked = all_lines.join(again, ["sid", "n"], "left")
+    copy = F.coalesce(F.col("first") != at, F.lit(False))
+    marked = staged(marked.withColumn("copy", copy).drop("first"), "marked")
+    discard(all_lines)
+    copies = marked.where("copy").select("doc_id", "line")
+    firsts = marked.where("not copy").drop("copy", "sid")
+    found = staged(candidates(firsts).distinct(), "pairs")
+    matched = verified(docs, found.select(*_PAIR), ranks)
+    still = found.where("led").select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line")).distinct().join(matched, ["doc_id", "line"], "left_anti")
+    still = staged(still, "open")
+    more = staged(other_candidates(firsts, still).join(found.select(*_PAIR), _PAIR, "left_anti"), "pairs")
+    second = verified(docs, more, ranks)
+    removed = staged(copies.unionByName(matched).unionByName(second).distinct(), "removed")
+    discard(marked, found, still, more, matched, second)
+    return removed
 
 
 def _cut(docs: DataFrame, removed: DataFrame) -> DataFrame:
