@@ -7,7 +7,7 @@ Words become 64-bit hashes whose first bits are replaced by the rarity rank of t
 of the corpus, so that sorting a set puts rare words first; the replacement is one to one.  Equal sets are found by
 their hash and keep their first position.  Two sets with a similarity of 4/5 share one of the first n / 5 + 1 words of
 each (prefix filter); sizes must be within 4/5 (length filter), and the first shared word must leave enough words after it
-in both (positional filter).  Two parity sketches of 64 bits, which never differ more than the sets do, reject most other
+in both (positional filter).  A parity sketch of 128 bits, which never differs more than the sets do, rejects most other
 pairs.  Each set is first compared with the earliest set of its size class that
 shares a prefix word, which settles members of large groups with one comparison; only sets that stay unmatched are
 compared with all their other candidates.  Similarities are verified on whole sets.
@@ -56,17 +56,17 @@ def sorted_words(line: Column, ranks: np.ndarray) -> Column:
     return F.sort_array(keys)
 
 
-def _sketch(skip: int) -> Column:
-    """Parities of the numbers of keys in 64 classes, by six bits of each key."""
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, skip).bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate("keys", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
+def _sketch(half: int) -> Column:
+    """Parities of the numbers of keys in 64 classes, by six bits, of the keys with the seventh bit `half`."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate("keys", F.lit(0).cast("long"), lambda a, h: F.when(h.bitwiseAND(F.lit(64)) == 64 * half, a.bitwiseXOR(bit(h))).otherwise(a))
 
 
 def lines(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """doc_id, line, n (words), sid (hash of the set), sketch and sketch2 (parities of 64 classes of words each) and prefix (31 bits of
+    """doc_id, line, n (words), sid (hash of the set), sketch and sketch2 (parities of 128 classes of words) and prefix (31 bits of
     each prefix word) of every line."""
     every = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).where("trim(t) <> ''")
-    keyed = every.select("doc_id", "line", sorted_words(F.col("t"), ranks).alias("keys")).select("doc_id", "line", F.size("keys").alias("n"), F.xxhash64("keys").alias("sid"), _sketch(0).alias("sketch"), _sketch(6).alias("sketch2"), "keys")
+    keyed = every.select("doc_id", "line", sorted_words(F.col("t"), ranks).alias("keys")).select("doc_id", "line", F.size("keys").alias("n"), F.xxhash64("keys").alias("sid"), _sketch(0).alias("sketch"), _sketch(1).alias("sketch2"), "keys")
     prefix = F.transform(F.slice("keys", F.lit(1), (F.col("n") / 5).cast("int") + 1), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     none = F.array().cast("array<int>")
     # Below four words only equal sets are similar enough.
@@ -100,8 +100,7 @@ def verified(docs: DataFrame, pairs: DataFrame, ranks: np.ndarray) -> DataFrame:
 #: stored as BIG and pass.
 BIG = 65_535
 _MAY = f"""(x_n = {BIG} or y_n = {BIG} or 5 * least(x_n, y_n) >= 4 * greatest(x_n, y_n)
-    and 9 * least(x_n - x_i, y_n - y_i) >= 4 * (x_n + y_n) and 9 * bit_count(x_sketch ^ y_sketch) <= x_n + y_n
-    and 9 * bit_count(x_sketch2 ^ y_sketch2) <= x_n + y_n)"""
+    and 9 * least(x_n - x_i, y_n - y_i) >= 4 * (x_n + y_n) and 9 * (bit_count(x_sketch ^ y_sketch) + bit_count(x_sketch2 ^ y_sketch2)) <= x_n + y_n)"""
 _EARLIER = "(x_doc < y_doc or x_doc = y_doc and x_line < y_line)"
 _PAIR = ["y_doc", "y_line", "x_doc", "x_line"]
 
