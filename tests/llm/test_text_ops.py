@@ -36,6 +36,24 @@ def test_language_odd_inputs(odd, nothing):
     assert language.predict(odd, language.train(nothing)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_small_languages_keep_their_words(spark):
+    # the large language's words alone are more than 60,000 and each occurs more often than any of the small one
+    def word(i):
+        return "".join(chr(97 + i // 26**k % 26) for k in range(4))
+
+    large = [(i * 3, 10 * " ".join(word(j) for j in range(i % 7, 84_000, 7)) + " casa", "aa") for i in range(28)]
+    docs = spark.createDataFrame([*large, *((i, "casa perro", "bb") for i in range(1000, 1008)), (1, "casa", "aa")], "doc_id long, text string, lang string")
+    model = language.train(docs)
+    assert model.languages == ["aa", "bb"] and len(model.words) > 60_000
+    assert model.word_scores[model.words["casa"]].argmax() == 1
+    assert language.Predictor(model).predict("perro casa")[0] == "bb"
+
+
+def test_languages_share_the_sample():
+    assert language.shares({"a": 1_000_000, "b": 30, "c": 500}, 300) == {"b": 30, "c": 135, "a": 135}
+    assert sum(language.shares({"a": 7, "b": 9}, 100).values()) == 16
+
+
 def test_unseen_words_back_off():
     model = language.Model.fit([("a", "banana", 50), ("b", "quirk", 50)])
     p = language.Predictor(model)

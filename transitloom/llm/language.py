@@ -5,8 +5,9 @@ longest order of which the model knows one, down to single characters; their mea
 text's language has the highest sum over all words of the whole text; the score is that language's share after a
 softmax of the sums divided by the square root of the number of words.
 
-The model is fitted on a sample of about `train_documents` labelled documents, drawn by a hash of doc_id, with the
-`model_words` most frequent words; both are documented bounds, so what is broadcast doesn't grow with the input.
+The model is fitted on a sample of about `train_documents` labelled documents, drawn by a hash of doc_id.  Languages
+share the sample evenly, and what one of few documents leaves goes to the others, so none is missing beside a large one.
+All words of the sample and all their n-grams are kept; the sample bounds what is broadcast, whatever the input's size.
 Prediction sees nothing but the text.
 
 Texts that are null or have no letter get `und` and score 0.  Ties go to the language that sorts first.  Without any
@@ -17,6 +18,7 @@ by `accepted`.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -28,8 +30,6 @@ from pyspark.sql import functions as F
 from transitloom.llm._text import chunks
 
 TRAIN_DOCUMENTS = 20_000
-MODEL_WORDS = 60_000
-MODEL_GRAMS = 100_000
 ORDERS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
 #: Unseen words whose scores a worker remembers; when reached, it forgets them all.
@@ -59,23 +59,19 @@ class Model:
     gram_scores: np.ndarray = None
 
     @classmethod
-    def fit(cls, counts: list[tuple[str, str, int]], most_grams: int = MODEL_GRAMS) -> Model:
+    def fit(cls, counts: list[tuple[str, str, int]]) -> Model:
         """From (language, word, count) rows."""
         languages = sorted({x[0] for x in counts})
         at = {x: i for i, x in enumerate(languages)}
-        by_gram: Counter = Counter()
+        by_gram: list[Counter] = [Counter() for _ in languages]
         for lang, word, n in counts:
-            k = at[lang]
+            own = by_gram[at[lang]]
             for order in ORDERS:
                 for g in grams(word, order):
-                    by_gram[(g, k)] += n
+                    own[g] += n
         model = cls(languages)
         model.words, model.word_scores = _scores(((w, at[x], n) for x, w, n in counts), len(languages))
-        total: Counter = Counter()
-        for (g, _), n in by_gram.items():
-            total[g] += n
-        kept = {g for g, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:most_grams]}
-        model.grams, model.gram_scores = _scores(((g, k, n) for (g, k), n in by_gram.items() if g in kept), len(languages))
+        model.grams, model.gram_scores = _scores(((g, k, n) for k, own in enumerate(by_gram) for g, n in own.items()), len(languages))
         return model
 
     def unseen(self, word: str) -> np.ndarray:
@@ -89,10 +85,12 @@ class Model:
 def _scores(rows, languages: int) -> tuple[dict[str, int], np.ndarray]:
     """Row of each key, and its smoothed log frequency in each language."""
     index: dict[str, int] = {}
-    cells = [(index.setdefault(key, len(index)), k, n) for key, k, n in rows]
-    counts = np.zeros((max(1, len(index)), languages))
-    for i, k, n in cells:
-        counts[i, k] += n
+    at, amounts = array("q"), array("d")
+    for key, k, n in rows:
+        at.append(index.setdefault(key, len(index)) * languages + k)
+        amounts.append(n)
+    size = max(1, len(index)) * languages
+    counts = np.bincount(np.frombuffer(at, np.int64), np.frombuffer(amounts), size).reshape(-1, languages) if at else np.zeros((1, languages))
     return index, np.log(counts + 0.5) - np.log(counts.sum(axis=0) + 0.5 * len(counts))
 
 
@@ -143,12 +141,23 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, train_documents: int = TRAIN_DOCUMENTS, model_words: int = MODEL_WORDS) -> Model:
+def shares(rows: dict[str, int], most: int) -> dict[str, int]:
+    """How many of its rows each language gives to a sample of `most`: an even share, or all where it has fewer."""
+    taken, left = {}, most
+    for k, (lang, n) in enumerate(sorted(rows.items(), key=lambda x: (x[1], x[0]))):
+        taken[lang] = min(n, max(1, left // (len(rows) - k)))
+        left -= taken[lang]
+    return taken
+
+
+def train(docs: DataFrame, train_documents: int = TRAIN_DOCUMENTS) -> Model:
     """Fit on labelled documents outside the held-out fold."""
     fold = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    labelled = fold.select("doc_id").count()
-    if labelled > train_documents:
-        fold = fold.where(F.pmod(F.xxhash64("doc_id"), F.lit(labelled)) < train_documents)
+    labelled = {r["lang"]: r["count"] for r in fold.groupBy("lang").count().collect()}
+    if sum(labelled.values()) > train_documents:
+        taken = shares(labelled, train_documents)
+        of = lambda x: F.create_map(*[F.lit(v) for pair in x.items() for v in pair])[F.col("lang")]
+        fold = fold.where(F.pmod(F.xxhash64("doc_id"), of(labelled)) < of(taken))
 
     def run(batches):
         for batch in batches:
@@ -161,8 +170,8 @@ def train(docs: DataFrame, train_documents: int = TRAIN_DOCUMENTS, model_words:
                 yield pa.record_batch([pa.array(langs), pa.array(words), pa.array(list(counts.values()), pa.int64())], names=["lang", "word", "n"])
 
     rows = fold.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = rows.orderBy(F.desc("n"), "lang", "word").limit(model_words).toPandas()
-    return Model.fit(list(zip(top["lang"], top["word"], top["n"].tolist(), strict=True)))
+    found = rows.toArrow()
+    return Model.fit(list(zip(*[found.column(c).to_pylist() for c in ("lang", "word", "n")], strict=True)))
 
 
 def _predicted(docs: DataFrame, model: Model, columns, schema) -> DataFrame:
