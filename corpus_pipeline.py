@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
 stage's `docs`.  All stages but the last return the columns of `documents`.
 
-1. language ID: documents without a letter, and so without a language, go.
+1. language ID: documents without a letter, and those that read like none of the learned languages, go.
 2. line dedup: lines that match an earlier line go from the texts; documents that lose all their lines go.
 3. n-gram Jaccard join: of each group of near copies (five words, similarity 0.8) the smallest doc_id stays.
 4. benchmark decontamination: contaminated documents go.
@@ -21,7 +21,7 @@ from transitloom.plans.staging import staged
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language.accepted(docs, language.train(docs))
+    return language.accepted(docs, language.train(docs), like_language=True)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,6 +36,21 @@ def test_language_odd_inputs(odd, nothing):
     assert language.predict(odd, language.train(nothing)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_junk_goes_and_clean_documents_of_all_languages_stay(spark, documents, sf_dir):
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    random_words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 9))) for _ in range(n))
+    junk = [random_words(2), random_words(20), random_words(2000), "asdf jkl qwer zxcv hjkl fghj", "все люди рождаются свободными и равными", "人人生而自由在尊严和权利上一律平等", 'QmFzZTY0IGVuY29kZWQgc3RyaW5nIGRhdGE', "wszyscy ludzie rodzą się wolni i równi pod względem swej godności"]
+    rows = spark.createDataFrame([(-1 - i, x, None, "s", len(x)) for i, x in enumerate(junk)], documents.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.language_stage(spark, documents.unionByName(rows), sf_dir).select("doc_id").collect()}
+    assert not [junk[-1 - d] for d in kept if d < 0]
+    clean = [r for r in documents.where("lang is not null").collect() if any(c.isalpha() for c in r["text"] or "")]
+    assert len({r["lang"] for r in clean}) == 4 and {r["doc_id"] for r in clean} <= kept
+
+
 def test_small_languages_keep_their_words(spark):
     # the large language's words alone are more than 60,000 and each occurs more often than any of the small one
     def word(i):

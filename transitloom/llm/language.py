@@ -10,6 +10,11 @@ share the sample evenly, and what one of few documents leaves goes to the others
 All words of the sample and all their n-grams are kept; the sample bounds what is broadcast, whatever the input's size.
 Prediction sees nothing but the text.
 
+`accepted` can also reject what reads like no learned language.  A text's evidence is the sum, over its letters, of the
+log of how much more probable the model makes each after the two before it, in the text's language, than chance does
+among that language's letters (the most frequent ones, to 99.9 % of all).  Letters at random, keys mashed, scripts and
+languages that the model never saw come out at 0 or below, at any length, and go.
+
 Texts that are null or have no letter get `und` and score 0.  Ties go to the language that sorts first.  Without any
 labelled document every text is `und`.  Repeated rows are repeated; other columns are ignored by `predict`, and kept
 by `accepted`.
@@ -34,6 +39,8 @@ ORDERS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
 #: Unseen words whose scores a worker remembers; when reached, it forgets them all.
 REMEMBERED = 200_000
+#: Share of a language's letters that those counted for chance make up.
+COMMON = 0.999
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -57,6 +64,11 @@ class Model:
     word_scores: np.ndarray = None
     grams: dict[str, int] = field(default_factory=dict)
     gram_scores: np.ndarray = None
+    #: Evidence of each n-gram of 3, and of an unseen one after each n-gram of 2.
+    follows: dict[str, int] = field(default_factory=dict)
+    follow_gains: np.ndarray = None
+    contexts: dict[str, int] = field(default_factory=dict)
+    context_gains: np.ndarray = None
 
     @classmethod
     def fit(cls, counts: list[tuple[str, str, int]]) -> Model:
@@ -72,8 +84,31 @@ class Model:
         model = cls(languages)
         model.words, model.word_scores = _scores(((w, at[x], n) for x, w, n in counts), len(languages))
         model.grams, model.gram_scores = _scores(((g, k, n) for k, own in enumerate(by_gram) for g, n in own.items()), len(languages))
+        model._set_gains(by_gram)
         return model
 
+    def _set_gains(self, by_gram: list[Counter]) -> None:
+        chance = np.array([_common_letters(own) + 1.0 for own in by_gram])  # with the end of a word
+        count = lambda g: np.array([own[g] for own in by_gram], dtype=float)
+        gain = lambda n, before: np.log((n + 0.5) * chance / (before + 0.5 * chance))
+        kinds = {g: len(g) for own in by_gram for g in own if len(g) in (2, 3)}
+        pairs = [g for g, n in kinds.items() if n == 2 and g[-1] != "_"]
+        triples = [g for g, n in kinds.items() if n == 3]
+        self.contexts, self.follows = {g: i for i, g in enumerate(pairs)}, {g: i for i, g in enumerate(triples)}
+        none = np.zeros((0, len(by_gram)))
+        self.context_gains = np.array([gain(0.0, count(g)) for g in pairs]) if pairs else none
+        self.follow_gains = np.array([gain(count(g), count(g[:2])) for g in triples]) if triples else none
+
+    def evidence(self, word: str) -> np.ndarray:
+        """In each language; letters after two that were never seen have none."""
+        total = np.zeros(len(self.languages))
+        for g in grams(word, 3):
+            if (i := self.follows.get(g)) is not None:
+                total += self.follow_gains[i]
+            elif (i := self.contexts.get(g[:2])) is not None:
+                total += self.context_gains[i]
+        return total
+
     def unseen(self, word: str) -> np.ndarray:
         for order in ORDERS:
             known = [i for g in grams(word, order) if (i := self.grams.get(g)) is not None]
@@ -82,6 +117,12 @@ class Model:
         return np.zeros(len(self.languages))
 
 
+def _common_letters(own: Counter) -> int:
+    """How many of the most frequent letters make up COMMON of all."""
+    amounts = np.array(sorted((n for g, n in own.items() if len(g) == 1), reverse=True), dtype=float)
+    return int(np.searchsorted(amounts.cumsum(), COMMON * amounts.sum())) + 1
+
+
 def _scores(rows, languages: int) -> tuple[dict[str, int], np.ndarray]:
     """Row of each key, and its smoothed log frequency in each language."""
     index: dict[str, int] = {}
@@ -98,6 +139,7 @@ class Predictor:
     def __init__(self, model: Model):
         self.model, self.memory = model, {}
         self.scores, self.free = model.word_scores, 0
+        self.gains, self.known_gains = np.zeros((0, len(model.languages))), np.zeros(0, dtype=bool)
 
     def rows(self, words: list[str]) -> np.ndarray:
         known, model = self.model.words, self.model
@@ -121,20 +163,34 @@ class Predictor:
         return np.array(rows, dtype=np.int64)
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judged(text, False)[:2]
+
+    def judged(self, text: str | None, evidence: bool = True) -> tuple[str, float, float]:
+        """Language, score, and evidence that the text reads like that language."""
         words = words_of(text)
         if not self.model.languages or not has_letter(words):
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0
         if len(self.memory) > REMEMBERED:
             self.memory = {}
-        total = self.scores_of(words)
+            self.known_gains[len(self.model.word_scores) :] = False
+        rows = self.rows(words)
+        total = self.scores[rows].sum(axis=0)
         z = (total - total.max()) / np.sqrt(len(words))
         p = np.exp(z)
         k = int(p.argmax())
-        return self.model.languages[k], float(p[k] / p.sum())
+        return self.model.languages[k], float(p[k] / p.sum()), self.evidence(words, rows, k) if evidence else 0.0
 
-    def scores_of(self, words: list[str]) -> np.ndarray:
-        rows = self.rows(words)
-        return self.scores[rows].sum(axis=0)
+    def evidence(self, words: list[str], rows: np.ndarray, k: int) -> float:
+        size = len(self.scores)
+        if size > len(self.gains):
+            gains, known = np.zeros((size, len(self.model.languages))), np.zeros(size, dtype=bool)
+            gains[: len(self.gains)], known[: len(self.gains)] = self.gains, self.known_gains
+            self.gains, self.known_gains = gains, known
+        for at in np.flatnonzero(~self.known_gains[rows]).tolist():
+            if not self.known_gains[rows[at]]:
+                self.gains[rows[at]] = self.model.evidence(words[at])
+                self.known_gains[rows[at]] = True
+        return float(self.gains[rows, k].sum())
 
 
 def held_out(doc_id: Column) -> Column:
@@ -174,15 +230,15 @@ def train(docs: DataFrame, train_documents: int = TRAIN_DOCUMENTS) -> Model:
     return Model.fit(list(zip(*[found.column(c).to_pylist() for c in ("lang", "word", "n")], strict=True)))
 
 
-def _predicted(docs: DataFrame, model: Model, columns, schema) -> DataFrame:
+def _predicted(docs: DataFrame, model: Model, columns, schema, evidence: bool = False) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         predictor = Predictor(shared.value)
         for batch in batches:
             for part in chunks(batch, "text"):
-                found = [predictor.predict(t) for t in part.column("text").to_pylist()]
-                yield columns(part, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()))
+                found = [predictor.judged(t, evidence) for t in part.column("text").to_pylist()]
+                yield columns(part, *[pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))])
 
     return docs.mapInArrow(run, schema)
 
@@ -190,21 +246,24 @@ def _predicted(docs: DataFrame, model: Model, columns, schema) -> DataFrame:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each row of `docs`."""
 
-    def columns(part, lang, score):
+    def columns(part, lang, score, _):
         return pa.record_batch([part.column("doc_id").cast(pa.int64()), part.column("held_out"), lang, score], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return _predicted(docs.select("doc_id", "text", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out")), model, columns, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, model: Model, languages: tuple[str, ...] | None = None, least: float = 0.0) -> DataFrame:
-    """Rows of `docs`, all columns kept, whose language is one of `languages` (any known) with score `least` or more."""
+def accepted(docs: DataFrame, model: Model, languages: tuple[str, ...] | None = None, least: float = 0.0, like_language: bool = False) -> DataFrame:
+    """Rows of `docs`, all columns kept, whose language is one of `languages` (any known) with score `least` or more;
+    with `like_language` only those with evidence above 0 for it."""
 
-    def columns(part, lang, score):
+    def columns(part, lang, score, evidence):
         import pyarrow.compute as pc
 
         keep = pc.and_(pc.not_equal(lang, UNKNOWN), pc.greater_equal(score, least))
         if languages is not None:
             keep = pc.and_(keep, pc.is_in(lang, pa.array(languages, pa.string())))
+        if like_language:
+            keep = pc.and_(keep, pc.greater(evidence, 0.0))
         return part.filter(keep)
 
-    return _predicted(docs, model, columns, docs.schema)
+    return _predicted(docs, model, columns, docs.schema, like_language)
