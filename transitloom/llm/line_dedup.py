@@ -5,12 +5,12 @@ earlier line of any document, as given in the input, has a Jaccard similarity of
 
 Words become 64-bit hashes whose first bits are replaced by the rarity rank of their bucket, over counts of all words
 of the corpus, so that sorting a set puts rare words first; the replacement is one to one.  Equal sets are found by
-their hash and keep their first position.  Two sets with a similarity of 4/5 share one of the first n / 5 + 1 words of
-each (prefix filter); sizes must be within 4/5 (length filter), and the first shared word must leave enough words after it
-in both (positional filter).  A parity sketch of 128 bits, which never differs more than the sets do, rejects most other
-pairs.  Each set is first compared with the earliest set of its size class that
-shares a prefix word, which settles members of large groups with one comparison; only sets that stay unmatched are
-compared with all their other candidates.  Similarities are verified on whole sets.
+their hash, size and parity sketch and keep their first position; only that one is compared with other sets.  Two sets
+with a similarity of 4/5 share one of the first n / 5 + 1 words of each (prefix filter); sizes must be within 4/5 (length
+filter), and the first shared word must leave enough words after it in both (positional filter).  Parity sketches, which
+never differ more than the sets do, reject most other pairs first.  Each set is first compared with the earliest set of
+its size class that shares a prefix word, which settles members of large groups with one comparison; only sets that stay
+unmatched are compared with all their other candidates.  Similarities are verified on whole sets.
 
 Where only some documents are needed, a bitmap of fixed size keeps most others out of the shuffle; a full bitmap costs
 time but loses nothing.
@@ -27,88 +27,111 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from transitloom.llm._bitmap import Bitmap
+from transitloom.llm._names import free_names
 from transitloom.plans.staging import discard, staged
 
+#: Words are counted in 2**BUCKET_BITS counters, by the first bits of their hashes.
 BUCKET_BITS = 16
-_LOW = (1 << (64 - BUCKET_BITS)) - 1
+#: Lines of more distinct words have a second sketch word.
+ONE_WORD = 64
 
 
 def _bucket(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")
 
 
-def word_ranks(docs: DataFrame) -> np.ndarray:
-    """The rank of each bucket of words by its count in the corpus, rarest first, less half their number."""
-    words = docs.select(F.explode(F.split(F.translate("text", "\n", " "), " ")).alias("w")).where("w <> ''")
+def rank_masks(docs: DataFrame) -> str:
+    """For each bucket the number that turns it into its rank by xor, comma-joined.  Ranks go by the bucket's count in the
+    corpus, rarest first, and each bucket has a rank of its own, so words' keys are as distinct as their hashes."""
+    words = docs.select(F.explode(F.split("text", "[ \n]+")).alias("w")).where("w <> ''")
     rows = words.select(_bucket(F.xxhash64("w")).alias("b")).groupBy("b").count().toPandas()  # one row a bucket
-    counts = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+    size = 1 << BUCKET_BITS
+    counts = np.zeros(size, dtype=np.int64)
     counts[rows["b"].to_numpy(dtype=np.int64)] = rows["count"].to_numpy(dtype=np.int64)
-    ranks = np.empty(len(counts), dtype=np.int64)
-    ranks[np.argsort(counts, kind="stable")] = np.arange(len(counts)) - len(counts) // 2
-    return ranks
+    masks = np.arange(size)
+    masks[np.argsort(counts, kind="stable")] ^= np.arange(size) ^ (size >> 1)
+    return ",".join(map(str, masks.tolist()))
 
 
-def sorted_words(line: Column, ranks: np.ndarray) -> Column:
+def sorted_words(line: Column, masks: str) -> Column:
     """The line's distinct words as longs, rarest first."""
-    table = F.lit(ranks)
+    table = F.split(F.lit(masks), ",").cast("array<int>")  # a constant, folded before the plan runs
     hashes = F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)))
-    keys = F.transform(hashes, lambda h: F.shiftleft(F.element_at(table, _bucket(h) + 1), 64 - BUCKET_BITS).bitwiseOR(h.bitwiseAND(F.lit(_LOW))))
-    return F.sort_array(keys)
+    return F.sort_array(F.transform(hashes, lambda h: h.bitwiseXOR(F.shiftleft(F.get(table, _bucket(h)).cast("long"), 64 - BUCKET_BITS))))
 
 
-def _sketch(half: int) -> Column:
-    """Parities of the numbers of keys in 64 classes, by six bits, of the keys with the seventh bit `half`."""
+def _parities(keys: Column) -> Column:
+    """A long with the parities of the numbers of keys in 64 classes, by their last six bits."""
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate("keys", F.lit(0).cast("long"), lambda a, h: F.when(h.bitwiseAND(F.lit(64)) == 64 * half, a.bitwiseXOR(bit(h))).otherwise(a))
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
 
 
-def lines(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """doc_id, line, n (words), sid (hash of the set), sketch and sketch2 (parities of 128 classes of words) and prefix (31 bits of
-    each prefix word) of every line."""
+def lines(docs: DataFrame, masks: str) -> DataFrame:
+    """doc_id, line, n (words), sid (hash of the set), sketch (parities of all words), sketch2 (of lines of more than
+    ONE_WORD words: parities of about half of them, else 0) and prefix (the words a match must share one of) of every line."""
     every = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).where("trim(t) <> ''")
-    keyed = every.select("doc_id", "line", sorted_words(F.col("t"), ranks).alias("keys")).select("doc_id", "line", F.size("keys").alias("n"), F.xxhash64("keys").alias("sid"), _sketch(0).alias("sketch"), _sketch(1).alias("sketch2"), "keys")
-    prefix = F.transform(F.slice("keys", F.lit(1), (F.col("n") / 5).cast("int") + 1), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    none = F.array().cast("array<int>")
+    keyed = every.select("doc_id", "line", sorted_words(F.col("t"), masks).alias("keys"))
+    half = F.filter("keys", lambda h: h.bitwiseAND(F.lit(64)) != 0)
+    second = F.when(F.size("keys") > ONE_WORD, _parities(half)).otherwise(F.lit(0).cast("long"))
     # Below four words only equal sets are similar enough.
-    return keyed.select("doc_id", "line", "n", "sid", "sketch", "sketch2", F.when(F.col("n") >= 4, prefix).otherwise(none).alias("prefix"))
+    prefix = F.when(F.size("keys") >= 4, F.slice("keys", F.lit(1), (F.size("keys") / 5).cast("int") + 1)).otherwise(F.array().cast("array<long>"))
+    return keyed.select("doc_id", "line", F.size("keys").alias("n"), F.xxhash64("keys").alias("sid"), _parities(F.col("keys")).alias("sketch"), second.alias("sketch2"), prefix.alias("prefix"))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, ranks: np.ndarray) -> DataFrame:
+def first_of_equals(all_lines: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The lines at the first position of each set, (doc_id, line) of the others, and the staged tables that both read.
+
+    Sets count as equal where their hashes, sizes and sketches are.  Only lines that a bitmap does not rule out are
+    shuffled; sets that make up a thousandth of all lines or more, so at most a thousand, are broadcast instead.
+    """
+    key = ["sid", "n", "sketch"]
+    at = F.struct("doc_id", "line")
+    again = all_lines.groupBy(*key).agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("c"))
+    again = staged(again.where("first <> last").drop("last"), "again")
+    share = -(-all_lines.count() // 1000)
+    hot, cold = F.broadcast(again.where(F.col("c") >= share).drop("c")), again.where(F.col("c") < share).drop("c")
+    repeated = Bitmap(again.select("sid"), "sid")
+    some = all_lines.where(repeated.has("sid"))
+    marked = staged(some.join(hot, key).unionByName(some.join(hot, key, "left_anti").join(cold, key, "left"), allowMissingColumns=True), "marked")
+    copy = F.col("first").isNotNull() & (F.col("first") != at)
+    firsts = all_lines.where(~repeated.has("sid")).unionByName(marked.where(~copy).drop("first"))
+    return firsts, marked.where(copy).select("doc_id", "line"), [again, marked]
+
+
+def verified(docs: DataFrame, pairs: DataFrame, masks: str) -> DataFrame:
     """(doc_id, line) of the y in pairs (y, x) that are similar, compared on whole sets."""
     need = staged(pairs.select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line")).unionByName(pairs.select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line"))).distinct(), "need")
     by_doc = need.groupBy("doc_id").agg(F.collect_set("line").alias("wanted"))
     some = docs.select("doc_id", "text").where(Bitmap(by_doc).has()).join(by_doc, "doc_id")
     found = some.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"), "wanted").where("array_contains(wanted, line)")
-    sets = staged(found.select("doc_id", "line", sorted_words(F.col("t"), ranks).alias("keys")), "sets")
-    third = sets.select("doc_id", "line", F.size("keys").alias("n"), F.filter("keys", lambda h: F.pmod(h, F.lit(3)) == 0).alias("keys"))
-
-    def both(which: DataFrame, given: DataFrame) -> DataFrame:
-        side = lambda s: given.select(*[F.col(c).alias(f"{s}_{c.replace('doc_id', 'doc')}") for c in given.columns])
-        joined = which.join(side("y"), ["y_doc", "y_line"]).join(side("x"), ["x_doc", "x_line"])
-        return joined.withColumn("common", F.size(F.array_intersect("x_keys", "y_keys")))
-
-    # A third of the words rejects most pairs: they can't differ in more words than the sets may.
-    may = both(pairs, third).where("9 * (size(x_keys) + size(y_keys) - 2 * common) <= x_n + y_n").select(*_PAIR)
-    may = staged(may, "near")
-    found = both(may, sets).where("5 * common >= 4 * (size(x_keys) + size(y_keys) - common)").select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line")).distinct()
-    found = staged(found, "matched")
-    discard(sets, need, may)
+    sets = staged(found.select("doc_id", "line", sorted_words(F.col("t"), masks).alias("keys")), "sets")
+    side = lambda s: sets.select(*[F.col(c).alias(f"{s}_{c.replace('doc_id', 'doc')}") for c in sets.columns])
+    both = pairs.join(side("y"), ["y_doc", "y_line"]).join(side("x"), ["x_doc", "x_line"]).withColumn("common", F.size(F.array_intersect("x_keys", "y_keys")))
+    found = staged(both.where("5 * common >= 4 * (size(x_keys) + size(y_keys) - common)").select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line")).distinct(), "matched")
+    discard(sets, need)
     return found
 
 
-#: A pair may be similar: sizes, the words after the first common one, parity sketches.  Sizes of BIG or more words are
-#: stored as BIG and pass.
-BIG = 65_535
-_MAY = f"""(x_n = {BIG} or y_n = {BIG} or 5 * least(x_n, y_n) >= 4 * greatest(x_n, y_n)
-    and 9 * least(x_n - x_i, y_n - y_i) >= 4 * (x_n + y_n) and 9 * (bit_count(x_sketch ^ y_sketch) + bit_count(x_sketch2 ^ y_sketch2)) <= x_n + y_n)"""
-_EARLIER = "(x_doc < y_doc or x_doc = y_doc and x_line < y_line)"
+#: A pair may be similar: its sketches, sizes and the words from the first common one on allow it, and x is earlier.
+#: The first test rejects most pairs, so it stands first.
+_PARITY = "bit_count(x_sketch ^ y_sketch)"
+_PARITY_2 = f"if(x_n > {ONE_WORD} and y_n > {ONE_WORD}, bit_count(x_sketch ^ x_sketch2 ^ y_sketch ^ y_sketch2) + bit_count(x_sketch2 ^ y_sketch2), 0)"
+_MAY = f"""9 * {_PARITY} <= x_n + y_n and (x_doc < y_doc or x_doc = y_doc and x_line < y_line)
+    and 5 * x_n >= 4 * y_n and 5 * y_n >= 4 * x_n
+    and 9 * least(x_n - x_i, y_n - y_i) >= 4 * (x_n + y_n) and 9 * {_PARITY_2} <= x_n + y_n"""
 _PAIR = ["y_doc", "y_line", "x_doc", "x_line"]
 
 
+def _entries(some_lines: DataFrame) -> DataFrame:
+    """token, doc, at (line and place of the word), n and sketches of each prefix word."""
+    each = some_lines.select("doc_id", "line", "n", "sketch", "sketch2", F.posexplode("prefix").alias("i", "token"))
+    return each.selectExpr("token", "doc_id as doc", "shiftleft(cast(line as long), 32) | cast(i as long) as at", "n", "sketch", "sketch2")
+
+
 def _side(entries: DataFrame, s: str) -> DataFrame:
     """Entries with their packed numbers unpacked, columns named for one side of a pair."""
-    number = {"line": "shiftright(at, 32)", "n": f"shiftright(at, 16) & {BIG}", "i": f"at & {BIG}"}
-    return entries.select("token", F.col("doc").alias(f"{s}_doc"), *[F.expr(f"cast({e} as int)").alias(f"{s}_{k}") for k, e in number.items()], F.col("sketch").alias(f"{s}_sketch"), F.col("sketch2").alias(f"{s}_sketch2"))
+    number = {"line": "shiftright(at, 32)", "i": f"at & {(1 << 32) - 1}"}
+    return entries.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("doc", "n", "sketch", "sketch2")], *[F.expr(f"cast({e} as int)").alias(f"{s}_{k}") for k, e in number.items()])
 
 
 def candidates(first_lines: DataFrame) -> DataFrame:
@@ -119,75 +142,69 @@ def candidates(first_lines: DataFrame) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    at = f"shiftleft(cast(line as long), 32) | shiftleft(cast(least(n, {BIG}) as long), 16) | cast(least(i, {BIG}) as long)"
-    entries = first_lines.select("doc_id", "line", "n", "sketch", "sketch2", F.posexplode("prefix").alias("i", "token")).selectExpr("token", "doc_id as doc", f"{at} as at", "sketch", "sketch2").repartition("token")
+    entries = _entries(first_lines).repartition("token")
     w = Window.partitionBy("token", "size_class")
     y = _side(entries, "y").withColumn("size_class", F.floor(F.log("y_n") / float(np.log(1.25))))
     leader = F.min(F.struct(*[F.col(f"y_{c}").alias(f"x_{c}") for c in ("doc", "line", "n", "i", "sketch", "sketch2")])).over(w)
-    led = y.withColumn("l", leader).select("token", "y_doc", "y_line", "y_n", "y_i", "y_sketch", "y_sketch2", "l.*").withColumn("led", F.expr(f"{_MAY} and {_EARLIER}"))
+    own = ["token", *[f"y_{c}" for c in ("doc", "line", "n", "i", "sketch", "sketch2")]]
+    led = y.withColumn("l", leader).select(*own, "l.*").withColumn("led", F.expr(_MAY))
     mine = led.where("led").select(*_PAIR, "led")
-    rest = led.where("not led").select("token", "y_doc", "y_line", "y_n", "y_i", "y_sketch", "y_sketch2", "led").join(_side(entries, "x"), "token").where(f"{_MAY} and {_EARLIER}").select(*_PAIR, "led")
+    rest = led.where("not led").select(*own, "led").join(_side(entries, "x"), "token").where(_MAY).select(*_PAIR, "led")
     return mine.unionByName(rest)
 
 
 def other_candidates(first_lines: DataFrame, open_lines: DataFrame) -> DataFrame:
     """All pairs (y, x) that may be similar of the y in `open_lines` (doc_id, line)."""
     own = first_lines.join(open_lines, ["doc_id", "line"], "left_semi")
-    at = f"shiftleft(cast(line as long), 32) | shiftleft(cast(least(n, {BIG}) as long), 16) | cast(least(i, {BIG}) as long)"
-    spread = lambda df: df.select("doc_id", "line", "n", "sketch", "sketch2", F.posexplode("prefix").alias("i", "token")).selectExpr("token", "doc_id as doc", f"{at} as at", "sketch", "sketch2")
-    mine = staged(spread(own), "open")
-    others = spread(first_lines).where(Bitmap(mine.select("token"), "token").has("token"))
-    return _side(mine, "y").join(_side(others, "x"), "token").where(f"{_MAY} and {_EARLIER}").select(*_PAIR).distinct()
+    mine = staged(_entries(own), "open")
+    others = _entries(first_lines).where(Bitmap(mine.select("token"), "token").has("token"))
+    return _side(mine, "y").join(_side(others, "x"), "token").where(_MAY).select(*_PAIR).distinct()
 
 
 def later_matches(docs: DataFrame) -> DataFrame:
     """(doc_id, line) of every line that is removed."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranks = word_ranks(docs)
-    all_lines = staged(lines(docs, ranks), "lines")
-    at = F.struct("doc_id", "line")
-    first = all_lines.groupBy("sid", "n").agg(F.min(at).alias("first"), F.max(at).alias("last"))
-    again = first.where("first <> last").select("sid", "n", "first")
-    marked = all_lines.join(again, ["sid", "n"], "left")
-    copy = F.coalesce(F.col("first") != at, F.lit(False))
-    marked = staged(marked.withColumn("copy", copy).drop("first"), "marked")
-    discard(all_lines)
-    copies = marked.where("copy").select("doc_id", "line")
-    firsts = marked.where("not copy").drop("copy", "sid")
+    masks = rank_masks(docs)
+    all_lines = staged(lines(docs, masks), "lines")
+    firsts, copies, read = first_of_equals(all_lines)
     found = staged(candidates(firsts).distinct(), "pairs")
-    matched = verified(docs, found.select(*_PAIR), ranks)
-    still = found.where("led").select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line")).distinct().join(matched, ["doc_id", "line"], "left_anti")
-    still = staged(still, "open")
+    matched = verified(docs, found.where("led").select(*_PAIR), masks)
+    rest = found.where("not led").join(matched.select(F.col("doc_id").alias("y_doc"), F.col("line").alias("y_line")), ["y_doc", "y_line"], "left_anti")
+    second = verified(docs, rest.select(*_PAIR), masks)
+    still = found.where("led").select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line")).distinct()
+    still = staged(still.join(matched.unionByName(second), ["doc_id", "line"], "left_anti"), "open")
     more = staged(other_candidates(firsts, still).join(found.select(*_PAIR), _PAIR, "left_anti"), "pairs")
-    second = verified(docs, more, ranks)
-    removed = staged(copies.unionByName(matched).unionByName(second).distinct(), "removed")
-    discard(marked, found, still, more, matched, second)
+    third = verified(docs, more, masks)
+    removed = staged(copies.unionByName(matched).unionByName(second).unionByName(third).distinct(), "removed")
+    discard(all_lines, found, still, more, matched, second, third, *read)
     return removed
 
 
-def _cut(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """`docs` with the lines of `removed` cut from their texts, and _n_removed; null for lines that are all gone."""
-    gone = removed.groupBy(F.col("doc_id").alias("_gone_doc")).agg(F.collect_set("line").alias("_gone"))
-    touched = Bitmap(gone, "_gone_doc")
-    kept = F.filter(F.split(F.col("text"), "\n"), lambda t, i: ~F.array_contains("_gone", i))
-    some = docs.where(touched.has()).join(gone, F.col("doc_id").cast("long") == F.col("_gone_doc"), "left")
-    some = some.withColumn("_kept", F.when(F.col("_gone").isNotNull() & F.col("text").isNotNull(), kept)).withColumn("_n_removed", F.coalesce(F.size(F.split("text", "\n")) - F.size("_kept"), F.lit(0)).cast("long"))
-    text = F.when(F.col("_kept").isNull(), F.col("text")).when(F.size("_kept") > 0, F.array_join("_kept", "\n"))
-    whole = docs.where(~touched.has()).withColumn("_n_removed", F.lit(0).cast("long"))
-    return whole.unionByName(some.withColumn("text", text).select(*docs.columns, "_n_removed"))
+def _cut(docs: DataFrame, removed: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with the lines of `removed` cut from their texts (null where all are gone) and a column with the number of
+    lines cut, and that column's name."""
+    doc, gone_lines, left, number = free_names(docs.columns, "doc", "gone", "left", "number")
+    gone = removed.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("line").alias(gone_lines))
+    touched = Bitmap(gone, doc)
+    kept = F.filter(F.split("text", "\n"), lambda t, i: ~F.array_contains(gone_lines, i))
+    some = docs.where(touched.has()).join(gone, F.col("doc_id").cast("long") == F.col(doc), "left")
+    some = some.withColumn(left, F.when(F.col(gone_lines).isNotNull() & F.col("text").isNotNull(), kept)).withColumn(number, F.coalesce(F.size(F.split("text", "\n")) - F.size(left), F.lit(0)).cast("long"))
+    text = F.when(F.col(left).isNull(), F.col("text")).when(F.size(left) > 0, F.array_join(left, "\n"))
+    whole = docs.where(~touched.has()).withColumn(number, F.lit(0).cast("long"))
+    return whole.unionByName(some.withColumn("text", text).select(*docs.columns, number)), number
 
 
 def dedup(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
     """`docs` with later matches cut from their texts.  Documents that lose all their lines become empty, or are
     dropped with `drop_emptied`."""
-    cut = _cut(docs, later_matches(docs))
+    cut, number = _cut(docs, later_matches(docs))
     if drop_emptied:
-        cut = cut.where(F.col("text").isNotNull() | (F.col("_n_removed") == 0))
-    return cut.withColumn("text", F.when(F.col("_n_removed") > 0, F.coalesce("text", F.lit(""))).otherwise(F.col("text"))).drop("_n_removed")
+        cut = cut.where(F.col("text").isNotNull() | (F.col(number) == 0))
+    return cut.withColumn("text", F.when(F.col(number) > 0, F.coalesce("text", F.lit(""))).otherwise(F.col("text"))).drop(number)
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and the text that is left, of each row of `docs`."""
     narrow = docs.select("doc_id", "text", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    cut = _cut(narrow, later_matches(narrow))
-    return cut.select("doc_id", "n_lines", F.col("_n_removed").alias("n_removed"), F.when(F.col("_n_removed") > 0, F.coalesce("text", F.lit(""))).otherwise(F.col("text")).alias("text"))
+    cut, number = _cut(narrow, later_matches(narrow))
+    return cut.select("doc_id", "n_lines", F.col(number).alias("n_removed"), F.when(F.col(number) > 0, F.coalesce("text", F.lit(""))).otherwise(F.col("text")).alias("text"))
