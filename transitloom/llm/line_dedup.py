@@ -22,6 +22,8 @@ positions.  Other columns are kept, whatever their names.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,8 @@ from transitloom.plans.staging import discard, staged
 
 #: Words are counted in 2**BUCKET_BITS counters, by the first bits of their hashes.
 BUCKET_BITS = 16
+#: Buckets with over HOT times the mean count are common: their words are looked up in pairs.
+HOT = 4
 #: Lines of more distinct words have a second sketch word.
 ONE_WORD = 64
 
@@ -40,9 +44,17 @@ def _bucket(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")
 
 
-def rank_masks(docs: DataFrame) -> str:
-    """For each bucket the number that turns it into its rank by xor, comma-joined.  Ranks go by the bucket's count in the
-    corpus, rarest first, and each bucket has a rank of its own, so words' keys are as distinct as their hashes."""
+class Ranks(NamedTuple):
+    """`masks`: for each bucket the number that turns it into its rank by xor, comma-joined; `common`: the least key of
+    a word in a common bucket."""
+
+    masks: str
+    common: int
+
+
+def word_ranks(docs: DataFrame) -> Ranks:
+    """Ranks by the bucket's count in the corpus, rarest first; each bucket has a rank of its own, so words' keys are as
+    distinct as their hashes."""
     words = docs.select(F.explode(F.split("text", "[ \n]+")).alias("w")).where("w <> ''")
     rows = words.select(_bucket(F.xxhash64("w")).alias("b")).groupBy("b").count().toPandas()  # one row a bucket
     size = 1 << BUCKET_BITS
@@ -50,12 +62,13 @@ def rank_masks(docs: DataFrame) -> str:
     counts[rows["b"].to_numpy(dtype=np.int64)] = rows["count"].to_numpy(dtype=np.int64)
     masks = np.arange(size)
     masks[np.argsort(counts, kind="stable")] ^= np.arange(size) ^ (size >> 1)
-    return ",".join(map(str, masks.tolist()))
+    rare = int((counts * size <= HOT * counts.sum()).sum())
+    return Ranks(",".join(map(str, masks.tolist())), min((rare - (size >> 1)) << (64 - BUCKET_BITS), (1 << 63) - 1))
 
 
-def sorted_words(line: Column, masks: str) -> Column:
+def sorted_words(line: Column, ranks: Ranks) -> Column:
     """The line's distinct words as longs, rarest first."""
-    table = F.split(F.lit(masks), ",").cast("array<int>")  # a constant, folded before the plan runs
+    table = F.split(F.lit(ranks.masks), ",").cast("array<int>")  # a constant, folded before the plan runs
     hashes = F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)))
     return F.sort_array(F.transform(hashes, lambda h: h.bitwiseXOR(F.shiftleft(F.get(table, _bucket(h)).cast("long"), 64 - BUCKET_BITS))))
 
@@ -66,20 +79,37 @@ def _parities(keys: Column) -> Column:
     return F.aggregate(keys, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
 
 
-def lines(docs: DataFrame, masks: str) -> DataFrame:
+def lines(docs: DataFrame, ranks: Ranks) -> DataFrame:
     """doc_id, line, n (words), sid (hash of the set), sketch (parities of all words), sketch2 (of lines of more than
-    ONE_WORD words: parities of about half of them, else 0) and prefix (the words a match must share one of) of every line."""
+    ONE_WORD words: parities of about half of them, else 0) and prefix (tokens of which a match must share one, with their places) of every line."""
     every = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).where("trim(t) <> ''")
-    keyed = every.select("doc_id", "line", sorted_words(F.col("t"), masks).alias("keys"))
+    keyed = every.select("doc_id", "line", sorted_words(F.col("t"), ranks).alias("keys"))
     half = F.filter("keys", lambda h: h.bitwiseAND(F.lit(64)) != 0)
     second = F.when(F.size("keys") > ONE_WORD, _parities(half)).otherwise(F.lit(0).cast("long"))
-    # Below four words only equal sets are similar enough.
-    prefix = F.when(F.size("keys") >= 4, F.slice("keys", F.lit(1), (F.size("keys") / 5).cast("int") + 1)).otherwise(F.array().cast("array<long>"))
-    return keyed.select("doc_id", "line", F.size("keys").alias("n"), F.xxhash64("keys").alias("sid"), _parities(F.col("keys")).alias("sketch"), second.alias("sketch2"), prefix.alias("prefix"))
+    return keyed.select("doc_id", "line", F.size("keys").alias("n"), F.xxhash64("keys").alias("sid"), _parities(F.col("keys")).alias("sketch"), second.alias("sketch2"), _tokens(ranks.common).alias("prefix"))
+
+
+def _tokens(common: int) -> Column:
+    """Structs of a token and a place: the rare ones of the prefix words, and pairs of common ones.
+
+    Two similar sets share one of the first n / 5 + 1 words of each, and two of the first n / 5 + 2.  If the first word
+    they share is common, so is the second, which comes later in the order, and both have that pair.
+    Below four words only equal sets are similar enough.
+    """
+    rest = lambda x, i: F.slice(x, i + 2, F.size(x))
+    p = (F.size("keys") / 5).cast("int")
+    rare = F.filter(F.slice("keys", F.lit(1), p + 1), lambda h: h < common)
+    some = F.filter(F.slice("keys", F.lit(1), p + 2), lambda h: h >= common)
+    place = F.size(rare)
+    singles = F.transform(rare, lambda h, i: F.struct(i.alias("i"), h.alias("token")))
+    # transform over a one-element array names an intermediate value once
+    pairs = F.flatten(F.flatten(F.transform(F.array(some), lambda x: F.transform(x, lambda a, i: F.transform(rest(x, i), lambda b: F.struct((place + i).alias("i"), F.xxhash64(a, b).alias("token")))))))
+    none = F.array().cast("array<struct<i:int,token:long>>")
+    return F.when(F.size("keys") < 4, none).when(F.size(some) > 1, F.concat(singles, pairs)).otherwise(singles)
 
 
-def first_of_equals(all_lines: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """The lines at the first position of each set, (doc_id, line) of the others, and the staged tables that both read.
+def first_of_equals(all_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines at the first position of each set, and (doc_id, line) of the others; `all_lines` is discarded.
 
     Sets count as equal where their hashes, sizes and sketches are.  Only lines that a bitmap does not rule out are
     shuffled; sets that make up a thousandth of all lines or more, so at most a thousand, are broadcast instead.
@@ -94,17 +124,19 @@ def first_of_equals(all_lines: DataFrame) -> tuple[DataFrame, DataFrame, list[Da
     some = all_lines.where(repeated.has("sid"))
     marked = staged(some.join(hot, key).unionByName(some.join(hot, key, "left_anti").join(cold, key, "left"), allowMissingColumns=True), "marked")
     copy = F.col("first").isNotNull() & (F.col("first") != at)
-    firsts = all_lines.where(~repeated.has("sid")).unionByName(marked.where(~copy).drop("first"))
-    return firsts, marked.where(copy).select("doc_id", "line"), [again, marked]
+    firsts = staged(all_lines.where(~repeated.has("sid")).unionByName(marked.where(~copy).drop("first")).drop("sid"), "firsts")
+    copies = staged(marked.where(copy).select("doc_id", "line"), "copies")
+    discard(all_lines, again, marked)
+    return firsts, copies
 
 
-def verified(docs: DataFrame, pairs: DataFrame, masks: str) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, ranks: Ranks) -> DataFrame:
     """(doc_id, line) of the y in pairs (y, x) that are similar, compared on whole sets."""
     need = staged(pairs.select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line")).unionByName(pairs.select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line"))).distinct(), "need")
     by_doc = need.groupBy("doc_id").agg(F.collect_set("line").alias("wanted"))
     some = docs.select("doc_id", "text").where(Bitmap(by_doc).has()).join(by_doc, "doc_id")
     found = some.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"), "wanted").where("array_contains(wanted, line)")
-    sets = staged(found.select("doc_id", "line", sorted_words(F.col("t"), masks).alias("keys")), "sets")
+    sets = staged(found.select("doc_id", "line", sorted_words(F.col("t"), ranks).alias("keys")), "sets")
     side = lambda s: sets.select(*[F.col(c).alias(f"{s}_{c.replace('doc_id', 'doc')}") for c in sets.columns])
     both = pairs.join(side("y"), ["y_doc", "y_line"]).join(side("x"), ["x_doc", "x_line"]).withColumn("common", F.size(F.array_intersect("x_keys", "y_keys")))
     found = staged(both.where("5 * common >= 4 * (size(x_keys) + size(y_keys) - common)").select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line")).distinct(), "matched")
@@ -124,7 +156,7 @@ _PAIR = ["y_doc", "y_line", "x_doc", "x_line"]
 
 def _entries(some_lines: DataFrame) -> DataFrame:
     """token, doc, at (line and place of the word), n and sketches of each prefix word."""
-    each = some_lines.select("doc_id", "line", "n", "sketch", "sketch2", F.posexplode("prefix").alias("i", "token"))
+    each = some_lines.select("doc_id", "line", "n", "sketch", "sketch2", F.inline("prefix"))
     return each.selectExpr("token", "doc_id as doc", "shiftleft(cast(line as long), 32) | cast(i as long) as at", "n", "sketch", "sketch2")
 
 
@@ -164,19 +196,19 @@ def other_candidates(first_lines: DataFrame, open_lines: DataFrame) -> DataFrame
 def later_matches(docs: DataFrame) -> DataFrame:
     """(doc_id, line) of every line that is removed."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    masks = rank_masks(docs)
-    all_lines = staged(lines(docs, masks), "lines")
-    firsts, copies, read = first_of_equals(all_lines)
+    ranks = word_ranks(docs)
+    all_lines = staged(lines(docs, ranks), "lines")
+    firsts, copies = first_of_equals(all_lines)
     found = staged(candidates(firsts).distinct(), "pairs")
-    matched = verified(docs, found.where("led").select(*_PAIR), masks)
+    matched = verified(docs, found.where("led").select(*_PAIR), ranks)
     rest = found.where("not led").join(matched.select(F.col("doc_id").alias("y_doc"), F.col("line").alias("y_line")), ["y_doc", "y_line"], "left_anti")
-    second = verified(docs, rest.select(*_PAIR), masks)
+    second = verified(docs, rest.select(*_PAIR), ranks)
     still = found.where("led").select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line")).distinct()
     still = staged(still.join(matched.unionByName(second), ["doc_id", "line"], "left_anti"), "open")
     more = staged(other_candidates(firsts, still).join(found.select(*_PAIR), _PAIR, "left_anti"), "pairs")
-    third = verified(docs, more, masks)
+    third = verified(docs, more, ranks)
     removed = staged(copies.unionByName(matched).unionByName(second).unionByName(third).distinct(), "removed")
-    discard(all_lines, found, still, more, matched, second, third, *read)
+    discard(firsts, copies, found, still, more, matched, second, third)
     return removed
 
 
