@@ -156,8 +156,10 @@ _PAIR = ["y_doc", "y_line", "x_doc", "x_line"]
 
 def _entries(some_lines: DataFrame) -> DataFrame:
     """token, doc, at (line and place of the word), n and sketches of each prefix word."""
+    # Conditions that the optimizer adds for some readers are stated here, so that all readers share one shuffle.
+    some_lines = some_lines.where("size(prefix) > 0 and prefix is not null")
     each = some_lines.select("doc_id", "line", "n", "sketch", "sketch2", F.inline("prefix"))
-    return each.selectExpr("token", "doc_id as doc", "shiftleft(cast(line as long), 32) | cast(i as long) as at", "n", "sketch", "sketch2")
+    return each.where("token is not null").selectExpr("token", "doc_id as doc", "shiftleft(cast(line as long), 32) | cast(i as long) as at", "n", "sketch", "sketch2")
 
 
 def _side(entries: DataFrame, s: str) -> DataFrame:
