@@ -22,8 +22,6 @@ positions.  Other columns are kept, whatever their names.
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +32,6 @@ from transitloom.plans.staging import discard, staged
 
 #: Words are counted in 2**BUCKET_BITS counters, by the first bits of their hashes.
 BUCKET_BITS = 16
-#: Buckets with over HOT times the mean count are common: their words are looked up in pairs.
-HOT = 4
 #: Lines of more distinct words have a second sketch word.
 ONE_WORD = 64
 
@@ -44,17 +40,9 @@ def _bucket(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")
 
 
-class Ranks(NamedTuple):
-    """`masks`: for each bucket the number that turns it into its rank by xor, comma-joined; `common`: the least key of
-    a word in a common bucket."""
-
-    masks: str
-    common: int
-
-
-def word_ranks(docs: DataFrame) -> Ranks:
-    """Ranks by the bucket's count in the corpus, rarest first; each bucket has a rank of its own, so words' keys are as
-    distinct as their hashes."""
+def word_ranks(docs: DataFrame) -> str:
+    """For each bucket the number that turns it into its rank by xor, comma-joined.  Ranks go by the bucket's count in the
+    corpus, rarest first, and each bucket has a rank of its own, so words' keys are as distinct as their hashes."""
     words = docs.select(F.explode(F.split("text", "[ \n]+")).alias("w")).where("w <> ''")
     rows = words.select(_bucket(F.xxhash64("w")).alias("b")).groupBy("b").count().toPandas()  # one row a bucket
     size = 1 << BUCKET_BITS
@@ -62,13 +50,12 @@ def word_ranks(docs: DataFrame) -> Ranks:
     counts[rows["b"].to_numpy(dtype=np.int64)] = rows["count"].to_numpy(dtype=np.int64)
     masks = np.arange(size)
     masks[np.argsort(counts, kind="stable")] ^= np.arange(size) ^ (size >> 1)
-    rare = int((counts * size <= HOT * counts.sum()).sum())
-    return Ranks(",".join(map(str, masks.tolist())), min((rare - (size >> 1)) << (64 - BUCKET_BITS), (1 << 63) - 1))
+    return ",".join(map(str, masks.tolist()))
 
 
-def sorted_words(line: Column, ranks: Ranks) -> Column:
+def sorted_words(line: Column, ranks: str) -> Column:
     """The line's distinct words as longs, rarest first."""
-    table = F.split(F.lit(ranks.masks), ",").cast("array<int>")  # a constant, folded before the plan runs
+    table = F.split(F.lit(ranks), ",").cast("array<int>")  # a constant, folded before the plan runs
     hashes = F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)))
     return F.sort_array(F.transform(hashes, lambda h: h.bitwiseXOR(F.shiftleft(F.get(table, _bucket(h)).cast("long"), 64 - BUCKET_BITS))))
 
@@ -79,33 +66,16 @@ def _parities(keys: Column) -> Column:
     return F.aggregate(keys, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
 
 
-def lines(docs: DataFrame, ranks: Ranks) -> DataFrame:
+def lines(docs: DataFrame, ranks: str) -> DataFrame:
     """doc_id, line, n (words), sid (hash of the set), sketch (parities of all words), sketch2 (of lines of more than
-    ONE_WORD words: parities of about half of them, else 0) and prefix (tokens of which a match must share one, with their places) of every line."""
+    ONE_WORD words: parities of about half of them, else 0) and prefix (the words of which a match must share one) of every line."""
     every = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).where("trim(t) <> ''")
     keyed = every.select("doc_id", "line", sorted_words(F.col("t"), ranks).alias("keys"))
     half = F.filter("keys", lambda h: h.bitwiseAND(F.lit(64)) != 0)
     second = F.when(F.size("keys") > ONE_WORD, _parities(half)).otherwise(F.lit(0).cast("long"))
-    return keyed.select("doc_id", "line", F.size("keys").alias("n"), F.xxhash64("keys").alias("sid"), _parities(F.col("keys")).alias("sketch"), second.alias("sketch2"), _tokens(ranks.common).alias("prefix"))
-
-
-def _tokens(common: int) -> Column:
-    """Structs of a token and a place: the rare ones of the prefix words, and pairs of common ones.
-
-    Two similar sets share one of the first n / 5 + 1 words of each, and two of the first n / 5 + 2.  If the first word
-    they share is common, so is the second, which comes later in the order, and both have that pair.
-    Below four words only equal sets are similar enough.
-    """
-    rest = lambda x, i: F.slice(x, i + 2, F.size(x))
-    p = (F.size("keys") / 5).cast("int")
-    rare = F.filter(F.slice("keys", F.lit(1), p + 1), lambda h: h < common)
-    some = F.filter(F.slice("keys", F.lit(1), p + 2), lambda h: h >= common)
-    place = F.size(rare)
-    singles = F.transform(rare, lambda h, i: F.struct(i.alias("i"), h.alias("token")))
-    # transform over a one-element array names an intermediate value once
-    pairs = F.flatten(F.flatten(F.transform(F.array(some), lambda x: F.transform(x, lambda a, i: F.transform(rest(x, i), lambda b: F.struct((place + i).alias("i"), F.xxhash64(a, b).alias("token")))))))
-    none = F.array().cast("array<struct<i:int,token:long>>")
-    return F.when(F.size("keys") < 4, none).when(F.size(some) > 1, F.concat(singles, pairs)).otherwise(singles)
+    # Below four words only equal sets are similar enough.
+    prefix = F.when(F.size("keys") >= 4, F.slice("keys", F.lit(1), (F.size("keys") / 5).cast("int") + 1)).otherwise(F.array().cast("array<long>"))
+    return keyed.select("doc_id", "line", F.size("keys").alias("n"), F.xxhash64("keys").alias("sid"), _parities(F.col("keys")).alias("sketch"), second.alias("sketch2"), prefix.alias("prefix"))
 
 
 def first_of_equals(all_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -130,7 +100,7 @@ def first_of_equals(all_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return firsts, copies
 
 
-def verified(docs: DataFrame, pairs: DataFrame, ranks: Ranks) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, ranks: str) -> DataFrame:
     """(doc_id, line) of the y in pairs (y, x) that are similar, compared on whole sets."""
     need = staged(pairs.select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line")).unionByName(pairs.select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line"))).distinct(), "need")
     by_doc = need.groupBy("doc_id").agg(F.collect_set("line").alias("wanted"))
@@ -145,20 +115,20 @@ def verified(docs: DataFrame, pairs: DataFrame, ranks: Ranks) -> DataFrame:
 
 
 #: A pair may be similar: its sketches, sizes and the words from the first common one on allow it, and x is earlier.
-#: The first test rejects most pairs, so it stands first.
+#: The first test rejects most pairs, so it stands first.  Without `coalesce` the optimizer would add filters to one reader
+#: of the entries, which then needs a shuffle of its own.
 _PARITY = "bit_count(x_sketch ^ y_sketch)"
 _PARITY_2 = f"if(x_n > {ONE_WORD} and y_n > {ONE_WORD}, bit_count(x_sketch ^ x_sketch2 ^ y_sketch ^ y_sketch2) + bit_count(x_sketch2 ^ y_sketch2), 0)"
-_MAY = f"""9 * {_PARITY} <= x_n + y_n and (x_doc < y_doc or x_doc = y_doc and x_line < y_line)
+_MAY = f"""coalesce(9 * {_PARITY} <= x_n + y_n and (x_doc < y_doc or x_doc = y_doc and x_line < y_line)
     and 5 * x_n >= 4 * y_n and 5 * y_n >= 4 * x_n
-    and 9 * least(x_n - x_i, y_n - y_i) >= 4 * (x_n + y_n) and 9 * {_PARITY_2} <= x_n + y_n"""
+    and 9 * least(x_n - x_i, y_n - y_i) >= 4 * (x_n + y_n) and 9 * {_PARITY_2} <= x_n + y_n, false)"""
 _PAIR = ["y_doc", "y_line", "x_doc", "x_line"]
 
 
 def _entries(some_lines: DataFrame) -> DataFrame:
     """token, doc, at (line and place of the word), n and sketches of each prefix word."""
-    # Conditions that the optimizer adds for some readers are stated here, so that all readers share one shuffle.
-    some_lines = some_lines.where("size(prefix) > 0 and prefix is not null")
-    each = some_lines.select("doc_id", "line", "n", "sketch", "sketch2", F.inline("prefix"))
+    # The outer form, with the filter stated, gets no filters of its own from the optimizer: all readers share one shuffle.
+    each = some_lines.select("doc_id", "line", "n", "sketch", "sketch2", F.posexplode_outer("prefix").alias("i", "token"))
     return each.where("token is not null").selectExpr("token", "doc_id as doc", "shiftleft(cast(line as long), 32) | cast(i as long) as at", "n", "sketch", "sketch2")
 
 
