@@ -1,5 +1,8 @@
 import pytest
 
+#: Columns named like helper columns of the operators.
+CLASHING = ("_n_removed", "_copy", "_gone", "_Gone_doc", "_kept", "_bad", "_doc", "_left", "_number", "_key", "_deal", "_hits", "_items")
+
 
 @pytest.fixture(scope="session")
 def odd(spark):
@@ -19,7 +22,7 @@ def odd(spark):
         (9, "one", "en", "s", 3, 1),
         (10, "Ünïcode ﷽ 漢字 \U0001f600 end", None, "s", 3, 1),
     ]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `score` long").repartition(3)
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `score` long").repartition(3).selectExpr("*", *[f"doc_id as `{c}`" for c in CLASHING])
 
 
 @pytest.fixture(scope="session")

@@ -186,11 +186,25 @@ def test_spans_are_cut(spark):
     assert decontaminate.clean_documents(docs, items.limit(0)).count() == 1
 
 
-def test_several_blocks_remove_the_same_documents(spark, odd):
+@pytest.mark.parametrize("spans", [False, True])
+@pytest.mark.parametrize("block", [4, 30])
+def test_several_blocks_give_the_same_documents(spark, odd, spans, block):
     items = spark.createDataFrame([x for x in ITEMS if x[0] != 5], "item_id long, text string")
-    one = decontaminate.clean_documents(odd.where("doc_id is not null"), items)
-    many = decontaminate.clean_documents(odd.where("doc_id is not null"), items, block_windows=4)
-    assert one.columns == many.columns and sorted(r["doc_id"] for r in one.collect()) == sorted(r["doc_id"] for r in many.collect())
+    extra = spark.createDataFrame([(5, "all other words here", "fr", "s", 5, 1), (5, "chat est sur", "fr", "s", 5, 1), (None, "chat est sur", "fr", "s", 5, 1)], "doc_id long, text string, lang string, source string, n_chars long, score long")
+    docs = odd.unionByName(extra, allowMissingColumns=True)
+    one = decontaminate.clean_documents(docs, items, spans=spans)
+    many = decontaminate.clean_documents(docs, items, spans=spans, block_windows=block)
+    assert one.columns == many.columns == docs.columns
+    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
+    assert decontaminate.clean_documents(docs.limit(0), items, spans=spans, block_windows=block).count() == 0
+
+
+def test_long_items_are_cut_between_words(spark):
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(k, " ".join(words[k : k + 13])) for k in range(48)] + [(99, " ".join(words[:12]))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontaminate.contamination(docs, items, block_windows=7).collect()}
+    assert got == {**{k: (13, 1) for k in range(48)}, 99: (0, 0)}
 
 
 ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")

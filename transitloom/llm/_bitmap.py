@@ -24,6 +24,11 @@ class Bitmap:
         self.words = staged(dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("words")), "bitmap")
 
     def has(self, doc_id: str = "doc_id") -> Column:
-        at = F.pmod(F.xxhash64(F.col(doc_id).cast("long")), F.lit(self.bits))
+        return self.has_value(F.col(doc_id).cast("long"))
+
+    def has_value(self, value: Column) -> Column:
+        """Whether the set may hold a long; false for null."""
+        at = F.pmod(F.xxhash64(value), F.lit(self.bits))
         word = F.element_at(self.words.select("words").scalar(), (at / 64).cast("int") + 1)
-        return F.coalesce(word.bitwiseAND(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(cast({doc_id} as long)), 64) as int))")) != 0, F.lit(False))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(value), F.lit(64)).cast("int"))
+        return F.coalesce(value.isNotNull() & (word.bitwiseAND(bit) != 0), F.lit(False))

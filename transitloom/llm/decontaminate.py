@@ -4,8 +4,10 @@ Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z.  An it
 words, or all its words where it has fewer.  Each document is scanned once for windows by hash; a hit counts only if
 its words equal those of the benchmark.  A document word inside any occurrence is hit.
 
-The benchmark goes to the executors in blocks of at most `block_windows` windows.  One block, the usual case, needs no
-shuffle.  For more blocks, the documents are scanned once for each and the hit spans are merged by document.
+The benchmark goes to the executors in blocks of at most `block_windows` windows, of which the driver holds two at a
+time; longer items are cut between words into pieces that overlap, which keeps their windows.  One block, the usual
+case, needs no shuffle.  For more blocks, the documents are scanned once for each, and the hits of equal texts are united;
+results are the same.  Whether a row goes depends on its text alone, so equal texts go or stay together.
 
 Nulls have no words.  Items without words match nothing, as do null items; equal windows of several items count for
 each of them.  Rows of equal doc_id are reported each by themselves.  Other columns are ignored.
@@ -14,20 +16,27 @@ each of them.  Rows of equal doc_id are reported each by themselves.  Other colu
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from transitloom.llm._bitmap import Bitmap
+from transitloom.llm._names import free_names
 from transitloom.llm._text import ALNUM, LOWER, Text, chunks, runs
-from transitloom.plans.staging import staged
+from transitloom.plans.staging import discard, staged
 
 WIDTH = 13
 BLOCK_WINDOWS = 2_000_000
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-SPANS = "row_key string, doc_id long, n_words long, hits array<int>, items array<string>"
+SPANS = "key string, hits array<int>, items array<string>"
+#: Tasks that rows of one contaminated text are dealt to.
+DEALS = 16
+WORD = re.compile("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
 
 
 class Windows:
@@ -64,45 +73,104 @@ class Windows:
         return hit, items
 
 
-def _blocks(benchmark: DataFrame, width: int, block_windows: int) -> list[Windows]:
+def _blocks(benchmark: DataFrame, width: int, block_windows: int) -> Iterator[Windows]:
     """The benchmark's windows in blocks; items arrive one partition at a time, never all at once."""
-    blocks, items, size = [], [], 0
+    items, size, some = [], 0, False
     for row in benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("string"), "text").distinct().toLocalIterator():
-        items.append((row[0], row[1]))
-        size += len(row[1]) // 2 + 1  # at least as many as it has words
-        if size >= block_windows:
-            blocks.append(Windows(items, width))
-            items, size = [], 0
-    if items or not blocks:
-        blocks.append(Windows(items, width))
-    return blocks
+        pieces = [row[1]]
+        if len(row[1]) // 2 + 1 > block_windows and len(words := WORD.findall(row[1])) >= width:
+            step = max(1, block_windows)
+            pieces = [" ".join(words[i : i + step + width - 1]) for i in range(0, len(words) - width + 1, step)]
+        for piece in pieces:
+            items.append((row[0], piece))
+            size += len(piece) // 2 + 1  # at least as many as it has words
+            if size >= block_windows:
+                yield Windows(items, width)
+                items, size, some = [], 0, True
+    if items or not some:
+        yield Windows(items, width)
 
 
 def digest(items) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
+def _hits(docs: DataFrame, benchmark: DataFrame, width: int, block_windows: int):
+    """`docs`, and a function (part, words) -> hit mask of the words, item ids of each document.
+
+    For several blocks, docs gets two more columns that carry the hits.
+    """
+    spark, blocks = docs.sparkSession, _blocks(benchmark, width, block_windows)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        shared = spark.sparkContext.broadcast(block)
+
+        def by_scan(part, words):
+            hit, items = shared.value.scan(words)
+            return hit, [items.get(i, ()) for i in range(part.num_rows)]
+
+        return docs, by_scan
+
+    found = []
+    keyed = docs.where("text is not null").select("text", F.sha2("text", 256).alias("key"))
+    while block is not None:
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches, shared=shared):
+            for batch in batches:
+                for part in chunks(batch, "text"):
+                    words = Text(part.column("text")).words(ALNUM, LOWER)
+                    hit, items = shared.value.scan(words)
+                    some = sorted(items)
+                    where = [np.flatnonzero(hit[words.first[i] : words.first[i + 1]]).tolist() for i in some]
+                    yield pa.record_batch([part.column("key").take(pa.array(some, pa.int64())), pa.array(where, pa.list_(pa.int32())), pa.array([sorted(items[i]) for i in some], pa.list_(pa.string()))], names=["key", "hits", "items"])
+
+        found.append(staged(keyed.mapInArrow(run, SPANS).dropDuplicates(["key"]), "hits"))
+        shared.destroy()
+        block, following = following, next(blocks, None)
+    all_found = found[0]
+    for f in found[1:]:
+        all_found = all_found.unionByName(f)
+    key, deal, hits, items = free_names(docs.columns, "key", "deal", "hits", "items")
+    flat = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    united = staged(all_found.groupBy(F.col("key").alias(key)).agg(flat("hits").alias(hits), flat("items").alias(items)), "united")
+    discard(*found)
+    number = F.xxhash64(key)
+    touched = Bitmap(united.select(number.alias(key)), key)
+    marked = docs.withColumn(key, F.sha2("text", 256)).withColumn(deal, F.pmod(F.xxhash64("doc_id"), F.lit(DEALS)))
+    some = F.coalesce(touched.has_value(number), F.lit(False))
+    dealt = united.withColumn(deal, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long"))))
+    carried = marked.where(some).join(dealt, [key, deal], "left").select(*docs.columns, hits, items)
+    plain = docs.where(~F.coalesce(touched.has_value(F.xxhash64(F.sha2("text", 256))), F.lit(False)))
+    kinds = united.schema
+    plain = plain.select(*docs.columns, F.lit(None).cast(kinds[hits].dataType).alias(hits), F.lit(None).cast(kinds[items].dataType).alias(items))
+
+    def by_column(part, words):
+        hit = np.zeros(len(words.start), bool)
+        for i, at in enumerate(part.column(hits).to_pylist()):
+            if at:
+                hit[words.first[i] + np.array(at)] = True
+        return hit, [x or () for x in part.column(items).to_pylist()]
+
+    return plain.unionByName(carried), by_column
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = 5, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated (hits make up `percent` of the words or more)."""
-    spark = docs.sparkSession
-    blocks = _blocks(benchmark, width, block_windows)
-    if len(blocks) > 1:
-        return _by_block(docs, blocks, percent)
-    shared = spark.sparkContext.broadcast(blocks[0])
+    marked, hits_of = _hits(docs.select("doc_id", "text"), benchmark, width, block_windows)
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch, "text"):
                 words = Text(part.column("text")).words(ALNUM, LOWER)
-                hit, items = shared.value.scan(words)
+                hit, found = hits_of(part, words)
                 n, n_hit = words.counts, _per_doc(hit, words)
-                found = [items.get(i, ()) for i in range(part.num_rows)]
                 yield pa.record_batch(
                     [part.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(n_hit), pa.array([len(x) for x in found], pa.int64()), pa.array([digest(x) for x in found]), pa.array((n_hit > 0) & (100 * n_hit >= percent * n))],
                     names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, RESULT)
+    return marked.mapInArrow(run, RESULT)
 
 
 def _per_doc(hit: np.ndarray, words) -> np.ndarray:
@@ -110,54 +178,19 @@ def _per_doc(hit: np.ndarray, words) -> np.ndarray:
     return sums[words.first[1:]] - sums[words.first[:-1]]
 
 
-def _by_block(docs: DataFrame, blocks: list[Windows], percent: int) -> DataFrame:
-    """One scan for each block of windows; the hit words and items of a document's scans are then united."""
-    spark, parts = docs.sparkSession, []
-    keyed = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("row_key"))
-    for block in blocks:
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches, shared=shared):
-            for batch in batches:
-                for part in chunks(batch, "text"):
-                    words = Text(part.column("text")).words(ALNUM, LOWER)
-                    hit, items = shared.value.scan(words)
-                    where = [np.flatnonzero(hit[a:b]).tolist() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-                    yield pa.record_batch(
-                        [part.column("row_key"), part.column("doc_id").cast(pa.int64()), pa.array(words.counts), pa.array(where, pa.list_(pa.int32())), pa.array([sorted(items.get(i, ())) for i in range(part.num_rows)], pa.list_(pa.string()))],
-                        names=["row_key", "doc_id", "n_words", "hits", "items"],
-                    )
-
-        parts.append(staged(keyed.mapInArrow(run, SPANS), "hits"))
-    all_parts = parts[0]
-    for p in parts[1:]:
-        all_parts = all_parts.unionByName(p)
-    copies = F.count("*") / F.lit(len(blocks))
-    one = all_parts.groupBy("row_key", "doc_id", "n_words").agg(copies.cast("int").alias("copies"), F.array_distinct(F.flatten(F.collect_set("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    n_hit = F.size("hits").cast("long")
-    return one.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), ((n_hit > 0) & (100 * n_hit >= percent * F.col("n_words"))).alias("contaminated"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
-
-
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = 5, spans: bool = False, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """`docs` without contaminated documents or, with `spans`, with hit words cut out of their texts; all columns stay.
-
-    A benchmark of several blocks is scanned block by block, and contaminated doc_ids are joined away; spans are cut
-    for a benchmark of one block only.
-    """
-    blocks = _blocks(benchmark, width, block_windows)
-    if len(blocks) > 1:
-        if spans:
-            raise ValueError("spans can be cut for one block of windows only")
-        bad = _by_block(docs, blocks, percent).where("contaminated and doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct()
-        return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
-    shared = docs.sparkSession.sparkContext.broadcast(blocks[0])
+    """`docs` without the rows whose texts are contaminated or, with `spans`, with hit words cut out of those texts; all
+    columns stay."""
+    marked, hits_of = _hits(docs, benchmark, width, block_windows)
+    columns = docs.columns
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch, "text"):
                 text = Text(part.column("text"))
                 words = text.words(ALNUM, LOWER)
-                hit, _ = shared.value.scan(words)
+                hit, _ = hits_of(part, words)
+                part = part.select(columns)
                 n, n_hit = words.counts, _per_doc(hit, words)
                 bad = (n_hit > 0) & (100 * n_hit >= percent * n)
                 if not spans:
@@ -174,4 +207,4 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, p
                 at = part.schema.get_field_index("text")
                 yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return marked.mapInArrow(run, docs.schema)

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transitloom.llm._bitmap import Bitmap
+from transitloom.llm._names import free_names
 from transitloom.llm._text import LOWER, NOT_SPACE, Text, chunks, mix, signed
 from transitloom.plans.components import components
 from transitloom.plans.staging import discard, staged
@@ -347,8 +348,9 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     """`docs`, all columns kept, without the documents whose class has a smaller doc_id; of rows that repeat a doc_id
     and its text one stays.  Rows with a null doc_id stay."""
     found = staged(classes(docs, width, percent), "classes")
-    copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    repeated = found.groupBy("doc_id").count().where("doc_id is not null and count > 1").select(F.col("doc_id").alias("_copy"))
-    touched = Bitmap(copies.unionByName(repeated), "_copy")
-    some = docs.where(touched.has()).join(copies, F.col("doc_id").cast("long") == F.col("_copy"), "left_anti").dropDuplicates(["doc_id", "text"])
+    (copy,) = free_names(docs.columns, "copy")
+    copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias(copy)).distinct()
+    repeated = found.groupBy("doc_id").count().where("doc_id is not null and count > 1").select(F.col("doc_id").alias(copy))
+    touched = Bitmap(copies.unionByName(repeated), copy)
+    some = docs.where(touched.has()).join(copies, F.col("doc_id").cast("long") == F.col(copy), "left_anti").dropDuplicates(["doc_id", "text"])
     return docs.where(~touched.has()).unionByName(some)
