@@ -28,6 +28,10 @@ def test_best_fit_packing(odd, capacity, group):
         assert bins.get(r["sequence_id"], 0) == r["offset"]  # gapless from 0
         bins[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(bins.values()) <= capacity
+    counts = np.bincount([r["length"] for r in got], minlength=capacity + 1)
+    plan = best_fit.bin_completion(counts, capacity)
+    assert len(bins) == sum(n for _, n in plan.fillings) <= sum(n for _, n in best_fit.best_fit_decreasing(counts, capacity))
+    assert len(bins) >= best_fit.lower_bound(counts, capacity)
 
 
 def test_packing_of_nothing(nothing):
@@ -54,23 +58,46 @@ def fewest(sizes, capacity):
     return best[0]
 
 
-@pytest.mark.parametrize("seed", range(40))
+@pytest.mark.parametrize("seed", range(60))
 def test_bin_completion(seed):
     rng = random.Random(seed)
     capacity = rng.choice([10, 30, 100])
-    sizes = [rng.randint(1, capacity) for _ in range(rng.randint(0, 9))]
+    sizes = [rng.randint(1, capacity if seed % 2 else capacity // 2) for _ in range(rng.randint(0, 12))]
     counts = np.bincount(sizes, minlength=capacity + 1) if sizes else np.zeros(capacity + 1, np.int64)
-    plan = best_fit.bin_completion(counts, capacity)
-    packed = sorted(s for p, n in plan for s in p for _ in range(n))
-    assert packed == sorted(sizes) and all(sum(p) <= capacity for p, _ in plan)
-    assert sum(n for _, n in plan) == fewest(sizes, capacity)
+    plan = best_fit.bin_completion(counts, capacity, nodes=100_000)
+    packed = sorted(s for p, n in plan.fillings for s in p for _ in range(n))
+    assert packed == sorted(sizes) and all(sum(p) <= capacity for p, _ in plan.fillings)
+    assert plan.proven and plan.bound <= sum(n for _, n in plan.fillings) == fewest(sizes, capacity)
 
 
 def test_branching_improves_on_best_fit():
     # best-fit decreasing needs four bins of 10 here: three suffice
     sizes = [5, 4, 4, 3, 3, 3, 3, 3, 2]
     counts = np.bincount(sizes, minlength=11)
-    assert sum(n for _, n in best_fit.bin_completion(counts, 10)) == fewest(sizes, 10) == 3
+    assert sum(n for _, n in best_fit.best_fit_decreasing(counts, 10)) == 4
+    plan = best_fit.bin_completion(counts, 10)
+    assert plan.proven and sum(n for _, n in plan.fillings) == fewest(sizes, 10) == 3
+
+
+def test_fillings_are_all_undominated_ones():
+    from itertools import combinations
+
+    for seed in range(30):
+        rng = random.Random(seed)
+        room = rng.randint(5, 40)
+        sizes = [rng.randint(1, 20) for _ in range(rng.randint(1, 8))]
+        fits = {tuple(sorted(c, reverse=True)) for k in range(len(sizes) + 1) for c in combinations(sizes, k) if sum(c) <= room}
+
+        def covers(a, b):
+            """Whether the items of b can be put into rooms of the sizes of a, not the same multiset."""
+            if not b:
+                return True
+            return any(r >= b[0] and covers((*a[:i], r - b[0], *a[i + 1 :]), b[1:]) for i, r in enumerate(a))
+
+        got = list(best_fit.fillings(np.bincount(sizes, minlength=room + 1), room))
+        assert len(set(got)) == len(got) and set(got) <= fits
+        # whatever fits is covered by a filling that is enumerated
+        assert all(any(covers(g, f) for g in got) for f in fits), (room, sizes, got)
 
 
 def test_capacity_tree():

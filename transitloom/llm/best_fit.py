@@ -1,13 +1,14 @@
 """Best-fit packing by bin completion (operator 10), and the packing of one group by best-fit decreasing (operator 1).
 
-Documents become pieces of at most `capacity` tokens.  Pieces are dealt at random into groups of about `group_size`
-pieces, and each group is packed by itself in one task: it sees lengths only, so a group's memory is bounded, nothing
-is collected to the driver, and at most one sequence a group is lost against packing everything together.
+Documents become pieces of at most `capacity` tokens.  Equal lengths are interchangeable, so all pieces are planned
+together, on one histogram of at most `capacity` counters.  Best-fit decreasing gives the first incumbent.  If it uses
+more sequences than the lower bound, bin completion branches over the undominated fillings beside the largest remaining
+length, nearest fits first, and over how often each is used; it prunes what wastes more than a better solution could, and
+keeps each better solution as the new incumbent.  Fillings are enumerated lazily and without a limit of their own; the
+search as a whole ends at the bound, when nothing is left, or after `nodes` steps, which `Plan.proven` tells apart.
 
-Within a group, equal lengths are interchangeable, so the search works on a histogram of lengths.  Best-fit decreasing
-gives the first incumbent.  If it uses more sequences than the waste bound, bin completion branches over the
-undominated fillings beside the largest remaining length, in the order of their waste, prunes what wastes more than a
-better solution could, and keeps each better solution as the new incumbent until the bound or `nodes` is reached.
+The plan says which ranks of each length go where.  Pieces are dealt to groups of about `group_size` by hash; the counts
+of each length in the groups give each group its first ranks, so that no task sees more than its group.
 
 Nulls and empty texts are documents of one end token; rows with a null doc_id are packed too; repeated rows are packed
 as often as they occur; an empty table gives an empty result.  Other columns of the input are ignored.
@@ -16,10 +17,12 @@ as often as they occur; an empty table gives an empty result.  Other columns of
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from transitloom.llm._text import chunks
@@ -28,6 +31,8 @@ from transitloom.plans.staging import staged
 
 CAPACITY = 2048
 GROUP_SIZE = 250_000
+#: Steps of the search for a plan: fillings that are looked at.  Pieces are never left out.
+NODES = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, tie long"
 
 
@@ -89,117 +94,124 @@ def best_fit_decreasing(counts: np.ndarray, capacity: int) -> list[tuple[Pattern
     return [x for kept in bins.values() for x in kept]
 
 
-def dominates(a: Pattern, b: Pattern) -> bool:
-    """Whether the items of b fit into bins as large as the items of a, so that a is at least as good a filling."""
-    if len(b) < len(a) and sum(b) > sum(a):
-        return False
-
-    def fits(rooms: tuple[int, ...], items: Pattern) -> bool:
-        if not items:
-            return True
-        return any(r >= items[0] and fits((*rooms[:i], r - items[0], *rooms[i + 1 :]), items[1:]) for i, r in enumerate(rooms))
-
-    return fits(tuple(a), tuple(sorted(b, reverse=True)))
-
-
-def fillings(counts: np.ndarray, room: int, most: int = 6) -> list[Pattern]:
-    """Undominated fillings of `room` from the lengths at hand, by ascending waste; up to three items, then the rest
-    by best fit."""
-    if room <= 0:
-        return [()]
-    sizes = np.flatnonzero(counts[: room + 1])
-    if not len(sizes):
-        return [()]
-    if sizes[-1] == room:
-        return [(room,)]
-    have = counts[: room + 1] > 0
-    found: list[Pattern] = []
-    a = sizes[sizes * 2 >= room]
-    b = room - a
-    ok = have[b] & (b > 0) & ((a != b) | (counts[a] > 1))
-    found += [(int(x), room - int(x)) for x in a[ok][::-1][:most]]
-    if len(found) < most:
-        for x in sizes[::-1][: 4 * most].tolist():
-            rest = room - x
-            y = sizes[(sizes <= min(x, rest - 1)) & (sizes * 2 >= rest)]
-            z = rest - y
-            ok = have[z] & (z > 0)
-            for v in y[ok][::-1][:2].tolist():
-                p = (x, v, rest - v)
-                if all(counts[s] >= p.count(s) for s in p):
-                    found.append(p)
-            if len(found) >= 2 * most:
-                break
-    for x in sizes[::-1][:most].tolist():  # best fit after each of the largest: the waste may be above 0
-        p, rest, left = [x], room - x, {x: int(counts[x]) - 1}
-        while rest > 0:
-            y = sizes[sizes <= rest]
-            y = next((int(v) for v in y[::-1][:8] if left.get(int(v), int(counts[v])) > 0), None)
-            if y is None:
-                break
-            left[y] = left.get(y, int(counts[y])) - 1
-            p.append(y)
-            rest -= y
-            if len(p) > 12:
-                break
-        found.append(tuple(p))
-    found = sorted(dict.fromkeys(tuple(sorted(p, reverse=True)) for p in found), key=lambda p: (room - sum(p), len(p), [-x for x in p]))
-    kept: list[Pattern] = []
-    for p in found:
-        if len(p) > 5 or not any(len(q) <= 3 and dominates(q, p) for q in kept):
-            kept.append(p)
-        if len(kept) >= most:
-            break
-    return kept
-
-
-def bin_completion(counts: np.ndarray, capacity: int, nodes: int = 4000) -> list[tuple[Pattern, int]]:
+class Plan(NamedTuple):
+    """Fillings and how often each occurs; a lower bound on sequences; whether no plan can need fewer."""
+
+    fillings: list[tuple[Pattern, int]]
+    bound: int
+    proven: bool
+
+
+def _smeared(bits: int, width: int) -> int:
+    """The union of `bits` shifted up by 0 to width - 1."""
+    if width <= 0:
+        return 0
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        bits |= bits << step
+        done += step
+    return bits
+
+
+def dominated(filling: Pattern, waste: int, left: int) -> bool:
+    """Whether an item that is left (bit s of `left` for length s) could take the place of some of the filling's items,
+    and be at least as long as all of them together."""
+    sums, several = 1, 0  # sums of any items, and of two or more
+    for s in filling:
+        several |= (sums ^ 1 | several) << s
+        sums |= sums << s
+    return bool(left & ~1 & (several | _smeared(sums << 1, waste)))
+
+
+def fillings(counts: np.ndarray, room: int, steps: list[int] | None = None) -> Iterator[Pattern]:
+    """All undominated fillings of `room` from the lengths at hand, one item that fits exactly first, then by descending
+    items.  Each that is looked at takes one of `steps`; none is given once they are used up."""
+    steps = [1 << 62] if steps is None else steps
+    have = {int(s): int(counts[s]) for s in np.flatnonzero(counts[: room + 1]) if s}
+    sizes = sorted(have, reverse=True)
+    every = sum(1 << s for s in sizes)
+    if not sizes:
+        yield ()
+        return
+    if sizes[0] == room:  # it dominates all others
+        yield (room,)
+        return
+
+    def left_after(filling: Pattern) -> int:
+        gone = sum(1 << s for s in set(filling) if filling.count(s) == have[s])
+        return every & ~gone
+
+    stack: list[tuple[Pattern, int, int]] = [((), room, 0)]
+    while stack and steps[0] > 0:
+        filling, rest, at = stack.pop()
+        while at < len(sizes) and (sizes[at] > rest or filling.count(sizes[at]) == have[sizes[at]]):
+            at += 1
+        if at < len(sizes):
+            stack.append((filling, rest, at + 1))
+            stack.append(((*filling, sizes[at]), rest - sizes[at], at))
+            continue
+        steps[0] -= 1
+        if filling and not dominated(filling, rest, left_after(filling)):
+            yield filling
+
+
+def lower_bound(counts: np.ndarray, capacity: int) -> int:
+    """Sequences that any plan needs: for each k, items over capacity - k fill one each, items over half of it one
+    each, and what items of k or more do not find room beside those needs more."""
+    c = np.asarray(counts, dtype=object)
+    at = np.arange(len(c), dtype=object)
+    number = np.concatenate([[0], np.cumsum(c)])
+    volume = np.concatenate([[0], np.cumsum(c * at)])
+    half, best = capacity // 2, -(-int(volume[-1]) // capacity)
+    for k in range(1, half + 1):
+        alone = int(number[-1] - number[capacity - k + 1])
+        beside, beside_volume = int(number[capacity - k + 1] - number[half + 1]), int(volume[capacity - k + 1] - volume[half + 1])
+        rest = int(volume[half + 1] - volume[k]) - (beside * capacity - beside_volume)
+        best = max(best, alone + beside + max(0, -(-rest // capacity)))
+    return best
+
+
+def bin_completion(counts: np.ndarray, capacity: int, nodes: int = NODES) -> Plan:
     """Fillings of the histogram `counts` (by length, 0 unused) into few bins of `capacity`."""
     counts = np.array(counts, dtype=np.int64)
     total = int((counts * np.arange(len(counts))).sum())
     best = best_fit_decreasing(counts, capacity)
-    used = sum(n for _, n in best)
-    bound = -(-total // capacity)
-    large = int(counts[capacity // 2 + 1 :].sum())
-    bound = max(bound, large)
-    if used <= bound:
-        return best
-    stack: list[tuple[np.ndarray, list[tuple[Pattern, int]], int, int, list[Pattern], int]] = []
-
-    def branch(c: np.ndarray, done: list, waste: int, bins: int) -> None:
-        top = np.flatnonzero(c)
-        if len(top):
-            a = int(top[-1])
-            c[a] -= 1
-            options = fillings(c, capacity - a)
+    used, bound, steps = sum(n for _, n in best), lower_bound(counts, capacity), [nodes]
+
+    def choices(c: np.ndarray) -> Iterator[tuple[Pattern, int]]:
+        """Fillings with the largest length left, each as often as possible and then less often."""
+        a = int(np.flatnonzero(c)[-1])
+        c = c.copy()
+        c[a] -= 1
+        for p in fillings(c, capacity - a, steps):
+            kinds, need = np.unique((a, *p), return_counts=True)
             c[a] += 1
-            stack.append((c, done, waste, bins, [(a, *p) for p in options], 0))
-
-    branch(counts, [], 0, 0)
-    depth_first = nodes + len(counts) * 8
-    while stack and depth_first > 0:
-        c, done, waste, bins, options, at = stack.pop()
-        if at >= len(options):
-            continue
-        stack.append((c, done, waste, bins, options, at + 1))
-        depth_first -= 1
-        p = options[at]
-        kinds, need = np.unique(p, return_counts=True)
-        times = max(1, int((c[kinds] // need).min()))
-        rest = c.copy()
-        rest[kinds] -= need * times
-        lost = waste + (capacity - sum(p)) * times
-        if lost > (used - 1) * capacity - total:  # no better solution can waste so much
+            most = int((c[kinds] // need).min())
+            c[a] -= 1
+            for times in range(most, 0, -1):
+                yield (a, *p), times
+
+    stack = [(counts, [], 0, 0, choices(counts))] if total else []
+    while stack and used > bound and steps[0] > 0:
+        c, done, waste, bins, options = stack[-1]
+        chosen = next(options, None)
+        if chosen is None:
+            stack.pop()
             continue
-        made, path = bins + times, [*done, (p, times)]
-        if not rest.any():
-            if made < used:
-                best, used = path, made
-                if used <= bound:
-                    break
+        steps[0] -= 1
+        p, times = chosen
+        lost, made = waste + (capacity - sum(p)) * times, bins + times
+        if lost > (used - 1) * capacity - total or made >= used:  # no better solution can waste so much
             continue
-        branch(rest, path, lost, made)
-    return best
+        rest = c.copy()
+        np.subtract.at(rest, list(p), times)
+        path = [*done, (p, times)]
+        if rest.any():
+            stack.append((rest, path, lost, made, choices(rest)))
+        else:
+            best, used = path, made
+    return Plan(best, bound, used <= bound or steps[0] > 0)
 
 
 def place(lengths: np.ndarray, plan: list[tuple[Pattern, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -247,25 +259,60 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, group_size: int = GROUP_SIZE, nodes: int = 4000) -> DataFrame:
+class Slots:
+    """Where each rank of each length goes by a plan."""
+
+    def __init__(self, plan: list[tuple[Pattern, int]]):
+        begin: dict[int, int] = {}
+        slots: dict[int, list[tuple[int, int, int]]] = {}
+        base = 0
+        for pattern, times in plan:
+            at = 0
+            for s in pattern:
+                rank = begin.get(s, 0)
+                slots.setdefault(s, []).append((rank, base, at))
+                begin[s] = rank + times
+                at += s
+            base += times
+        self.slots = {s: tuple(np.array(x, dtype=np.int64) for x in zip(*rows, strict=True)) for s, rows in slots.items()}
+
+    def of(self, length: int, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sequence number and offset of some ranks of a length."""
+        rank, base, at = self.slots[length]
+        k = np.searchsorted(rank, ranks, side="right") - 1
+        return base[k] + ranks - rank[k], at[k]
+
+
+def pack(rows: DataFrame, capacity: int = CAPACITY, group_size: int = GROUP_SIZE, nodes: int = NODES) -> DataFrame:
     """Add sequence_id and offset to `rows` (a stored table of pieces)."""
     groups = max(1, -(-rows.count() // group_size))
     dealt = rows.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "tie"), F.lit(groups)))
-
-    def run(key, t):
-        t = t.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("tie", "ascending")])
+    counted = staged(dealt.groupBy("pack_group", "length").count(), "lengths")
+    before = F.sum("count").over(Window.partitionBy("length").orderBy("pack_group")) - F.col("count")
+    first = counted.select("pack_group", "length", before.alias("first"))
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in counted.groupBy("length").agg(F.sum("count").alias("n")).collect():  # a row a length
+        counts[r["length"]] = r["n"]
+    shared = rows.sparkSession.sparkContext.broadcast(Slots(bin_completion(counts, capacity, nodes).fillings))
+
+    def run(t, firsts):
+        t = t.sort_by([(c, "ascending") for c in ("doc_id", "piece", "start", "length", "ids_crc32", "tie")])
         lengths = t.column("length").to_numpy()
-        plan = bin_completion(np.bincount(lengths, minlength=capacity + 1), capacity, nodes)
-        sequence, offset = place(lengths, plan)
+        start = dict(zip(firsts.column("length").to_pylist(), firsts.column("first").to_pylist(), strict=True))
+        sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+        order = np.argsort(lengths, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
+            if len(own):
+                s = int(lengths[own[0]])
+                sequence[own], offset[own] = shared.value.of(s, start[s] + np.arange(len(own)))
         t = t.drop_columns(["tie", "pack_group"])
-        t = t.append_column("sequence_id", pa.array(sequence + (int(key[0].as_py()) << 40)))
-        return t.append_column("offset", pa.array(offset))
+        return t.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return dealt.groupBy("pack_group").applyInArrow(run, out)
+    return dealt.groupBy("pack_group").cogroup(first.groupBy("pack_group")).applyInArrow(run, out)
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, **options) -> DataFrame:
     """Tokenise `docs` (doc_id, text) and pack all pieces; see the module's text."""
-    group_size, nodes = options.pop("group_size", GROUP_SIZE), options.pop("nodes", 4000)
+    group_size, nodes = options.pop("group_size", GROUP_SIZE), options.pop("nodes", NODES)
     return pack(staged(pieces(docs, capacity, **options), "pieces"), capacity, group_size, nodes)
