@@ -139,11 +139,11 @@ def test_suffix_dedup(spark, seed, group):
     assert reported(df, group=group) == removed(rows)
 
 
-def test_suffix_dedup_of_long_texts_in_pieces(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "SEGMENT", 150)
-    rows = repeated_texts(7)
-    texts = [suffix_dedup.contexts(suffix_dedup.Text(__import__("pyarrow").array([(t or "").encode()], "binary"))) for _, t in rows]
-    assert all(len(x) == 6 for x in texts)
+@pytest.mark.parametrize("segment,local_rows", [(150, 10), (1000, 50), (1 << 20, 1)])
+def test_suffix_dedup_of_long_texts_in_pieces(spark, segment, local_rows):
+    rows = repeated_texts(7) + [(100, repeated_texts(8)[5][1] * 3), (101, "".join(t or "" for _, t in repeated_texts(7)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert reported(df, segment=segment, local_rows=local_rows) == removed(rows)
 
 
 def test_suffix_dedup_odd_inputs(odd, nothing):
@@ -156,6 +156,10 @@ def test_suffix_dedup_odd_inputs(odd, nothing):
 def test_deep_shallow_sorts(seed):
     rng = random.Random(seed)
     strings = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(0, 40))) for _ in range(400)] + [b"a" * 30 + bytes([i]) for i in range(60)] + [b"same"] * 3
+    for shallow in (8, suffix_dedup.SHALLOW):
+        order, lcp = suffix_dedup.deep_shallow(strings, shallow)
+        assert [strings[i] for i in order] == sorted(strings)
+    strings = strings * 3  # more than the multikey quicksort sorts at once
     order, lcp = suffix_dedup.deep_shallow(strings, 8)
     assert [strings[i] for i in order] == sorted(strings)
     assert all(lcp[k] == suffix_dedup.common(strings[order[k - 1]], strings[order[k]]) for k in range(1, len(order)))
@@ -203,8 +207,11 @@ def test_line_dedup(spark, seed):
 
 
 def test_line_dedup_odd_inputs(spark, odd, nothing):
-    small = [(d, t if t is None or len(t) < 9999 else t[:900]) for d, t in ((r["doc_id"], r["text"]) for r in odd.collect())]
-    check_lines(spark.createDataFrame(small, "doc_id long, text string"), small)
+    # long texts whole; their lines differ in one word, so that each matches the first
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    check_lines(odd, rows)
+    many = [(1, " ".join(f"a{i}" for i in range(300))), (2, " ".join(f"a{i}" for i in range(20, 310))), (3, " ".join(f"a{i}" for i in range(80, 380))), (4, " ".join(f"a{i}" for i in range(66)) + "\n" + " ".join(f"a{i}" for i in range(4, 64)))]
+    check_lines(spark.createDataFrame(many, "doc_id long, text string"), many)
     assert line_dedup.line_report(nothing).count() == 0
     after = line_dedup.dedup(odd, drop_emptied=True)
     assert after.columns == odd.columns and 8 not in {r["doc_id"] for r in after.collect()}

@@ -32,7 +32,7 @@ from transitloom.plans.staging import staged
 CAPACITY = 2048
 GROUP_SIZE = 250_000
 #: Steps of the search for a plan: fillings that are looked at.  Pieces are never left out.
-NODES = 20_000
+NODES = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, tie long"
 
 

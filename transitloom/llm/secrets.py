@@ -6,10 +6,14 @@ the end of the last matched character, in code points.  The method adds `random`
 
 * the encoding is inferred (hexadecimal, base 32, base 64 in either alphabet) and symbols become its digits;
 * a chi-squared test of the alphabet's uniformity, a runs test about the middle digit and a lag-one serial-correlation
-  test give p-values, which Fisher's rule combines; a token is uniform unless that falls below `UNIFORM_ALPHA`;
-* the likelihood ratio of uniform digits against ordinary letters bounds the p-value of "an ordinary word", so longer
-  tokens need less of a deviation; within each band of lengths, the Benjamini-Hochberg rule at `FALSE_DISCOVERIES`
-  decides which ordinary words are ruled out.  It works on a histogram of at most BANDS x BINS counts.
+  test give p-values, which Fisher's rule combines; within each band of lengths, the Benjamini-Hochberg rule at
+  `FALSE_REJECTIONS` decides on them which tokens are not random, so that among those dismissed by the battery at most
+  that share is expected to be random;
+* short tokens pass the battery for want of power.  So the likelihood ratio of uniform digits against ordinary letters
+  bounds the p-value of "an ordinary word", for which longer tokens need less of a deviation; within each band, the
+  Benjamini-Hochberg rule at `FALSE_DISCOVERIES` decides which of the remaining tokens are no ordinary words.
+
+Both rules work on one histogram of at most (bands x BINS x BINS) counts over all documents.
 
 Positions come from marking matches with a private-use character and splitting; that character in a text is first
 replaced by another of the same length, which no pattern can match.  Null texts are empty and have no span; repeated
@@ -19,6 +23,7 @@ rows are scanned each by themselves; other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +36,7 @@ HEX = r"[0-9a-f]{32,}"
 LEAST = 20
 TOKEN = r"[A-Za-z0-9+/_-]{%d,}" % LEAST
 KINDS = ("assign", "access", "hex", "random")
-UNIFORM_ALPHA, FALSE_DISCOVERIES = 0.001, 0.01
+FALSE_REJECTIONS, FALSE_DISCOVERIES = 0.001, 0.01
 BANDS = (32, 64)
 BINS = 400
 _MARK, _OTHER = "", ""
@@ -128,31 +133,50 @@ def _band(length: Column) -> Column:
     return F.when(length < BANDS[0], 0).when(length < BANDS[1], 1).otherwise(2)
 
 
-def _bin(ratio: Column) -> Column:
-    """Quarter units of the log-likelihood ratio, rounded down: a bin's p-value is at most exp(-bin / 4)."""
-    return F.least(F.lit(BINS), F.greatest(F.lit(0), F.floor(F.coalesce(ratio, F.lit(0.0)) * 4))).cast("int")
+def _bin(evidence: Column) -> Column:
+    """Quarter units of natural-log evidence, rounded down: a bin's p-value is at most exp(-bin / 4)."""
+    return F.least(F.lit(BINS), F.greatest(F.lit(0), F.floor(F.coalesce(evidence, F.lit(0.0)) * 4))).cast("int")
+
+
+def _uniform_bin(test: Column) -> Column:
+    return _bin(-F.log(F.greatest(test["uniform"], F.lit(1e-300))))
+
+
+def least_bin(counts: dict[int, int], share: float) -> int:
+    """The least bin that the Benjamini-Hochberg rule rejects at `share`; BINS + 1 if none."""
+    m, passed, least = sum(counts.values()), 0, BINS + 1
+    for b in range(BINS, -1, -1):
+        passed += counts.get(b, 0)
+        if passed and math.exp(-b / 4) <= share * passed / m:
+            least = b
+    return least
 
 
-def thresholds(found: DataFrame, false_discoveries: float) -> list[int]:
-    """The least bin of each band that the Benjamini-Hochberg rule lets pass."""
-    rows = found.select(F.explode("tokens").alias("t")).select(_band(F.col("t.e") - F.col("t.s")).alias("band"), _bin(F.col("t.test.ratio")).alias("bin")).groupBy("band", "bin").count().collect()
+def thresholds(found: DataFrame, false_rejections: float, false_discoveries: float) -> list[tuple[int, int]]:
+    """For each band the least bin of the battery that is dismissed, and the least bin of the ratio that passes."""
+    tokens = found.select(F.explode("tokens").alias("t"))
+    rows = tokens.select(_band(F.col("t.e") - F.col("t.s")).alias("band"), _uniform_bin(F.col("t.test")).alias("u"), _bin(F.col("t.test.ratio")).alias("r")).groupBy("band", "u", "r").count().collect()
     out = []
     for band in range(len(BANDS) + 1):
-        counts = {r["bin"]: r["count"] for r in rows if r["band"] == band}
-        m, passed, least = sum(counts.values()), 0, BINS + 1
-        for b in range(BINS, -1, -1):
-            passed += counts.get(b, 0)
-            if passed and math.exp(-b / 4) <= false_discoveries * passed / m:
-                least = b
-        out.append(least)
+        own = [r for r in rows if r["band"] == band]
+        by_battery, by_ratio = Counter(), Counter()
+        for r in own:
+            by_battery[r["u"]] += r["count"]
+        dismissed = least_bin(by_battery, false_rejections)
+        for r in own:
+            if r["u"] < dismissed:
+                by_ratio[r["r"]] += r["count"]
+        out.append((dismissed, least_bin(by_ratio, false_discoveries)))
     return out
 
 
-def scan(docs: DataFrame, uniform_alpha: float = UNIFORM_ALPHA, false_discoveries: float = FALSE_DISCOVERIES) -> DataFrame:
+def scan(docs: DataFrame, false_rejections: float = FALSE_REJECTIONS, false_discoveries: float = FALSE_DISCOVERIES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of each row of `docs`."""
     found = staged(base_findings(docs), "findings")
-    least = F.array(*[F.lit(x) for x in thresholds(found, false_discoveries)])
-    passed = F.filter("tokens", lambda t: (t["test"]["uniform"] >= uniform_alpha) & (_bin(t["test"]["ratio"]) >= F.element_at(least, _band(t["e"] - t["s"]) + 1)))
+    limits = thresholds(found, false_rejections, false_discoveries)
+    dismissed, least = (F.array(*[F.lit(x[k]) for x in limits]) for k in (0, 1))
+    band = lambda t: _band(t["e"] - t["s"]) + 1
+    passed = F.filter("tokens", lambda t: (_uniform_bin(t["test"]) < F.element_at(dismissed, band(t))) & (_bin(t["test"]["ratio"]) >= F.element_at(least, band(t))))
     every = F.array_sort(F.concat("base", _named(3, passed)))
     kinds = F.array(*[F.lit(k) for k in KINDS])
     joined = lambda x: F.array_join(F.transform(x, lambda y: F.concat_ws(":", F.element_at(kinds, y["k"] + 1), y["s"].cast("string"), y["e"].cast("string"))), ",")

@@ -13,6 +13,9 @@ the anchors, and the reversed prefixes that end there, are sorted by deep-shallo
 into classes; windows agree if their left and right classes do.  Anchors with more than `GROUP` contexts are dealt to
 several tasks, and the windows each task keeps are compared once more by a 128-bit hash.
 
+Contexts count as equal where their anchors' 64-bit hashes and their own do; windows of different contexts are compared
+byte by byte.
+
 Null texts are empty; texts shorter than `LENGTH` bytes keep all; a null doc_id matches nothing.  A doc_id identifies a
 document: rows that repeat it with its text get the same result each.  Other columns are ignored.
 """
@@ -30,8 +33,12 @@ from transitloom.llm._bitmap import Bitmap
 from transitloom.llm._text import _BYTE, Sums, Text, chunks, mix, signed
 from transitloom.plans.staging import discard, staged
 
-LENGTH, GRAM, SHALLOW, GROUP = 100, 32, 16, 4096
+LENGTH, GRAM, GROUP = 100, 32, 4096
+#: Bytes that multikey quicksort looks at: the 8 of the anchor's name, the GRAM of the anchor, and 24 that differ.
+SHALLOW = 8 + GRAM + 24
 SEGMENT = 1 << 20
+#: Bits of a place within a chunk; the same for all chunks, so that equal windows have equal anchors everywhere.
+PLACE_BITS = 22
 #: Contexts that a task compares among themselves before it sends them.
 LOCAL_ROWS = 1_000_000
 ROWS = "anchor long, class long, doc_id long, place long"
@@ -95,8 +102,9 @@ def common(s: bytes, t: bytes) -> int:
     return n - (differ.bit_length() + 7) // 8
 
 
-def _multikey(order: np.ndarray, symbols: np.ndarray, small: int = 4096) -> list[np.ndarray]:
-    """Multikey quicksort of the rows of `symbols` (n x depth): groups of equal rows, in order."""
+def _multikey(order: np.ndarray, symbols: np.ndarray, small: int = 64) -> list[np.ndarray]:
+    """Multikey quicksort of the rows of `symbols` (n x depth): groups of equal rows, in order.  Groups of at most `small`
+    rows are sorted at once."""
     out, stack = [], [(order, 0)]
     while stack:
         rows, depth = stack.pop()
@@ -104,13 +112,15 @@ def _multikey(order: np.ndarray, symbols: np.ndarray, small: int = 4096) -> list
             if len(rows):
                 out.append(rows)
             continue
-        s = symbols[rows, depth]
         if len(rows) <= small:
-            by = np.argsort(s, kind="stable")
-            cuts = np.flatnonzero(np.diff(s[by])) + 1
-            stack += [(part, depth + 1) for part in np.split(rows[by], cuts)[::-1]]
+            rest = symbols[rows, depth:]
+            by = np.lexsort(rest.T[::-1])
+            rest = rest[by]
+            out += np.split(rows[by], np.flatnonzero((rest[1:] != rest[:-1]).any(axis=1)) + 1)
             continue
-        pivot = np.partition(s[:: max(1, len(s) // 9)], len(s[:: max(1, len(s) // 9)]) // 2)[len(s[:: max(1, len(s) // 9)]) // 2]
+        s = symbols[rows, depth]
+        sample = np.sort(s[:: max(1, len(s) // 9)])
+        pivot = sample[len(sample) // 2]
         stack += [(rows[s > pivot], depth), (rows[s == pivot], depth + 1), (rows[s < pivot], depth)]
     return out
 
@@ -138,15 +148,15 @@ def deep_shallow(strings: list[bytes], shallow: int = SHALLOW) -> tuple[np.ndarr
 # --- contexts ----------------------------------------------------------------------------------------------------
 
 
-def _segments(part: pa.RecordBatch):
+def _segments(part: pa.RecordBatch, segment: int = SEGMENT):
     """Texts of a chunk with doc_ids and offsets; a long document comes in pieces that overlap by LENGTH - 1 bytes."""
     ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-    if part.num_rows > 1 or len(part.column("text")[0].as_buffer() or b"") <= SEGMENT:
+    if part.num_rows > 1 or len(part.column("text")[0].as_buffer() or b"") <= segment:
         yield Text(part.column("text")), ids, np.zeros(part.num_rows, np.int64)
         return
     data = part.column("text")[0].as_buffer().to_pybytes()
-    for a in range(0, len(data), SEGMENT):
-        yield Text(pa.array([data[a : a + SEGMENT + LENGTH - 1]], pa.binary())), ids, np.array([a])
+    for a in range(0, len(data), segment):
+        yield Text(pa.array([data[a : a + segment + LENGTH - 1]], pa.binary())), ids, np.array([a])
 
 
 def contexts(text: Text) -> tuple[np.ndarray, ...]:
@@ -158,8 +168,9 @@ def contexts(text: Text) -> tuple[np.ndarray, ...]:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
     sums = Sums(_BYTE[data])
     grams = mix((sums.sums[GRAM:] - sums.sums[:-GRAM]) * sums.down[: n + 1 - GRAM])
-    bits = max(8, int(n).bit_length())
-    low = np.uint64((1 << bits) - 1)
+    if n >> PLACE_BITS:
+        raise ValueError("a chunk is longer than its places can tell")
+    low = np.uint64((1 << PLACE_BITS) - 1)
     least = (mix(grams) & ~low) | np.arange(len(grams), dtype=np.uint64)
     span = 1
     while 2 * span <= width:
@@ -193,7 +204,7 @@ def _place(start: np.ndarray, skip: np.ndarray, n: np.ndarray) -> np.ndarray:
     return start << 16 | skip << 8 | n
 
 
-def context_rows(docs: DataFrame) -> DataFrame:
+def context_rows(docs: DataFrame, segment: int = SEGMENT, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """Contexts (anchor, class, doc_id, place) and, with 0 windows, ranges removed within a task (class: length)."""
 
     def run(batches):
@@ -210,13 +221,13 @@ def context_rows(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(signed(mix(d.view(np.uint64)))), pa.array(b - a), pa.array(d), pa.array(_place(a, 0, 0))], names=["anchor", "class", "doc_id", "place"])
 
         for batch in batches:
-            for part in chunks(batch, "text", SEGMENT):
-                for text, ids, base in _segments(part):
+            for part in chunks(batch, "text", segment):
+                for text, ids, base in _segments(part, segment):
                     anchor, kind, doc, start, skip, n = contexts(text)
                     if len(anchor):
                         held.append((anchor, kind, ids[doc], start - text.start[doc] + base[doc], skip, n))
                         size += len(anchor)
-            if size >= LOCAL_ROWS:
+            if size >= local_rows:
                 yield from flush()
                 held, size = [], 0
         if held:
@@ -372,9 +383,9 @@ def window_matches(dealt: DataFrame) -> DataFrame:
 # --- results -----------------------------------------------------------------------------------------------------
 
 
-def removed_ranges(docs: DataFrame, group: int = GROUP) -> tuple[DataFrame, list[DataFrame]]:
+def removed_ranges(docs: DataFrame, group: int = GROUP, **sizes) -> tuple[DataFrame, list[DataFrame]]:
     """(doc_id, start, n): ranges of removed bytes, which may overlap; and the staged tables that it reads."""
-    found = staged(compared(context_rows(docs)), "found")
+    found = staged(compared(context_rows(docs, **sizes)), "found")
     matches = staged(window_matches(with_bytes(docs, found.where("kind = 1"), group)), "matches")
     rows = matches.where("kind = 2")
     first = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("c")).where("c > 1")
@@ -383,9 +394,9 @@ def removed_ranges(docs: DataFrame, group: int = GROUP) -> tuple[DataFrame, list
     return found.where("kind = 0").select(*columns).unionByName(matches.where("kind = 0").select(*columns)).unionByName(later.select(*columns)), [found, matches]
 
 
-def _with_ranges(docs: DataFrame, group: int) -> DataFrame:
+def _with_ranges(docs: DataFrame, group: int, **sizes) -> DataFrame:
     """`docs` (doc_id, text first) with `gone`, an array of removed ranges, or null."""
-    ranges, read = removed_ranges(docs, group)
+    ranges, read = removed_ranges(docs, group, **sizes)
     gone = staged(ranges.groupBy(F.col("doc_id").alias("_gone_doc")).agg(F.collect_list(F.struct("start", "n")).alias("gone")), "gone")
     discard(*read)
     touched = Bitmap(gone.select("_gone_doc"), "_gone_doc")
@@ -408,8 +419,8 @@ def _kept(data: bytes, gone: list | None) -> tuple[bytes, int, int]:
     return b"".join(keep), int((b - a).sum()), len(a)
 
 
-def report(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of `docs`."""
+def report(docs: DataFrame, group: int = GROUP, **sizes) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of `docs`; `sizes` are those of `context_rows`."""
 
     def run(batches):
         for batch in batches:
@@ -421,10 +432,10 @@ def report(docs: DataFrame, group: int = GROUP) -> DataFrame:
             if out:
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.string()], strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), group).mapInArrow(run, RESULT)
+    return _with_ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), group, **sizes).mapInArrow(run, RESULT)
 
 
-def dedup(docs: DataFrame, group: int = GROUP) -> DataFrame:
+def dedup(docs: DataFrame, group: int = GROUP, **sizes) -> DataFrame:
     """doc_id and the text that is left of each row of `docs`; characters that a cut divides are replaced."""
 
     def run(batches):
@@ -432,4 +443,4 @@ def dedup(docs: DataFrame, group: int = GROUP) -> DataFrame:
             texts = [t if t is None else _kept(t.encode(), g)[0].decode("utf-8", "replace") for t, g in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True)]
             yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return _with_ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), group).mapInArrow(run, "doc_id long, text string")
+    return _with_ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), group, **sizes).mapInArrow(run, "doc_id long, text string")
