@@ -75,16 +75,25 @@ class Model:
         """From (language, word, count) rows."""
         languages = sorted({x[0] for x in counts})
         at = {x: i for i, x in enumerate(languages)}
-        by_gram: list[Counter] = [Counter() for _ in languages]
-        for lang, word, n in counts:
-            own = by_gram[at[lang]]
-            for order in ORDERS:
-                for g in grams(word, order):
-                    own[g] += n
+        short: list[Counter] = [Counter() for _ in languages]  # n-grams of up to 3
+
+        def gram_counts():
+            for order in ORDERS:  # one order at a time is held
+                by_gram: list[Counter] = [Counter() for _ in languages]
+                for lang, word, n in counts:
+                    own = by_gram[at[lang]]
+                    for g in grams(word, order):
+                        own[g] += n
+                for k, own in enumerate(by_gram):
+                    for g, n in own.items():
+                        yield g, k, n
+                    if order <= 3:
+                        short[k].update(own)
+
         model = cls(languages)
         model.words, model.word_scores = _scores(((w, at[x], n) for x, w, n in counts), len(languages))
-        model.grams, model.gram_scores = _scores(((g, k, n) for k, own in enumerate(by_gram) for g, n in own.items()), len(languages))
-        model._set_gains(by_gram)
+        model.grams, model.gram_scores = _scores(gram_counts(), len(languages))
+        model._set_gains(short)
         return model
 
     def _set_gains(self, by_gram: list[Counter]) -> None:

@@ -187,9 +187,9 @@ def kept_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     bits = SET_BITS
     at = F.pmod(F.col("sid"), F.lit(bits))
     # The bitmap has a fixed size, so its words reach the driver in a bounded number of rows.
-    rows = wanted.select((at / 64).cast("long").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod(sid, {bits}), 64) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    rows = wanted.select((at / 64).cast("long").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod(sid, {bits}), 64) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     table = np.zeros(bits // 64, dtype=np.int64)
-    table[rows["w"].to_numpy(dtype=np.int64)] = rows["b"].to_numpy(dtype=np.int64)
+    table[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
@@ -245,9 +245,9 @@ def rare_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         used = np.flatnonzero(counts)
         yield pa.record_batch([pa.array(used), pa.array(counts[used])], names=["k", "m"])
 
-    rows = some.select("content").mapInArrow(tally, "k long, m long").groupBy("k").agg(F.sum("m").alias("m")).toPandas()
+    rows = some.select("content").mapInArrow(tally, "k long, m long").groupBy("k").agg(F.sum("m").alias("m")).toArrow()
     counts = np.zeros(size, np.int64)
-    counts[rows["k"].to_numpy(dtype=np.int64)] = rows["m"].to_numpy(dtype=np.int64)
+    counts[rows.column("k").to_numpy()] = rows.column("m").to_numpy()
     shared = sets.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
