@@ -54,7 +54,26 @@ def test_coverage_and_redundancy(spark, world):
     cities = spark.createDataFrame([(1, "DE"), (2, "FR"), (3, "FR")], "fua int, icc string")
     got = {(r["agency"], r["rail"]): (r["n_items"], r["n_new"], r["country"]) for r in network.agency_coverage(world["lines"], world["stations"], cities).collect()}
     assert got == {("X", True): (2, 2, "DE,FR"), ("Y", False): (2, 2, "DE,FR")}
-    assert graph.redundant_stations(network.od_support(world["lines"], world["stations"])).count() == 0
+    served = network.served_relations(world["lines"], world["stations"])
+    assert {r["n"] for r in served.collect()} == {6}
+    assert graph.redundant_stations(network.od_support(world["lines"], world["stations"]), served).count() == 0
+
+
+def test_reduced_tables(spark, world):
+    stn = {r["fua"]: r["stn"] for r in world["stations"].collect()}
+    kept = network.truncated_lines(world["lines"].where("agency = 'X'"), spark.createDataFrame([(stn[1],), (stn[3],)], "stn long"))
+    days = spark.createDataFrame([(0, D), (1, D)], "dateset int, dates array<date>")
+    whole = network.segments(world["lines"], world["stations"])
+    j, t, d, s = network.reduced(kept, world["journeys"], world["timetable"], days, whole)
+    assert sorted(r["jrn"] for r in j.collect()) == [0, 1] and d.count() == 1
+    assert sorted((r["jrn"], r["stn"]) for r in t.collect()) == sorted((k, stn[f]) for k in (0, 1) for f in (1, 3))
+    assert s.count() == 0  # the shortened lines have no segment of before
+    assert network.reduced(world["lines"], world["journeys"], world["timetable"], days, whole)[3].count() == whole.count()
+
+
+def test_european_routes(spark):
+    r = spark.createDataFrame([(1, "Europe/Paris"), (2, "Asia/Tokyo"), (3, None), (4, "Europe")], "route_id int, tz string")
+    assert sorted(x["route_id"] for x in network.european_routes(r).collect()) == [1, 4]
 
 
 def test_pt_links(spark, world):

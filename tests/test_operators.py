@@ -1,5 +1,6 @@
 """Operators on small fixtures with answers by hand."""
 
+import random
 from datetime import date
 
 import pytest
@@ -175,7 +176,46 @@ def test_contraction(spark):
 def test_redundant_stations(spark):
     # 1 and 2 both serve a-b with 3; 1 goes first, and then 2 must stay
     s = spark.createDataFrame([(1, 3, "ab"), (3, 1, "ab"), (2, 3, "ab"), (3, 2, "ab")], "stn long, partner long, od string")
-    assert values(graph.redundant_stations(s)) == [(1,)]
+    served = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (7, 0)], "stn long, n long")
+    assert values(graph.redundant_stations(s, served)) == [(1,), (7,)]  # 7 supports nothing
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_redundant_stations_equal_the_plain_rule(spark, seed):
+    rng = random.Random(seed)
+    pairs = {(*sorted(rng.sample(range(14), 2)), f"r{rng.randint(0, 6)}") for _ in range(40)}
+    served = {s: rng.randint(0, 5) for s in range(16)}
+    alive, gone = set(pairs), []
+    for s in sorted(served, key=lambda s: (served[s], s)):
+        rest = {p for p in alive if s not in p[:2]}
+        if {p[2] for p in rest} == {p[2] for p in alive}:
+            alive = rest
+            gone.append((s,))
+    rows = [(a, b, od) for a, b, od in pairs] + [(b, a, od) for a, b, od in pairs]
+    got = graph.redundant_stations(spark.createDataFrame(rows, "stn long, partner long, od string"), spark.createDataFrame(list(served.items()), "stn long, n long"))
+    assert values(got) == sorted(gone)
+
+
+def test_routes(spark):
+    e = spark.createDataFrame([("ab", 1, 2, 1.0), ("bc", 2, 3, 1.5), ("ac", 3, 1, 4.0), ("cd", 3, 4, 1.0), ("fg", 6, 7, 1.0)], "edge string, u int, v int, w double")
+    p = spark.createDataFrame([(4, 1), (1, 7), (2, 4), (2, 2)], "src int, trg int")
+    got = {(r["src"], r["trg"]): (r["length"], r["edges"]) for r in graph.shortest_routes(e, p).collect()}
+    assert got == {(4, 1): (3.5, ["cd", "bc", "ab"]), (1, 7): (None, None), (2, 4): (2.5, ["bc", "cd"]), (2, 2): (0.0, [])}
+    with pytest.raises(ValueError, match="contract"):
+        graph.shortest_routes(e, p, limit=2)
+    pairs = spark.createDataFrame([(4, 1), (4, 2), (4, 3), (7, 6)], "u int, v int")
+    turned = {(r["u"], r["v"]): r["src"] for r in graph.oriented_pairs(pairs).collect()}
+    assert turned == {(4, 1): 4, (4, 2): 4, (4, 3): 4, (7, 6): 6}
+    ways = {(r["u"], r["v"]): r["edges"] for r in graph.oriented_routes(e, pairs).collect()}
+    assert ways == {(1, 4): ["ab", "bc", "cd"], (2, 4): ["bc", "cd"], (3, 4): ["cd"], (6, 7): ["fg"]}
+
+
+def test_runs_and_flattened_lists(spark):
+    df = spark.createDataFrame([(2, ["x"]), (1, ["a", "b"]), (3, []), (4, None), (5, ["q", "r", "s"])], "k int, v array<string>").repartition(3)
+    heads, items = sequences.flattened(df, "k", "v")
+    assert {r["k"]: (r["start"], r["n"]) for r in heads.collect()} == {1: (0, 2), 2: (2, 1), 3: (None, 0), 4: (None, 0), 5: (3, 3)}
+    assert [r["value"] for r in items.orderBy("place").collect()] == ["a", "b", "x", "q", "r", "s"]
+    assert values(sequences.run_starts(spark.createDataFrame([(3,), (1,), (3,), (2,), (1,)], "k int").repartition(4), ["k"])) == [(1, 0, 2), (2, 2, 1), (3, 3, 2)]
 
 
 def test_violations(spark):

@@ -5,15 +5,17 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transitloom.plans.components import components
 from transitloom.plans.staging import staged
 
-#: Edges of a routing graph that may be broadcast to the tasks that search it.
-BROADCAST_EDGES = 5_000_000
+#: Edges of a routing graph that may be broadcast to the tasks that search it: about 300 bytes each in Python.
+BROADCAST_EDGES = 1_000_000
 
 
 def weak_components(nodes: DataFrame, links: DataFrame, key: str = "node_id") -> DataFrame:
@@ -161,34 +163,123 @@ def contracted(edges: DataFrame, keep: DataFrame | None = None) -> DataFrame:
     return sums.join(ends, "chain", "left").select(F.coalesce("u", "least").alias("u"), F.coalesce("v", "least").alias("v"), "w", "n_edges")
 
 
-def redundant_stations(support: DataFrame) -> DataFrame:
-    """(stn): stations that can go without losing any od relation, found greedily.
+def redundant_stations(support: DataFrame, served: DataFrame) -> DataFrame:
+    """(stn): stations that can go without any relation losing its last pair of stations, found greedily.
 
-    `support` (stn, partner, od) lists for each station the partners with which it serves a relation.  Stations are
-    visited by (number of relations, id); one goes if every relation it supports with a remaining partner has more
-    support than its own share.  The loop is sequential by nature; its input is the station graph, one row a pair of
-    stations and relation, and it runs in one task.
+    `support` (stn, partner, od) holds, both ways, the pairs of stations that serve a relation; `served` (stn, n) all
+    stations with the number of relations of the lines through them.  Stations are visited by (n, stn); one goes if each
+    relation keeps a pair without it, so stations that support none go.
+
+    The loop is sequential, but only among stations that relations tie together: each component of the graph of stations
+    and relations is one task.
     """
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    ties = support.select(name("s", "stn").alias("u"), name("r", "od").alias("v"))
+    rows = served.select("stn", "n", name("s", "stn").alias("node")).join(components(ties), "node", "left")
+    rows = rows.select("stn", "n", F.coalesce("root", "node").alias("root")).join(support.select("stn", "partner", "od").distinct(), "stn", "left")
+    kind = dict(served.dtypes)["stn"]
 
     def prune(pdf: pd.DataFrame) -> pd.DataFrame:
-        near, total = defaultdict(set), defaultdict(int)
-        relations = defaultdict(set)
-        for s, p, od in pdf[["stn", "partner", "od"]].drop_duplicates().itertuples(index=False):
-            near[s].add((p, od))
-            relations[s].add(od)
-            if s < p:
-                total[od] += 1
-        gone = set()
-        for s in sorted(relations, key=lambda s: (len(relations[s]), s)):
-            share = defaultdict(int)
-            for p, od in near[s]:
-                if p not in gone:
-                    share[od] += 1
-            if all(total[od] > n for od, n in share.items()):
-                gone.add(s)
-                for od, n in share.items():
-                    total[od] -= n
-        return pd.DataFrame({"stn": sorted(gone)}, dtype=pdf["stn"].dtype)
-
-    kind = dict(support.dtypes)["stn"]
-    return support.select("stn", "partner", "od", F.lit(0).alias("_all")).groupBy("_all").applyInPandas(prune, f"stn {kind}")
+        order = pdf[["n", "stn"]].drop_duplicates().sort_values(["n", "stn"])["stn"]
+        pair = pdf[pdf["od"].notna() & (pdf["stn"] < pdf["partner"])]
+        relation = pair["od"].astype("category").cat.codes.to_numpy()
+        support_ = np.bincount(relation, minlength=1)
+        alive = np.ones(len(pair), bool)
+        ends = np.concatenate([pair["stn"].to_numpy(), pair["partner"].to_numpy()])
+        at = pd.Series(np.tile(np.arange(len(pair)), 2)).groupby(ends).agg(list) if len(pair) else {}
+        gone = []
+        for s in order:
+            mine = np.array(at[s] if s in at else [], dtype=np.int64)
+            mine = mine[alive[mine]]
+            lost = np.bincount(relation[mine], minlength=len(support_))
+            if not ((lost > 0) & (support_ <= lost)).any():
+                gone.append(s)
+                alive[mine] = False
+                support_ = support_ - lost
+        return pd.DataFrame({"stn": pd.Series(gone, dtype=pdf["stn"].dtype)})
+
+    return rows.groupBy("root").applyInPandas(prune, f"stn {kind}")
+
+
+def oriented_pairs(pairs: DataFrame) -> DataFrame:
+    """(u, v, src, trg): undirected pairs with one end as the source, so that few nodes are sources.
+
+    The node with most pairs that have no source yet takes them all, the smallest of equals first, until none is left.
+    Each component of the pairs' graph is one task.
+    """
+    one = pairs.select("u", "v").where("u <> v").distinct()
+    labelled = one.join(components(one).select(F.col("node").alias("u"), "root"), "u")
+    kind = dict(pairs.dtypes)["u"]
+
+    def orient(pdf: pd.DataFrame) -> pd.DataFrame:
+        ends = pdf[["u", "v"]].to_numpy()
+        names, at = np.unique(ends, return_inverse=True)
+        at = at.reshape(ends.shape)
+        source = np.full(len(ends), -1)
+        while (source < 0).any():
+            left = source < 0
+            best = int(np.bincount(at[left].ravel(), minlength=len(names)).argmax())
+            source[left & (at == best).any(axis=1)] = best
+        src = names[source]
+        return pdf.assign(src=src, trg=np.where(pdf["u"] == src, pdf["v"], pdf["u"]))[["u", "v", "src", "trg"]]
+
+    return labelled.select("u", "v", "root").groupBy("root").applyInPandas(orient, f"u {kind}, v {kind}, src {kind}, trg {kind}")
+
+
+def shortest_routes(edges: DataFrame, pairs: DataFrame, limit: int = BROADCAST_EDGES) -> DataFrame:
+    """(src, trg, length, edges): undirected shortest ways of the wanted pairs, with the `edge` values of `edges`
+    (edge, u, v, w) in order from src; nulls where there is no way, an empty array from a node to itself.
+
+    The graph is broadcast; one of more than `limit` edges is an error, to be contracted first.
+    """
+    if (n := edges.count()) > limit:
+        raise ValueError(f"{n} edges exceed the limit of {limit}: contract the graph first")
+    numbered = edges.select("u", "v", F.col("w").cast("double").alias("w"), "edge").toArrow()
+    names = numbered.column("edge")
+    adjacent = defaultdict(list)
+    for k, (u, v, w) in enumerate(zip(*(numbered.column(c).to_pylist() for c in "uvw"), strict=True)):
+        adjacent[u].append((v, w, k))
+        adjacent[v].append((u, w, k))
+    spark = pairs.sparkSession
+    shared = spark.sparkContext.broadcast(dict(adjacent))
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        source, wanted = pdf["src"].iloc[0], set(pdf["trg"])
+        best, heap = {}, [(0.0, 0, source, None, -1)]
+        ticket = 0
+        while heap and wanted:
+            d, _, u, before, edge = heapq.heappop(heap)
+            if u in best:
+                continue
+            best[u] = (d, before, edge)
+            wanted.discard(u)
+            for v, w, k in shared.value.get(u, ()):
+                if v not in best:
+                    ticket += 1
+                    heapq.heappush(heap, (d + w, ticket, v, u, k))
+
+        def way(node):
+            if node not in best:
+                return None
+            out = []
+            while best[node][1] is not None:
+                out.append(best[node][2])
+                node = best[node][1]
+            return out[::-1]
+
+        return pdf.assign(length=[best[x][0] if x in best else None for x in pdf["trg"]], way=[way(x) for x in pdf["trg"]])[["src", "trg", "length", "way"]]
+
+    kind = dict(pairs.dtypes)["src"]
+    found = pairs.select("src", "trg").distinct().groupBy("src").applyInPandas(search, f"src {kind}, trg {kind}, length double, way array<int>")
+    table = spark.createDataFrame(pa.table({"k": pa.array(range(n), pa.int32()), "edge": names}))
+    steps = found.select("src", "trg", F.posexplode("way").alias("i", "k")).join(F.broadcast(table), "k")  # at most `limit` rows
+    ways = steps.groupBy("src", "trg").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "edge"))), lambda x: x["edge"]).alias("edges"))
+    none = F.array().cast(ways.schema["edges"].dataType)
+    return found.join(ways, ["src", "trg"], "left").select("src", "trg", "length", F.when(F.col("way").isNotNull(), F.coalesce("edges", none)).alias("edges"))
+
+
+def oriented_routes(edges: DataFrame, pairs: DataFrame, limit: int = BROADCAST_EDGES) -> DataFrame:
+    """(u, v, length, edges) of undirected pairs, searched from few sources; edges run from the smaller end of each."""
+    turned = oriented_pairs(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+    r = shortest_routes(edges, turned.select("src", "trg"), limit)
+    return r.select(F.least("src", "trg").alias("u"), F.greatest("src", "trg").alias("v"), "length", F.when(F.col("src") < F.col("trg"), F.col("edges")).otherwise(F.reverse("edges")).alias("edges"))

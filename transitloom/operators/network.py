@@ -93,6 +93,15 @@ def od_support(line_table: DataFrame, station_table: DataFrame) -> DataFrame:
     return a.join(b, "line").where("fa <> fb").select("stn", "partner", od.alias("od")).distinct()
 
 
+def served_relations(line_table: DataFrame, station_table: DataFrame) -> DataFrame:
+    """(stn, n): for every station the number of relations (mode and pair of cities) of the lines through it."""
+    at = line_table.select("line", "rail", F.explode(F.array_distinct("stns")).alias("stn")).join(station_table.select("stn", "fua"), "stn")
+    chain = at.groupBy("line", "rail").agg(F.array_sort(F.collect_set("fua")).alias("f"))
+    od = chain.select("line", F.explode(sequences.downstream(F.col("f"))).alias("p"), "rail").select("line", F.struct("rail", "p.src", "p.trg").alias("od"))
+    n = at.select("line", "stn").join(od, "line").groupBy("stn").agg(F.countDistinct("od").alias("n"))
+    return station_table.select("stn").join(n, "stn", "left").select("stn", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def truncated_lines(line_table: DataFrame, kept: DataFrame) -> DataFrame:
     """Lines cut to the stations of `kept` (stn); lines with fewer than two are dropped."""
     at = line_table.select("line", F.posexplode("stns").alias("pos", "stn")).join(kept.select("stn"), "stn", "left_semi")
@@ -174,5 +183,27 @@ def local_links(stops: DataFrame, hubs: DataFrame, trips: DataFrame, stop_seq: D
     a = m.join(fuas, "hub").select("trip", "dateset", F.col("hub").alias("src"), "dep", F.col("fuas").alias("fa"))
     b = m.join(fuas, "hub").select("trip", F.col("hub").alias("trg"), "arr", F.col("fuas").alias("fb"))
     pairs = a.join(b, "trip").where("src <> trg and arr > dep").where(F.arrays_overlap("fa", "fb"))
-    dated = pairs.join(datesets, "dateset").select("src", "trg", "dep", "arr", F.explode("dates").alias("date")).distinct()
-    return aggregates.link_statistics(dated, ["src", "trg"], F.col("arr") - F.col("dep"), params.total_days)
+    # dates stay lists: equal departures of a pair have the union of their datesets
+    united = pairs.join(datesets, "dateset").groupBy("src", "trg", "dep", "arr").agg(F.array_distinct(F.flatten(F.collect_set("dates"))).alias("dates"))
+    weighted = united.select("src", "trg", (F.col("arr") - F.col("dep")).alias("time"), F.size("dates").cast("long").alias("days"))
+    return aggregates.weighted_link_statistics(weighted, ["src", "trg"], "time", "days", params.total_days)
+
+
+def european_routes(routes: DataFrame) -> DataFrame:
+    """Routes (tz, ...) whose time zone lies in Europe; unknown zones are left out."""
+    return routes.where(F.split_part("tz", F.lit("/"), F.lit(1)) == "Europe")
+
+
+def reduced(kept_lines: DataFrame, journey_lines: DataFrame, timetable: DataFrame, datesets: DataFrame, segment_table: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Journeys (jrn, line, dateset, ...), timetable, datesets and segments that `kept_lines` (line, stns) still need.
+
+    The timetable keeps the stops of a line's stations, of journeys with two or more; a segment stays if a kept line has
+    it, with those lines alone.
+    """
+    j = journey_lines.join(kept_lines.select("line"), "line", "left_semi")
+    at = kept_lines.select("line", F.explode(F.array_distinct("stns")).alias("stn"))
+    t = timetable.join(j.select("jrn", "line"), "jrn").join(at, ["line", "stn"], "left_semi").drop("line")
+    t = t.withColumn("_n", F.count("*").over(Window.partitionBy("jrn"))).where("_n >= 2").drop("_n")
+    days = datesets.join(j.select("dateset").distinct(), "dateset", "left_semi")
+    legs = kept_lines.select("line", F.inline(sequences.consecutive(F.col("stns")))).groupBy("src", "trg").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    return j, t, days, segment_table.drop("lines").join(legs, ["src", "trg"])

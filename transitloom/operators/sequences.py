@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from transitloom.plans.staging import staged
+
 
 def ordered_list(value: Column, *order: Column) -> Column:
     """Aggregate: the values of a group as an array, in an order without ties."""
@@ -72,3 +74,29 @@ def cumulative_pairs(legs: DataFrame, line: str, position: str, length: str) ->
 def distinct_sequences(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
     """(seq, n): distinct sequences of the groups and how many groups have each."""
     return df.groupBy(*keys).agg(ordered_list(F.col(value), *[F.col(c) for c in order]).alias("seq")).groupBy("seq").agg(F.count("*").alias("n"))
+
+
+def run_starts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, start, n): the runs of equal keys in the table ordered by them, with the place of each run's first row,
+    counted from 0.
+
+    Runs are dealt to tasks by range; only one number a task is collected.
+    """
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    parts = staged(counts.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "runs")
+    before, total = {}, 0
+    for r in parts.groupBy("_part").agg(F.sum("n").alias("n")).orderBy("_part").collect():
+        before[r["_part"]], total = total, total + r["n"]
+    w = Window.partitionBy("_part").orderBy(*keys)
+    offset = F.element_at(F.array(*[F.lit(before.get(i, 0)).cast("long") for i in range(max(before, default=0) + 1)]), F.col("_part") + 1)
+    return parts.select(*keys, (offset + F.sum("n").over(w) - F.col("n")).alias("start"), "n")
+
+
+def flattened(df: DataFrame, key: str, lists: str) -> tuple[DataFrame, DataFrame]:
+    """Lists laid end to end in the order of their unique keys: (key, start, n), with n = 0 for null and empty ones, and
+    (place, value)."""
+    items = df.select(F.col(key), F.posexplode_outer(lists).alias("_i", "value"))
+    sizes = df.select(F.col(key), F.greatest(F.lit(0), F.coalesce(F.size(lists), F.lit(0))).alias("n"))
+    starts = run_starts(items.where("_i is not null").select(key), [key])
+    heads = sizes.join(starts.select(key, "start"), key, "left").select(key, "start", "n")
+    return heads, items.where("_i is not null").join(starts.select(key, "start"), key).select((F.col("start") + F.col("_i")).alias("place"), "value")

@@ -69,9 +69,12 @@ def clusters(points: DataFrame, key: str, radius: float, x: str = "x", y: str =
     return points.select(key).join(roots, points[key] == roots["node"], "left").select(key, F.coalesce("root", key).alias("cluster"))
 
 
-def nearest_in_group(left: DataFrame, right: DataFrame, group: str, radius: float, keys: Sequence[str], tie: str) -> DataFrame:
-    """As `nearest`, among rows with the same `group` only (`_group` on the right side)."""
+def nearest_in_group(left: DataFrame, right: DataFrame, group: str, radius: float, keys: Sequence[str], tie: str, unequal: tuple[str, str] | None = None) -> DataFrame:
+    """As `nearest`, among rows with the same `group` only (`_group` on the right side); with `unequal`, a column of
+    each side, rows that agree in those do not meet."""
     pairs = within_distance(left, right, radius).where(F.col(group) == F.col("_group"))
+    if unequal is not None:
+        pairs = pairs.where(F.col(unequal[0]) != F.col(unequal[1]))
     w = Window.partitionBy(*keys).orderBy("dist", tie)
     return pairs.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank", "_group")
 

@@ -50,21 +50,20 @@ def access_connectors(t, spark):
     return assembly.access(both, cells, hubs).withColumns({"time": F.round("time", 3), "dist": F.round("dist", 6)})
 
 
-@query(EV + ", l AS (SELECT a.stn AS src, b.stn AS trg, o_orderstatus = 'F' AS rail FROM ev a JOIN ev b ON a.trip = b.trip AND b.pos = a.pos + 1 JOIN orders ON a.trip = o_orderkey WHERE o_orderstatus IN ('F', 'P') AND a.t % 50 = 0), e AS (SELECT src AS node, rail FROM l UNION ALL SELECT trg, rail FROM l) SELECT node, CASE WHEN bool_and(rail) THEN 'Rail' WHEN bool_or(rail) THEN 'Multimodal' ELSE 'Bus' END AS kind FROM e GROUP BY node")
+@query(EV + ", l AS (SELECT a.stn AS src, b.stn AS trg, o_orderstatus = 'F' AS rail FROM ev a JOIN ev b ON a.trip = b.trip AND b.pos = a.pos + 1 JOIN orders ON a.trip = o_orderkey), e AS (SELECT src AS node, rail FROM l UNION ALL SELECT trg, rail FROM l) SELECT node, CASE WHEN bool_and(rail) THEN 'Rail' WHEN bool_or(rail) THEN 'Multimodal' ELSE 'Bus' END AS kind FROM e GROUP BY node")
 def station_kind(t, spark):
     from pyspark.sql import Window
 
     w = Window.partitionBy("trip").orderBy(*ORDER)
-    e = journeys(t).select("trip", F.col("stn").alias("src"), F.lead("stn").over(w).alias("trg"), "t").where("trg is not null and t % 50 = 0")
-    o = t("orders").where("o_orderstatus in ('F', 'P')").select(F.col("o_orderkey").alias("trip"), (F.col("o_orderstatus") == "F").alias("rail"))
+    e = journeys(t).select("trip", F.col("stn").alias("src"), F.lead("stn").over(w).alias("trg"), "t").where("trg is not null")
+    o = t("orders").select(F.col("o_orderkey").alias("trip"), (F.col("o_orderstatus") == "F").alias("rail"))
     return assembly.station_kinds(e.join(o, "trip"))
 
 
-@query(EV + ", m AS (SELECT *, t - (trip % 3000) AS arr FROM ev), s AS (SELECT *, min(arr) OVER (PARTITION BY trip) AS f FROM m) SELECT trip, stn, CAST(CASE WHEN f < 0 AND f >= -1440 THEN arr + 1440 ELSE arr END AS BIGINT) AS arr, CASE WHEN f < 0 THEN -1 ELSE 0 END AS day_shift FROM s WHERE f >= -1440")
+@query(EV + ", m AS (SELECT *, t - (trip % 1440) AS arr FROM ev), s AS (SELECT *, min(arr) OVER (PARTITION BY trip) AS f FROM m) SELECT trip, stn, CAST(CASE WHEN f < 0 AND f >= -1440 THEN arr + 1440 ELSE arr END AS BIGINT) AS arr, CASE WHEN f < 0 THEN -1 ELSE 0 END AS day_shift FROM s")
 def shifted_times(t, spark):
-    e = journeys(t).select(F.col("trip").alias("jrn"), "stn", (F.col("t") - F.col("trip") % 3000).cast("long").alias("arr"))
-    early = e.groupBy("jrn").agg(F.min("arr").alias("f")).where("f >= -1440").select("jrn")  # earlier ones are an error
-    s = export.shifted(e.join(early, "jrn", "left_semi").withColumn("dep", F.col("arr")))
+    e = journeys(t).select(F.col("trip").alias("jrn"), "stn", (F.col("t") - F.col("trip") % 1440).cast("long").alias("arr"))
+    s = export.shifted(e.withColumn("dep", F.col("arr")))
     return s.select(F.col("jrn").alias("trip"), "stn", "arr", "day_shift")
 
 

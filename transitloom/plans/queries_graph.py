@@ -37,10 +37,8 @@ def nearest_hub(t, spark):
 def nearest_on_island(t, spark):
     p = points(t)
     other = p.select(F.col("id").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("label").alias("_group"))
-    near = spatial.within_distance(p, other, 500.0).where("id <> rid and label = _group")
-    from transitloom.operators.rows import keep_first
-
-    return keep_first(near, ["id"], [F.col("dist"), F.col("rid")]).select("id", "rid", F.round("dist", 4).alias("dist"))
+    near = spatial.nearest_in_group(p, other, "label", 500.0, ["id"], "rid", unequal=("id", "rid"))
+    return near.select("id", "rid", F.round("dist", 4).alias("dist"))
 
 
 @query(PT + " SELECT id, round(x, 4) AS x FROM pt WHERE x BETWEEN -500 AND 500 AND y BETWEEN -1000 AND 1000")
@@ -74,20 +72,12 @@ def cluster_components(t, spark):
     return spatial.clusters(points(t), "id", RADIUS)
 
 
-LINKS = "ln AS (SELECT c_nationkey AS src, s_nationkey AS trg, min(l_extendedprice) AS w, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 40 AND (c_nationkey + s_nationkey) % 4 = 0 GROUP BY 1, 2)"
-
-
-def all_links(t):
-    return _links(order_nations(t))
+LINKS = "ln AS (SELECT c_nationkey AS src, s_nationkey AS trg, min(l_extendedprice) AS w, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"
 
 
 def nation_links(t):
-    """The rows of LINKS, for the queries that are held against it."""
-    return _links(order_nations(t).where("l_quantity > 40 and (src + trg) % 4 = 0"))
-
-
-def _links(x):
-    return x.groupBy("src", "trg").agg(F.min("l_extendedprice").alias("w"), F.count("*").alias("n"))
+    """The rows of LINKS."""
+    return order_nations(t).groupBy("src", "trg").agg(F.min("l_extendedprice").alias("w"), F.count("*").alias("n"))
 
 
 def nation_nodes(t):
@@ -134,19 +124,40 @@ def shortest_paths(t, spark):
     return graph.shortest_paths(e, pairs).select("src", "trg", F.round("length", 2).alias("length"))
 
 
+@query(
+    f"""WITH RECURSIVE {LINKS}, {ARCS}, r AS (SELECT n_nationkey AS src, n_nationkey AS node, 0.0::DOUBLE AS d, CAST(n_nationkey AS VARCHAR) AS path, 0 AS k FROM nation
+  UNION ALL SELECT src, node, d, path, k FROM (SELECT r.src, b.v AS node, min(r.d + b.w) AS d, arg_min(r.path || '>' || b.v, r.d + b.w) AS path, max(r.k) + 1 AS k FROM r JOIN b ON b.u = r.node WHERE r.k < 10 GROUP BY 1, 2))
+  SELECT a.n_nationkey AS src, c.n_nationkey AS trg, round(min(d), 2) AS length, arg_min(path, d) AS path FROM nation a JOIN nation c ON a.n_nationkey < c.n_nationkey LEFT JOIN r ON r.src = a.n_nationkey AND r.node = c.n_nationkey GROUP BY 1, 2"""
+)
+def shortest_routes(t, spark):
+    e = nation_links(t).where("src <> trg").select(F.struct("src", "trg").alias("edge"), F.col("src").alias("u"), F.col("trg").alias("v"), "w")
+    n = t("nation")
+    pairs = n.select(F.col("n_nationkey").alias("src")).join(n.select(F.col("n_nationkey").alias("trg")), F.col("src") < F.col("trg"))
+    r = graph.shortest_routes(e, pairs)
+    # an edge is crossed from the node where the way has come to
+    nodes = F.aggregate("edges", F.array("src"), lambda way, x: F.concat(way, F.array(F.when(x["src"] == F.element_at(way, -1), x["trg"]).otherwise(x["src"]))))
+    return r.select("src", "trg", F.round("length", 2).alias("length"), F.when(F.col("length").isNotNull(), F.array_join(nodes, ">")).alias("path"))
+
+
 @query()
 def greedy_station_prune(t, spark):
-    ln = all_links(t).where("src <> trg")
+    ln = nation_links(t).where("src <> trg")
     both = ln.select(F.col("src").alias("stn"), F.col("trg").alias("partner")).union(ln.select("trg", "src")).distinct()
     region = t("nation").select("n_nationkey", "n_regionkey")
     x = both.join(region.select(F.col("n_nationkey").alias("stn"), F.col("n_regionkey").alias("a")), "stn").join(region.select(F.col("n_nationkey").alias("partner"), F.col("n_regionkey").alias("b")), "partner").where("a <> b")
-    return graph.redundant_stations(x.select("stn", "partner", F.concat_ws("-", F.least("a", "b").cast("string"), F.greatest("a", "b").cast("string")).alias("od")))
+    x = x.select("stn", "partner", F.concat_ws("-", F.least("a", "b").cast("string"), F.greatest("a", "b").cast("string")).alias("od"))
+    served = t("nation").select(F.col("n_nationkey").alias("stn")).join(x.groupBy("stn").agg(F.countDistinct("od").alias("n")), "stn", "left")
+    return graph.redundant_stations(x, served.select("stn", F.coalesce("n", F.lit(0)).alias("n")))
 
 
-@query()
+@query(
+    """WITH e AS (SELECT o_custkey AS c, CAST(-c_nationkey - 1 AS BIGINT) AS n, o_totalprice AS w FROM orders JOIN customer ON o_custkey = c_custkey), x AS (SELECT *, count(*) OVER (PARTITION BY c) AS k FROM e)
+  SELECT n AS u, n AS v, round(sum(w), 2) AS w, 2 AS n_edges FROM x WHERE k = 2 GROUP BY c, n UNION ALL SELECT least(c, n), greatest(c, n), round(w, 2), 1 FROM x WHERE k <> 2"""
+)
 def chain_contraction(t, spark):
     e = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_custkey").alias("u"), (-F.col("c_nationkey") - 1).cast("long").alias("v"), F.col("o_totalprice").alias("w"))
-    return graph.contracted(e)
+    # nations are stations: they stay ends however few their customers are
+    return graph.contracted(e, e.select(F.col("v").alias("node")).distinct()).withColumn("w", F.round("w", 2))
 
 
 @query(f"WITH {LINKS}, moved AS (SELECT * FROM (VALUES (4, 8), (12, 0)) v(node, target)) SELECT coalesce(a.target, src) AS src, coalesce(b.target, trg) AS trg, round(w, 2) AS w FROM ln LEFT JOIN moved a ON src = a.node LEFT JOIN moved b ON trg = b.node WHERE coalesce(a.target, src) <> coalesce(b.target, trg)")
