@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from transitloom.llm import best_fit, decontaminate, language, line_dedup, ngram_join, packed_ids, quality, secrets, suffix_dedup, token_counts
+from transitloom.llm import best_fit, decontaminate, language, line_dedup, ngram_join, packed_ids, quality, secrets, sql, suffix_dedup, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,4 +54,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packed_ids, op2_language_id, op3_ngram_jaccard_join, op4_token_counts, op5_quality_rules, op6_decontamination, op7_suffix_dedup, op8_line_dedup, op9_secret_scan, op10_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_jaccard_join": sql.NGRAM_JACCARD_JOIN,
+    "op6_decontamination": sql.DECONTAMINATION,
+    "op7_suffix_dedup": sql.SUFFIX_DEDUP,
+    "op8_line_dedup": sql.LINE_DEDUP,
+}
