@@ -77,6 +77,13 @@ def test_ngram_join_without_leaders_and_with_empty_parts(spark):
     assert got_classes(df, 4, 85, leader_rounds=0) == classes(rows, 4, 85)
 
 
+def test_large_buckets_are_split(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join.bucket_pairs, "__defaults__", (2,))
+    rows = near_copies(6, 90)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got_classes(df, 4, 85) == classes(rows, 4, 85) == got_classes(df, 4, 85, leader_rounds=0)
+
+
 def test_signatures_meet():
     import numpy as np
 

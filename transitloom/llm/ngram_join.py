@@ -11,11 +11,11 @@ empty subsets, so that no pair is lost.
 Equal sets are merged first.  Sets that share a signature form a bucket; equal buckets are merged.  Links within buckets
 are found by rounds: each set is compared with one leader of a bucket that isn't yet known to be in its component,
 which takes one comparison a set and round and joins large groups of near copies without all their pairs.  The first
-leaders are the sets that lie in most buckets, the centres of such groups.  What buckets of several components then
-remain are false candidates for the most part, because of passages that many sets hold.  Their sets are compared in
-full, but only where they share one of their rarest shingles early enough in the order of rarity for a link; an exact
-lower bound on the difference from parity sketches rejects most of those pairs, and the rest are verified on the sets
-themselves.  Components come from `plans.components`.
+leaders are the sets that lie in most buckets, the centres of such groups.  Of the buckets that still hold several
+components all remaining pairs of different components are looked at: directly in buckets of up to SMALL members; larger
+ones, which passages that many sets hold bring about, are split by their members' rarest shingles, of which a linked pair
+shares one early enough in the order of rarity.  An exact lower bound on the difference from parity sketches rejects most
+pairs, and the rest are verified on the sets themselves.  Components come from `plans.components`.
 
 Null and empty texts and texts without words have an empty set and are linked with nothing: their component is their
 own doc_id.  Equal rows fall into one class; rows of one doc_id with different texts are separate sets.  A null doc_id
@@ -39,6 +39,8 @@ from transitloom.plans.staging import discard, staged
 
 WIDTH, PERCENT = 4, 85
 LEADER_ROUNDS = 1
+#: Members of a bucket whose pairs are taken directly.
+SMALL = 32
 SEEDS = 3
 RARITY_BITS = 18
 #: Bits of the bitmap of sets that need verification (8 MB); a full bitmap only means that more sets are kept.
@@ -227,9 +229,19 @@ def near(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("differ", differ).where(f"differ * {100 + percent} <= {100 - percent} * (n_a + n_b)").select("a", "b", "differ")
 
 
+def bucket_pairs(rows: DataFrame, sets: DataFrame, percent: int, small: int = SMALL) -> DataFrame:
+    """Pairs (a, b) of sets that share a bucket of `rows` (bucket, sid, c) and differ in c: it includes all links."""
+    size = staged(rows.groupBy("bucket").count(), "sizes")
+    few = rows.join(size.where(F.col("count") <= small).select("bucket"), "bucket")
+    side = lambda x: few.select("bucket", F.col("sid").alias(x), F.col("c").alias(f"c_{x}"))
+    direct = side("a").join(side("b"), "bucket").where("a < b and c_a <> c_b").select("a", "b")
+    many = staged(rows.join(size.where(F.col("count") > small).select("bucket"), "bucket"), "large")
+    return direct.unionByName(rare_pairs(sets, many, percent)).distinct()
+
+
 def rare_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets in `labels` (sid, c), with different c, that share one of their rarest shingles so early
-    that a link is possible: it includes all links.
+    """Pairs (a, b) of sets that share a bucket of `labels` (bucket, sid, c), differ in c and share one of their rarest
+    shingles so early that a link is possible: it includes all links.
 
     Rarity is counted in 2**RARITY_BITS counters.  A pair's first common shingle, at places i and j counted from 0,
     leaves at most 1 + min(n_a - i - 1, n_b - j - 1) common ones.
@@ -267,9 +279,9 @@ def rare_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
                 yield pa.record_batch([pa.array(signed(token)), pa.array(sid), pa.array(n), pa.array(at)], names=["token", "sid", "n", "i"])
 
     entries = staged(some.mapInArrow(run, "token long, sid long, n long, i long").join(labels, "sid"), "rare")
-    side = lambda x: entries.select("token", F.col("sid").alias(x), *[F.col(k).alias(f"{k}_{x}") for k in ("n", "i", "c")])
+    side = lambda x: entries.select("bucket", "token", F.col("sid").alias(x), *[F.col(k).alias(f"{k}_{x}") for k in ("n", "i", "c")])
     could = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and {100 + percent} * (1 + least(n_a - i_a, n_b - i_b) - 1) >= {percent} * (n_a + n_b)"
-    return side("a").join(side("b"), "token").where(f"a < b and c_a <> c_b and {could}").select("a", "b").distinct()
+    return side("a").join(side("b"), ["bucket", "token"]).where(f"a < b and c_a <> c_b and {could}").select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -308,12 +320,13 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, leader_ro
         # first the sets in most buckets, then others
         rank = F.struct(F.lit(0) if turn else -F.col("d"), F.xxhash64("sid", F.lit(turn)), F.col("sid").alias("leader"), F.col("c").alias("leader_c"))
         lead = here.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(rank).alias("l")).where("lo < hi").select("bucket", "l.leader", "l.leader_c")
-        mixed = staged(here.join(lead, "bucket").select("sid", "c", "leader", "leader_c").distinct(), "mixed")
+        last = turn == leader_rounds
+        mixed = here.join(lead, "bucket")
+        mixed = staged(mixed.select("bucket", "sid", "c") if last else mixed.select("sid", "c", "leader", "leader_c").distinct(), "mixed")
         if mixed.isEmpty():
             break
-        last = turn == leader_rounds
         if last:
-            pairs = rare_pairs(sets, mixed.select("sid", "c").distinct(), percent)
+            pairs = bucket_pairs(mixed, sets, percent)
         else:
             pairs = mixed.where("c <> leader_c").select(F.greatest("sid", "leader").alias("b"), F.least("sid", "leader").alias("a"), F.col("sid").alias("y"))
         if tried is not None:
