@@ -43,6 +43,8 @@ LEADER_ROUNDS = 1
 SMALL = 32
 SEEDS = 3
 RARITY_BITS = 18
+#: Sets whose shingles a task counts.
+TALLY_SETS = 50_000
 #: Bits of the bitmap of sets that need verification (8 MB); a full bitmap only means that more sets are kept.
 SET_BITS = 1 << 26
 #: Equal sets that a task remembers in order to send their signatures once.
@@ -257,7 +259,9 @@ def rare_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         used = np.flatnonzero(counts)
         yield pa.record_batch([pa.array(used), pa.array(counts[used])], names=["k", "m"])
 
-    rows = some.select("content").mapInArrow(tally, "k long, m long").groupBy("k").agg(F.sum("m").alias("m")).toArrow()
+    # A task for so many sets that its counters are few beside them.
+    dealt = some.select("content").coalesce(max(1, -(-sets.count() // TALLY_SETS)))
+    rows = dealt.mapInArrow(tally, "k long, m long").groupBy("k").agg(F.sum("m").alias("m")).toArrow()
     counts = np.zeros(size, np.int64)
     counts[rows.column("k").to_numpy()] = rows.column("m").to_numpy()
     shared = sets.sparkSession.sparkContext.broadcast(counts)
