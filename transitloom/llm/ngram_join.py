@@ -14,7 +14,7 @@ which takes one comparison a set and round and joins large groups of near copies
 leaders are the sets that lie in most buckets, the centres of such groups.  Of the buckets that still hold several
 components all remaining pairs of different components are looked at: directly in buckets of up to SMALL members; larger
 ones, which passages that many sets hold bring about, are split by their members' rarest shingles, of which a linked pair
-shares one early enough in the order of rarity.  An exact lower bound on the difference from parity sketches rejects most
+shares one early enough in the order of rarity, and a pair found so must share a bucket as well.  An exact lower bound on the difference from parity sketches rejects most
 pairs, and the rest are verified on the sets themselves.  Components come from `plans.components`.
 
 Null and empty texts and texts without words have an empty set and are linked with nothing: their component is their
@@ -238,12 +238,16 @@ def bucket_pairs(rows: DataFrame, sets: DataFrame, percent: int, small: int = SM
     side = lambda x: few.select("bucket", F.col("sid").alias(x), F.col("c").alias(f"c_{x}"))
     direct = side("a").join(side("b"), "bucket").where("a < b and c_a <> c_b").select("a", "b")
     many = staged(rows.join(size.where(F.col("count") > small).select("bucket"), "bucket"), "large")
-    return direct.unionByName(rare_pairs(sets, many, percent)).distinct()
+    split = near(rare_pairs(sets, many.select("sid", "c").distinct(), percent), sets.select("sid", "n", "sketch"), percent).select("a", "b")
+    split = staged(split, "split")  # few: only then is the bucket asked for
+    at = lambda x: many.select(F.col("sid").alias(x), "bucket")
+    shared = split.join(at("a"), "a").join(at("b"), ["b", "bucket"]).select("a", "b")
+    return direct.unionByName(shared).distinct()
 
 
 def rare_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets that share a bucket of `labels` (bucket, sid, c), differ in c and share one of their rarest
-    shingles so early that a link is possible: it includes all links.
+    """Pairs (a, b) of sets in `labels` (sid, c) that differ in c and share one of their rarest shingles so early that a
+    link is possible: it includes all links.
 
     Rarity is counted in 2**RARITY_BITS counters.  A pair's first common shingle, at places i and j counted from 0,
     leaves at most 1 + min(n_a - i - 1, n_b - j - 1) common ones.
@@ -283,9 +287,9 @@ def rare_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
                 yield pa.record_batch([pa.array(signed(token)), pa.array(sid), pa.array(n), pa.array(at)], names=["token", "sid", "n", "i"])
 
     entries = staged(some.mapInArrow(run, "token long, sid long, n long, i long").join(labels, "sid"), "rare")
-    side = lambda x: entries.select("bucket", "token", F.col("sid").alias(x), *[F.col(k).alias(f"{k}_{x}") for k in ("n", "i", "c")])
+    side = lambda x: entries.select("token", F.col("sid").alias(x), *[F.col(k).alias(f"{k}_{x}") for k in ("n", "i", "c")])
     could = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and {100 + percent} * (1 + least(n_a - i_a, n_b - i_b) - 1) >= {percent} * (n_a + n_b)"
-    return side("a").join(side("b"), ["bucket", "token"]).where(f"a < b and c_a <> c_b and {could}").select("a", "b").distinct()
+    return side("a").join(side("b"), "token").where(f"a < b and c_a <> c_b and {could}").select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
