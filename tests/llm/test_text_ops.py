@@ -60,7 +60,7 @@ def test_small_languages_keep_their_words(spark):
     large = [(i * 3, 10 * " ".join(word(j) for j in range(i % 7, 84_000, 7)) + " casa", "aa") for i in range(28)]
     docs = spark.createDataFrame([*large, *((i, "casa perro", "bb") for i in range(1000, 1008)), (1, "casa", "aa")], "doc_id long, text string, lang string")
     model = language.train(docs)
-    assert model.languages == ["aa", "bb"] and len(model.words) > 60_000
+    assert model.languages == ["aa", "bb"] and len(model.word_keys) > 60_000
     assert model.word_scores[model.words["casa"]].argmax() == 1
     assert language.Predictor(model).predict("perro casa")[0] == "bb"
 
@@ -125,6 +125,43 @@ def base(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(covered), len(words) < 20 or 100 * len(covered) > 30 * len(words)
 
 
+def test_language_equals_plain_backoff(spark, documents):
+    """Word scores first, then the longest n-grams that are known, over all rows."""
+    import math
+    import zlib
+
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in documents.collect()]
+    own = [(t, x) for d, t, x in rows if x is not None and d is not None and zlib.crc32(str(d).encode()) % 5]
+    langs = sorted({x for _, x in own})
+    tables = {kind: {x: Counter() for x in langs} for kind in ("word", "gram")}
+    for t, x in own:
+        for w in language.words_of(t):
+            tables["word"][x][w] += 1
+            for n in language.ORDERS:
+                tables["gram"][x].update(language.grams(w, n))
+    known = {kind: set().union(*by.values()) for kind, by in tables.items()}
+    total = {kind: {x: sum(by[x].values()) for x in langs} for kind, by in tables.items()}
+    score = lambda kind, s, x: math.log(tables[kind][x][s] + 0.5) - math.log(total[kind][x] + 0.5 * len(known[kind]))
+
+    def of_word(w, x):
+        if w in known["word"]:
+            return score("word", w, x)
+        for n in language.ORDERS:
+            if some := [g for g in language.grams(w, n) if g in known["gram"]]:
+                return sum(score("gram", g, x) for g in some) / len(some)
+        return 0.0
+
+    got = {r["doc_id"]: r for r in language.predict(documents, language.train(documents)).collect()}
+    for d, t, _ in rows:
+        words = language.words_of(t)
+        if not words:
+            assert got[d]["lang_pred"] == "und"
+            continue
+        sums = [sum(of_word(w, x) for w in words) for x in langs]
+        p = [math.exp((v - max(sums)) / math.sqrt(len(words))) for v in sums]
+        assert got[d]["lang_pred"] == langs[sums.index(max(sums))] and abs(got[d]["score"] - max(p) / sum(p)) < 1e-6
+
+
 def quality_rows(df, labels):
     return quality.judged(df, quality.fit(df, labels))
 

@@ -29,6 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ from transitloom.llm._text import chunks
 TRAIN_DOCUMENTS = 20_000
 ORDERS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
-#: Unseen words whose scores a worker remembers; when reached, it forgets them all.
+#: Words whose scores a worker remembers; when reached, it forgets them all.
 REMEMBERED = 200_000
 #: Share of a language's letters that those counted for chance make up.
 COMMON = 0.999
@@ -60,9 +61,10 @@ def grams(word: str, n: int) -> list[str]:
 @dataclass
 class Model:
     languages: list[str]
-    words: dict[str, int] = field(default_factory=dict)
+    #: Sorted hashes of the known words, and the scores of each in the languages; the same of n-grams.
+    word_keys: np.ndarray = None
     word_scores: np.ndarray = None
-    grams: dict[str, int] = field(default_factory=dict)
+    gram_keys: np.ndarray = None
     gram_scores: np.ndarray = None
     #: Evidence of each n-gram of 3, and of an unseen one after each n-gram of 2.
     follows: dict[str, int] = field(default_factory=dict)
@@ -91,8 +93,8 @@ class Model:
                         short[k].update(own)
 
         model = cls(languages)
-        model.words, model.word_scores = _scores(((w, at[x], n) for x, w, n in counts), len(languages))
-        model.grams, model.gram_scores = _scores(gram_counts(), len(languages))
+        model.word_keys, model.word_scores = _scores(((w, at[x], n) for x, w, n in counts), len(languages))
+        model.gram_keys, model.gram_scores = _scores(gram_counts(), len(languages))
         model._set_gains(short)
         return model
 
@@ -120,8 +122,8 @@ class Model:
 
     def unseen(self, word: str) -> np.ndarray:
         for order in ORDERS:
-            known = [i for g in grams(word, order) if (i := self.grams.get(g)) is not None]
-            if known:
+            rows = _rows(self.gram_keys, grams(word, order))
+            if (known := rows[rows >= 0]).size:
                 return self.gram_scores[known].mean(axis=0)
         return np.zeros(len(self.languages))
 
@@ -132,44 +134,53 @@ def _common_letters(own: Counter) -> int:
     return int(np.searchsorted(amounts.cumsum(), COMMON * amounts.sum())) + 1
 
 
-def _scores(rows, languages: int) -> tuple[dict[str, int], np.ndarray]:
-    """Row of each key, and its smoothed log frequency in each language."""
-    index: dict[str, int] = {}
-    at, amounts = array("q"), array("d")
+def _key(s: str) -> int:
+    return xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"))
+
+
+def _rows(keys: np.ndarray, strings: list[str]) -> np.ndarray:
+    """The place of each string's hash in `keys`, or -1."""
+    wanted = np.fromiter(map(_key, strings), np.uint64, len(strings))
+    if not len(keys):
+        return np.full(len(strings), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+def _scores(rows, languages: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the keys in rows (key, language, count), and their smoothed log frequency in each language."""
+    hashes, at, amounts = array("Q"), array("q"), array("d")
     for key, k, n in rows:
-        at.append(index.setdefault(key, len(index)) * languages + k)
+        hashes.append(_key(key))
+        at.append(k)
         amounts.append(n)
-    size = max(1, len(index)) * languages
-    counts = np.bincount(np.frombuffer(at, np.int64), np.frombuffer(amounts), size).reshape(-1, languages) if at else np.zeros((1, languages))
-    return index, np.log(counts + 0.5) - np.log(counts.sum(axis=0) + 0.5 * len(counts))
+    if not at:
+        return np.zeros(0, np.uint64), np.zeros((0, languages))
+    keys, place = np.unique(np.frombuffer(hashes, np.uint64), return_inverse=True)
+    counts = np.bincount(place * languages + np.frombuffer(at, np.int64), np.frombuffer(amounts), len(keys) * languages).reshape(-1, languages)
+    return keys, np.log(counts + 0.5) - np.log(counts.sum(axis=0) + 0.5 * len(counts))
 
 
 class Predictor:
     def __init__(self, model: Model):
         self.model, self.memory = model, {}
-        self.scores, self.free = model.word_scores, 0
+        self.scores = np.zeros((0, len(model.languages)))
         self.gains, self.known_gains = np.zeros((0, len(model.languages))), np.zeros(0, dtype=bool)
 
     def rows(self, words: list[str]) -> np.ndarray:
-        known, model = self.model.words, self.model
-        memory, base, rows = self.memory, len(model.word_scores), []
-        new = []
-        for w in words:
-            i = known.get(w)
-            if i is None:
-                i = memory.get(w)
-                if i is None:
-                    i = memory[w] = base + len(memory)
-                    new.append(model.unseen(w))
-            rows.append(i)
+        """Rows of `scores` for some words."""
+        memory, model = self.memory, self.model
+        new = [w for w in dict.fromkeys(words) if w not in memory]
         if new:
-            need = base + len(memory)
-            if need > len(self.scores):
-                grown = np.zeros((max(need, 2 * len(self.scores)), len(model.languages)))
-                grown[: len(self.scores)] = self.scores
+            base = len(memory)
+            if base + len(new) > len(self.scores):
+                grown = np.zeros((max(base + len(new), 2 * len(self.scores)), len(model.languages)))
+                grown[:base] = self.scores[:base]
                 self.scores = grown
-            self.scores[need - len(new) : need] = new
-        return np.array(rows, dtype=np.int64)
+            for j, (w, i) in enumerate(zip(new, _rows(model.word_keys, new).tolist(), strict=True), base):
+                memory[w] = j
+                self.scores[j] = model.word_scores[i] if i >= 0 else model.unseen(w)
+        return np.array([memory[w] for w in words], dtype=np.int64)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         return self.judged(text, False)[:2]
@@ -181,7 +192,7 @@ class Predictor:
             return UNKNOWN, 0.0, 0.0
         if len(self.memory) > REMEMBERED:
             self.memory = {}
-            self.known_gains[len(self.model.word_scores) :] = False
+            self.known_gains[:] = False
         rows = self.rows(words)
         total = self.scores[rows].sum(axis=0)
         z = (total - total.max()) / np.sqrt(len(words))
