@@ -61,7 +61,7 @@ def test_small_languages_keep_their_words(spark):
     docs = spark.createDataFrame([*large, *((i, "casa perro", "bb") for i in range(1000, 1008)), (1, "casa", "aa")], "doc_id long, text string, lang string")
     model = language.train(docs)
     assert model.languages == ["aa", "bb"] and len(model.word_keys) > 60_000
-    assert model.word_scores[model.words["casa"]].argmax() == 1
+    assert model.word_scores[language._rows(model.word_keys, ["casa"])[0]].argmax() == 1
     assert language.Predictor(model).predict("perro casa")[0] == "bb"
 
 

@@ -128,10 +128,11 @@ def fillings(counts: np.ndarray, room: int, steps: list[int] | None = None) -> I
     """All undominated fillings of `room` from the lengths at hand, one item that fits exactly first, then by descending
     items.  Each that is looked at takes one of `steps`; none is given once they are used up."""
     steps = [1 << 62] if steps is None else steps
-    have = {int(s): int(counts[s]) for s in np.flatnonzero(counts[: room + 1]) if s}
-    sizes = sorted(have, reverse=True)
-    every = sum(1 << s for s in sizes)
-    if not sizes:
+    # `counts` is read, not copied: whoever changes it restores it before asking for the next filling
+    sizes = np.flatnonzero(counts[: room + 1])[::-1].astype(np.int32)
+    sizes = sizes[sizes > 0]
+    every = sum(1 << s for s in sizes.tolist())
+    if not len(sizes):
         yield ()
         return
     if sizes[0] == room:  # it dominates all others
@@ -139,17 +140,17 @@ def fillings(counts: np.ndarray, room: int, steps: list[int] | None = None) -> I
         return
 
     def left_after(filling: Pattern) -> int:
-        gone = sum(1 << s for s in set(filling) if filling.count(s) == have[s])
+        gone = sum(1 << s for s in set(filling) if filling.count(s) == counts[s])
         return every & ~gone
 
     stack: list[tuple[Pattern, int, int]] = [((), room, 0)]
     while stack and steps[0] > 0:
         filling, rest, at = stack.pop()
-        while at < len(sizes) and (sizes[at] > rest or filling.count(sizes[at]) == have[sizes[at]]):
+        while at < len(sizes) and (sizes[at] > rest or filling.count(sizes[at]) == counts[sizes[at]]):
             at += 1
         if at < len(sizes):
             stack.append((filling, rest, at + 1))
-            stack.append(((*filling, sizes[at]), rest - sizes[at], at))
+            stack.append(((*filling, int(sizes[at])), rest - int(sizes[at]), at))
             continue
         steps[0] -= 1
         if filling and not dominated(filling, rest, left_after(filling)):
@@ -179,38 +180,43 @@ def bin_completion(counts: np.ndarray, capacity: int, nodes: int = NODES) -> Pla
     best = best_fit_decreasing(counts, capacity)
     used, bound, steps = sum(n for _, n in best), lower_bound(counts, capacity), [nodes]
 
-    def choices(c: np.ndarray) -> Iterator[tuple[Pattern, int]]:
+    def choices() -> Iterator[tuple[Pattern, int]]:
         """Fillings with the largest length left, each as often as possible and then less often."""
-        a = int(np.flatnonzero(c)[-1])
-        c = c.copy()
-        c[a] -= 1
-        for p in fillings(c, capacity - a, steps):
+        a = int(np.flatnonzero(counts)[-1])
+        counts[a] -= 1
+        for p in fillings(counts, capacity - a, steps):
+            counts[a] += 1
             kinds, need = np.unique((a, *p), return_counts=True)
-            c[a] += 1
-            most = int((c[kinds] // need).min())
-            c[a] -= 1
-            for times in range(most, 0, -1):
+            for times in range(int((counts[kinds] // need).min()), 0, -1):
                 yield (a, *p), times
+            counts[a] -= 1
+        counts[a] += 1
 
-    stack = [(counts, [], 0, 0, choices(counts))] if total else []
+    # One histogram is changed on the way down and restored on the way up, so that a level takes little memory.
+    path: list[tuple[Pattern, int]] = []
+    stack, waste, bins = [choices()] if total else [], 0, 0
     while stack and used > bound and steps[0] > 0:
-        c, done, waste, bins, options = stack[-1]
-        chosen = next(options, None)
+        chosen = next(stack[-1], None)
         if chosen is None:
             stack.pop()
+            if path:
+                p, times = path.pop()
+                np.add.at(counts, list(p), times)
+                waste, bins = waste - (capacity - sum(p)) * times, bins - times
             continue
         steps[0] -= 1
         p, times = chosen
         lost, made = waste + (capacity - sum(p)) * times, bins + times
         if lost > (used - 1) * capacity - total or made >= used:  # no better solution can waste so much
             continue
-        rest = c.copy()
-        np.subtract.at(rest, list(p), times)
-        path = [*done, (p, times)]
-        if rest.any():
-            stack.append((rest, path, lost, made, choices(rest)))
+        np.subtract.at(counts, list(p), times)
+        if counts.any():
+            path.append(chosen)
+            stack.append(choices())
+            waste, bins = lost, made
         else:
-            best, used = path, made
+            best, used = [*path, chosen], made
+            np.add.at(counts, list(p), times)
     return Plan(best, bound, used <= bound or steps[0] > 0)
 
 
