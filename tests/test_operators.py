@@ -223,3 +223,12 @@ def test_violations(spark):
     ln = spark.createDataFrame([("a", "b", 5.0, 1.0, "Bus", "x"), ("a", "c", -1.0, None, "Bus", None), ("a", "a", 1.0, None, "Car", None)], "src string, trg string, time double, freq double, mode string, operator string")
     got = {r["check"]: r["violations"] for r in links.violations(n, ln).collect()}
     assert got == {"node_id_null": 0, "node_id_repeated": 0, "coordinates": 1, "endpoint_null": 0, "src_unknown": 0, "trg_unknown": 1, "time": 1, "operator_or_freq_null": 1, "freq": 0, "self_link": 1}
+
+
+def test_snapped_stations(spark):
+    edges = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 8, 9), (2, 5, 6)], "island int, u int, v int")
+    nodes = spark.createDataFrame([(k, float(10 * k), 0.0) for k in (1, 2, 3, 5, 6, 8, 9)], "node int, x double, y double")
+    stations = spark.createDataFrame([(1, 25.0, 0.0), (2, 81.0, 0.0), (3, 52.0, 3.0), (4, 500.0, 0.0), (5, None, 0.0)], "stn int, x double, y double")
+    found = {tuple(r) for r in graph.snapped_stations(stations, edges, nodes, "island", 21.0).select("stn", "node").collect()}
+    # 8 is nearest to the second station, but not of its island's largest component
+    assert found == {(1, 2), (2, 6), (3, 5)}

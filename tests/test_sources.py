@@ -86,6 +86,59 @@ def test_export(spark, tmp_path):
         assert z.testzip() is None and len(z.read("stop_times.txt").splitlines()) == 5
 
 
+def test_feed(spark, tmp_path):
+    stations = spark.createDataFrame([(1, "A | Aa", 0.0, 0.0), (2, "B", 0.1, 0.0), (3, "C", 0.2, 0.0)], "stn int, name string, lon double, lat double")
+    lines = spark.createDataFrame([(10, " Z ", True, [1, 2, 3]), (11, None, True, [1, 2, 3]), (12, "", False, [1, 3])], "line int, agency string, rail boolean, stns array<int>")
+    journeys = spark.createDataFrame([(100, 10, 0), (101, 12, 0), (102, 11, 0)], "jrn int, line int, dateset long")
+    datesets = spark.sql("select 0L dateset, array(date'2024-01-01', date'2024-01-03') dates")
+    times = spark.createDataFrame([(100, 1, -20, -18), (100, 2, 5, 6), (100, 3, 30, 31), (101, 1, 5, 5), (101, 3, 90, 91), (102, 1, 0, 0), (102, 2, 7, 8), (102, 3, 9, 9)], "jrn int, stn int, arr int, dep int")
+    # the second runs against its direction; there is none for buses
+    segments = spark.sql("""select 1 src, 2 trg, 'Rail' mode, array(named_struct('x', 0D, 'y', 0D), named_struct('x', 0.05D, 'y', 0D), named_struct('x', 0.1D, 'y', 0D)) line
+      union all select 2, 3, 'Rail', array(named_struct('x', 0.19D, 'y', 0D), named_struct('x', 0.11D, 'y', 0D))
+      union all select 1, 3, 'Bus', null""")
+    f = export.feed(stations, lines, journeys, datesets, times, segments, publisher="P", url="https://example.org/", timezone="Europe/Paris", version="1")
+    rows = {name: df.collect() for name, df in f.items()}
+    assert {(r["agency_id"], r["agency_name"]) for r in rows["agency"]} == {(1, "Unknown agency"), (2, "Z")}
+    assert {(r["route_id"], r["agency_id"], r["route_short_name"], r["route_long_name"], r["route_type"]) for r in rows["routes"]} == {(10, 2, "IC-00010", "A \u2013 C", 2), (11, 1, "IC-00011", "A \u2013 C", 2), (12, 1, "IC-00012", "A \u2013 C", 3)}
+    assert {(r["route_id"], r["trip_id"], r["shape_id"]) for r in rows["trips"]} == {(10, "100", 1), (11, "102", 1), (12, "101", None)}
+    shape = sorted(rows["shapes"], key=lambda r: r["shape_pt_sequence"])
+    assert [(r["shape_pt_sequence"], r["shape_pt_lon"]) for r in shape] == [(1, 0.0), (2, 0.05), (3, 0.1), (4, 0.11), (5, 0.19), (6, 0.2)]
+    degree = 6378.137 * 3.141592653589793 / 180
+    assert all(abs(r["shape_dist_traveled"] - degree * r["shape_pt_lon"]) < 1e-6 for r in shape)
+    at = {(r["trip_id"], r["stop_sequence"]): r["shape_dist_traveled"] for r in rows["stop_times"]}
+    assert len(at) == 8 and at["101", 1] is None and at["100", 1] == 0 and abs(at["100", 3] - 0.2 * degree) < 1e-6
+    assert len({r["service_id"] for r in rows["calendar_dates"]}) == 2
+    info = rows["feed_info"][0]
+    assert (info["feed_start_date"], info["feed_end_date"]) == (20231231, 20240103)
+    export.write_archive(f, str(tmp_path / "f.zip"))
+    back = gtfs.read_table(gtfs.archives(spark, str(tmp_path)), "stop_times", ["trip_id", "arrival_time"])
+    assert back.where("trip_id = '100'").agg(F.min("arrival_time"), F.max("arrival_time")).first()[:] == ("23:40:00", "24:30:00")
+
+
+def test_feed_of_unknown_stations_is_an_error(spark):
+    import pytest
+
+    far = spark.createDataFrame([(1, "A", 0.0, 91.0)], "stn int, name string, lon double, lat double")
+    with pytest.raises(Exception, match="out of range"):
+        export.stops(far).collect()
+
+
+def test_minimal_feed(spark):
+    trips = spark.createDataFrame([("R", "S", "T"), ("R", "S", "U"), ("R", "V", "W")], "route_id string, service_id string, trip_id string")
+    valid = spark.sql("select date'2026-02-01' from_date, date'2026-03-01' to_date")
+    f = export.minimal_feed(("X", "Rail", "https://example.org/", "Europe/Rome"), valid, trips, trips, trips, trips, "it")
+    assert {(r["service_id"], r["sunday"], r["start_date"], r["end_date"]) for r in f["calendar"].collect()} == {(s, 1, "20260201", "20260301") for s in "SV"}
+    assert (f["feed_info"].first()["feed_end_date"], f["agency"].first()["agency_id"]) == ("20260301", "X")
+
+
+def test_catalogue_resources(spark):
+    items = spark.createDataFrame([("d", 0, "other", True, 1), ("d", 1, "gtfs", False, 2), ("d", 2, "gtfs", True, 3), ("d", 3, "gtfs", True, 4)], "dataset string, position int, format string, is_active boolean, id int")
+    assert [r["id"] for r in tables.active_resource(items, ["dataset"], "gtfs").collect()] == [3]
+    res = "array<struct<format: string, name: string, last_modified: string, created: string>>"
+    packages = spark.createDataFrame([("a", [(".XML", "t 2026", None, "2025-05"), ("xml", "t 2026 b", "2025-06", None), ("xml", "u 2026", "2025-06", ""), ("csv", "t 2026", "2027", None)]), ("b", [("xml", "t 2025", "2025", None)]), ("c", []), ("e", [(None, None, None, None), ("xml", "2026", "", None)])], f"id string, resources {res}")
+    assert {(r["id"], r["resource"]["name"]) for r in tables.newest_resources(packages, "2026").collect()} == {("a", "t 2026 b"), ("e", "2026")}
+
+
 def test_schedule_and_verified_files(spark, tmp_path):
     (tmp_path / "s.csv").write_text(",".join(tables.SCHEDULE) + "\nCDG,FRA,AF,1018,0930,1145,0,1234567,150,2024-01-01,2024-02-01\nCDG,FRA,AF,1018,0930,1145,0,1234567,150,2024-01-01,2024-02-01\n")
     rows = tables.read_schedule(spark, str(tmp_path / "s.csv")).collect()

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from transitloom.operators import spatial
 from transitloom.plans.components import components
 from transitloom.plans.staging import staged
 
@@ -141,6 +142,13 @@ def giant_components(edges: DataFrame, island: str) -> DataFrame:
     return labelled.join(best, [island, "root"]).select(island, "node")
 
 
+def snapped_stations(stations: DataFrame, edges: DataFrame, nodes: DataFrame, island: str, radius: float) -> DataFrame:
+    """(stn, node, dist): the nearest node within `radius` of each station (stn, x, y), among the largest components of
+    the islands of `edges` (u, v, `island`); ties go to the smallest node.  Nodes are (node, x, y)."""
+    giant = giant_components(edges, island).select("node").distinct().join(nodes.select("node", F.col("x").alias("rx"), F.col("y").alias("ry")), "node")
+    return spatial.nearest(stations.select("stn", "x", "y"), giant, radius, ["stn"], "node").select("stn", "node", "dist")
+
+
 def contracted(edges: DataFrame, keep: DataFrame | None = None) -> DataFrame:
     """(u, v, w, n_edges): chains through nodes of degree two as single edges.
 

@@ -63,6 +63,27 @@ def latest_versions(versions: DataFrame, snapshot, key: str = "feed", at: str =
     return as_of(versions, [key], at, snapshot, [c for c in versions.columns if c not in (key, at)])
 
 
+def active_resource(items: DataFrame, keys: Sequence[str], kind: str, active: str = "is_active", order: str = "position") -> DataFrame:
+    """The first active item of the format `kind` in the catalogue's order, for each of `keys`."""
+    from transitloom.operators.rows import keep_first
+
+    return keep_first(items.where((F.col("format") == kind) & F.col(active)), keys, [F.col(order)])
+
+
+def newest_resources(packages: DataFrame, period: str, kind: str = "xml") -> DataFrame:
+    """For each package the resource of a format, whatever its case or leading dots, whose name holds `period` and that
+    was last modified, or else created, latest; the first listed of equals.  Packages without one have no row.
+
+    Packages have `resources`, an array of structs with format, name, last_modified and created.
+    """
+    fits = lambda r: (F.ltrim(F.lower(F.coalesce(r["format"], F.lit(""))), F.lit(".")) == kind) & F.contains(F.coalesce(r["name"], F.lit("")), F.lit(period))
+    at = lambda r: F.coalesce(F.nullif(r["last_modified"], F.lit("")), r["created"], F.lit(""))
+    listed = F.transform("resources", lambda r, i: F.struct(at(r).alias("at"), (-i).alias("i"), r.alias("r")))
+    ranked = packages.withColumn("_best", F.array_max(F.transform(F.filter(listed, lambda x: fits(x["r"])), lambda x: F.struct(x["at"], x["i"]))))
+    found = ranked.where("_best is not null").withColumn("resource", F.get("resources", -F.col("_best.i")))
+    return found.drop("_best", "resources")
+
+
 def verified_files(spark: SparkSession, path: str, expected: DataFrame, name: str = "name", digest: str = "hash") -> DataFrame:
     """(name, state) of files by SHA-256: ok, changed, missing or stale (not expected any more)."""
     files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("_name"), F.sha2("content", 256).alias("_hash"))
