@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from transitloom.functions import geo
-from transitloom.operators import aggregates, assembly, calendar, sequences, spatial
+from transitloom.operators import aggregates, assembly, calendar, graph, sequences, spatial
 from transitloom.plans.catalogue import query
 from transitloom.plans.frames import ORDER, journeys, points, service_days
 from transitloom.plans.queries_graph import PT, RADIUS
 from transitloom.plans.queries_links import EV
 from transitloom.plans.queries_rows import LONLAT, lonlat
-from transitloom.sources import export
+from transitloom.sources import export, tables
 
 
 @query(
@@ -97,3 +97,39 @@ def merged_hubs(t, spark):
     p = points(t)
     hubs = p.groupBy(F.col("label").alias("node_id")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
     return assembly.merged_stations(p.withColumnRenamed("id", "node_id"), hubs)
+
+
+@query(
+    PT.replace("WITH", "WITH RECURSIVE")
+    + f""", e AS (SELECT a.id AS u, b.id AS v FROM pt a JOIN pt b ON a.label = b.label AND a.id <> b.id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= {RADIUS}),
+  r AS (SELECT u AS id, u AS c FROM e UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.id), k AS (SELECT id, min(c) AS c FROM r GROUP BY id), m AS (SELECT * FROM k JOIN pt USING (id)),
+  best AS (SELECT label, c FROM (SELECT label, c, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, c) AS place FROM m GROUP BY label, c) WHERE place = 1), giant AS (SELECT id, x, y FROM m JOIN best USING (label, c)),
+  d AS (SELECT a.id AS stn, b.id AS node, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist FROM pt a JOIN giant b ON a.x BETWEEN b.x - 500 AND b.x + 500)
+  SELECT stn, node, round(dist, 4) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY stn ORDER BY dist, node) AS place FROM d WHERE dist <= 500) WHERE place = 1"""
+)
+def station_snap(t, spark):
+    p = points(t)
+    other = p.select(F.col("id").alias("v"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("label").alias("_label"))
+    edges = spatial.within_distance(p, other, RADIUS).where("id < v and label = _label").select("label", F.col("id").alias("u"), "v")
+    s = graph.snapped_stations(p.select(F.col("id").alias("stn"), "x", "y"), edges, p.select(F.col("id").alias("node"), "x", "y"), "label", 500.0)
+    return s.select("stn", "node", F.round("dist", 4).alias("dist"))
+
+
+@query("SELECT p_partkey AS line, dense_rank() OVER (ORDER BY coalesce(nullif(trim(p_brand), ''), 'Unknown agency')) AS agency_id FROM part")
+def feed_agencies(t, spark):
+    lines = t("part").select(F.col("p_partkey").alias("line"), F.col("p_brand").alias("agency"))
+    return export.agencies(lines, "https://example.org/", "Europe/Paris")[1].select("line", "agency_id")
+
+
+@query("SELECT o_orderpriority AS service_id, 1 AS monday, 1 AS tuesday, 1 AS wednesday, 1 AS thursday, 1 AS friday, 1 AS saturday, 1 AS sunday, strftime((SELECT min(o_orderdate) FROM orders), '%Y%m%d') AS start_date, strftime((SELECT max(o_orderdate) FROM orders), '%Y%m%d') AS end_date FROM orders GROUP BY 1")
+def all_days_calendar(t, spark):
+    o = t("orders")
+    span = o.agg(F.min("o_orderdate").alias("from_date"), F.max("o_orderdate").alias("to_date"))
+    return export.all_days(o.select(F.col("o_orderpriority").alias("service_id")), span)
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority LIKE '%URGENT%') WHERE place = 1")
+def newest_resource(t, spark):
+    r = F.struct("o_orderkey", F.concat(F.lit("."), "o_orderstatus").alias("format"), F.col("o_orderpriority").alias("name"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("last_modified"), F.lit(None).cast("string").alias("created"))
+    listed = t("orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(r)).alias("resources"))
+    return tables.newest_resources(listed, "URGENT", "f").select("o_custkey", "resource.o_orderkey")
