@@ -44,3 +44,29 @@ LINE_DEDUP = """WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l
   hit AS (SELECT DISTINCT yd AS doc_id, yi AS i FROM pair JOIN line y ON y.doc_id = yd AND y.i = yi JOIN line x ON x.doc_id = xd AND x.i = xi WHERE 5 * len(list_intersect(x.ws, y.ws)) >= 4 * (len(x.ws) + len(y.ws) - len(list_intersect(x.ws, y.ws)))),
   gone AS (SELECT doc_id, list(i) AS gs, count(*) AS n FROM hit GROUP BY doc_id)
   SELECT doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(n, 0) AS n_removed, CASE WHEN n IS NULL THEN text ELSE coalesce((SELECT string_agg(ls[j], chr(10) ORDER BY j) FROM (SELECT unnest(range(1, len(ls) + 1)) AS j) WHERE NOT list_contains(gs, j)), '') END AS text FROM d LEFT JOIN gone USING (doc_id)"""
+
+#: CRC-32 of the decimal conv_id, bit by bit.
+_CRC = "list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, len(CAST(c AS VARCHAR)) + 1), lambda i: ascii(substr(CAST(c AS VARCHAR), i, 1))::UBIGINT)), lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)::UBIGINT[]), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::UBIGINT) ELSE v // 2 END))"
+
+#: Nodes are told apart by the list of all their turns; a node's ancestors are those of its smallest member.
+PREFIX_TRIE = f"""WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS j FROM conversations WHERE conv_id IS NOT NULL),
+  h AS (SELECT c, xor({_CRC}, 4294967295::UBIGINT) % 6 AS h FROM (SELECT DISTINCT c FROM t)),
+  re AS (SELECT h.c, j, 0 AS own, role, text FROM h JOIN t ON t.c = h.c - h.c % 100 AND j <= h UNION ALL SELECT h.c, j, 1, role, text FROM h JOIN t ON t.c = h.c AND j > h),
+  row AS (SELECT c, row_number() OVER w AS d, list({{'r': role, 't': text}}) OVER w AS p, length(text) AS n FROM re WINDOW w AS (PARTITION BY c ORDER BY own, j) UNION ALL SELECT c, 0, [], 0 FROM h),
+  node AS (SELECT d, p, min(c) AS c, count(*) AS n_convs, any_value(n) AS n FROM row GROUP BY d, p),
+  path AS (SELECT row.c AS m, row.d, node.c FROM row JOIN node ON row.d = node.d AND row.p = node.p),
+  kids AS (SELECT b.d - 1 AS d, a.c, count(*) AS n_children FROM node b JOIN path a ON a.m = b.c AND a.d = b.d - 1 GROUP BY ALL),
+  below AS (SELECT path.d, path.c, sum((u.n_convs - 1) * u.n) AS saved, count_if(k.c IS NULL) AS leaves FROM node u JOIN path ON path.m = u.c AND path.d <= u.d LEFT JOIN kids k ON k.c = u.c AND k.d = u.d GROUP BY ALL),
+  fin AS (SELECT d, c, string_agg(CAST(m AS VARCHAR), ',' ORDER BY m) AS ids FROM path WHERE d = (SELECT max(d) FROM row WHERE row.c = m) GROUP BY ALL)
+  SELECT node.c AS conv_id, node.d AS depth, up.c AS parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+  FROM node JOIN below ON below.c = node.c AND below.d = node.d LEFT JOIN path up ON up.m = node.c AND up.d = node.d - 1 LEFT JOIN kids ON kids.c = node.c AND kids.d = node.d LEFT JOIN fin ON fin.c = node.c AND fin.d = node.d"""
+
+#: Every document meets every step of every order.
+FILTER_AUDIT = r"""WITH RECURSIVE o AS (SELECT '' AS p UNION ALL SELECT p || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(p, x)),
+  step AS (SELECT p AS filter_order, k AS step, left(p, CAST(k - 1 AS INT)) AS seen, p[k] AS own FROM o, (SELECT unnest(range(1, 6)) AS k) WHERE length(p) = 5),
+  w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+  f AS (SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END || CASE WHEN 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 3 * length(x) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN first < doc_id THEN 'E' ELSE '' END AS fails FROM w),
+  l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+  s AS (SELECT part, filter_order, step, own, contains(fails, own) AS bad, length(translate(fails, seen, '')) < length(fails) AS gone, fails = own AS sole, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM f LEFT JOIN l USING (doc_id), step),
+  r AS (SELECT part, filter_order, step, own, count_if(NOT bad AND NOT gone) AS kept, count_if(bad AND NOT gone) AS removed, count_if(bad AND gone) AS redundant, count_if(sole) AS unique_fails, count_if(bad AND NOT gone AND good) AS good_lost, count_if(bad AND NOT gone AND toxic) AS toxic_lost FROM s GROUP BY ALL)
+  SELECT part, filter_order, CAST(step AS INT) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r"""
