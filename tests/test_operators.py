@@ -160,19 +160,6 @@ def test_components_of_nothing(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_relaxed_paths_equal_heap_paths(spark):
-    e = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.5), (1, 3, 4.0), (3, 4, 1.0), (6, 7, 1.0)], "u int, v int, w double")
-    p = spark.createDataFrame([(1, 3), (1, 4), (1, 7), (2, 4)], "src int, trg int")
-    want = [(1, 3, 2.5), (1, 4, 3.5), (1, 7, None), (2, 4, 2.5)]
-    assert [tuple(r) for r in graph.shortest_paths(e, p).orderBy("src", "trg").collect()] == want
-    assert [tuple(r) for r in graph.shortest_paths(e, p, limit=1).orderBy("src", "trg").collect()] == want
-
-
-def test_contraction(spark):
-    e = spark.createDataFrame([(1, 2, 1.0), (2, 3, 2.0), (3, 4, 3.0), (4, 5, 1.0), (4, 6, 1.0), (10, 11, 1.0), (11, 12, 1.0), (12, 10, 1.0)], "u long, v long, w double")
-    assert values(graph.contracted(e)) == [(1, 4, 6.0, 3), (4, 5, 1.0, 1), (4, 6, 1.0, 1), (10, 10, 3.0, 3)]
-
-
 def test_redundant_stations(spark):
     # 1 and 2 both serve a-b with 3; 1 goes first, and then 2 must stay
     s = spark.createDataFrame([(1, 3, "ab"), (3, 1, "ab"), (2, 3, "ab"), (3, 2, "ab")], "stn long, partner long, od string")
@@ -196,20 +183,6 @@ def test_redundant_stations_equal_the_plain_rule(spark, seed):
     assert values(got) == sorted(gone)
 
 
-def test_routes(spark):
-    e = spark.createDataFrame([("ab", 1, 2, 1.0), ("bc", 2, 3, 1.5), ("ac", 3, 1, 4.0), ("cd", 3, 4, 1.0), ("fg", 6, 7, 1.0)], "edge string, u int, v int, w double")
-    p = spark.createDataFrame([(4, 1), (1, 7), (2, 4), (2, 2)], "src int, trg int")
-    got = {(r["src"], r["trg"]): (r["length"], r["edges"]) for r in graph.shortest_routes(e, p).collect()}
-    assert got == {(4, 1): (3.5, ["cd", "bc", "ab"]), (1, 7): (None, None), (2, 4): (2.5, ["bc", "cd"]), (2, 2): (0.0, [])}
-    with pytest.raises(ValueError, match="contract"):
-        graph.shortest_routes(e, p, limit=2)
-    pairs = spark.createDataFrame([(4, 1), (4, 2), (4, 3), (7, 6)], "u int, v int")
-    turned = {(r["u"], r["v"]): r["src"] for r in graph.oriented_pairs(pairs).collect()}
-    assert turned == {(4, 1): 4, (4, 2): 4, (4, 3): 4, (7, 6): 6}
-    ways = {(r["u"], r["v"]): r["edges"] for r in graph.oriented_routes(e, pairs).collect()}
-    assert ways == {(1, 4): ["ab", "bc", "cd"], (2, 4): ["bc", "cd"], (3, 4): ["cd"], (6, 7): ["fg"]}
-
-
 def test_runs_and_flattened_lists(spark):
     df = spark.createDataFrame([(2, ["x"]), (1, ["a", "b"]), (3, []), (4, None), (5, ["q", "r", "s"])], "k int, v array<string>").repartition(3)
     heads, items = sequences.flattened(df, "k", "v")

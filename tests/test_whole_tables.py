@@ -1,29 +1,20 @@
-"""Queries without SQL against plain Python over all rows of the tables."""
+"""Queries against plain Python over all rows of the tables."""
 
 from collections import Counter, defaultdict
 
-import duckdb
-
 from transitloom.plans import catalogue
 
 
-def test_greedy_station_prune_sees_all_links(spark, sf_dir):
-    con = duckdb.connect()
-    for x in ("lineitem", "orders", "customer", "supplier", "nation"):
-        con.sql(f"CREATE VIEW {x} AS SELECT * FROM '{sf_dir}/{x}.parquet'")
-    links = con.sql("SELECT DISTINCT c_nationkey, s_nationkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey").fetchall()
-    region = dict(con.sql("SELECT n_nationkey, n_regionkey FROM nation").fetchall())
-    pairs = {frozenset(p) for p in links if region[p[0]] != region[p[1]]}
-    relation = lambda p: frozenset(region[x] for x in p)
+def test_greedy_station_prune_is_the_plain_loop(spark, sf_dir):
     at = defaultdict(set)
-    for p in pairs:
-        for x in p:
-            at[x].add(p)
-    gone = set()
-    for x in sorted(at, key=lambda x: (len({relation(p) for p in at[x]}), x)):
-        own = Counter(relation(p) for p in at[x] if not p & gone)
-        total = Counter(relation(p) for p in pairs if not p & gone)
-        if all(total[r] > n for r, n in own.items()):
-            gone.add(x)
+    for stn, partner, od in catalogue.QUERIES["od_support"](spark, sf_dir).select("stn", "partner", "od").collect():
+        at[stn].add((partner, od))
+    left = {r["stn"]: r["n"] for r in catalogue.QUERIES["served_relations"](spark, sf_dir).collect()}
+    support, gone = Counter(od for stn in left for partner, od in at[stn] if stn < partner), set()
+    for stn in sorted(left, key=lambda x: (left[x], x)):
+        own = Counter(od for partner, od in at[stn] if partner not in gone)
+        if all(support[od] > n for od, n in own.items()):
+            gone.add(stn)
+            support.subtract(own)
     got = {r["stn"] for r in catalogue.QUERIES["greedy_station_prune"](spark, sf_dir).collect()}
     assert got == gone and gone

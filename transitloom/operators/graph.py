@@ -1,22 +1,17 @@
-"""Graph operators: statistics, reachability, shortest paths, chain contraction and redundant nodes."""
+"""Graph operators: statistics, reachability, components and redundant nodes."""
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transitloom.operators import spatial
+from transitloom.operators.rows import surrogate_key
 from transitloom.plans.components import components
-from transitloom.plans.staging import staged
+from transitloom.plans.staging import discard, staged
 
-#: Edges of a routing graph that may be broadcast to the tasks that search it: about 300 bytes each in Python.
-BROADCAST_EDGES = 1_000_000
+#: Rank of stations that stay, behind all others.
+_KEPT = (1 << 63) - 1
 
 
 def weak_components(nodes: DataFrame, links: DataFrame, key: str = "node_id") -> DataFrame:
@@ -86,50 +81,6 @@ def statistics(nodes: DataFrame, links: DataFrame, key: str = "node_id") -> Data
     return row.select("n_nodes", "n_links", "n_weak", "n_isolated", "n_self", (F.col("n_simple") / (nn * (nn - 1))).alias("density"), (F.col("n_links") / nn).alias("mean_in_degree"), (F.col("n_links") / nn).alias("mean_out_degree"))
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, limit: int = BROADCAST_EDGES) -> DataFrame:
-    """(src, trg, length): undirected shortest lengths of the wanted pairs; null where there is no path.
-
-    Up to `limit` edges (u, v, w) are broadcast and each source is searched once by a heap; larger graphs relax
-    distances by rounds of joins.
-    """
-    if edges.count() > limit:
-        return _relaxed_paths(edges, pairs)
-    adjacent = defaultdict(list)
-    for u, v, w in edges.select("u", "v", "w").toPandas().itertuples(index=False):
-        adjacent[u].append((v, w))
-        adjacent[v].append((u, w))
-    shared = pairs.sparkSession.sparkContext.broadcast(dict(adjacent))
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        source, wanted = pdf["src"].iloc[0], set(pdf["trg"])
-        best, heap = {}, [(0.0, source)]
-        while heap and wanted:
-            d, u = heapq.heappop(heap)
-            if u in best:
-                continue
-            best[u] = d
-            wanted.discard(u)
-            for v, w in shared.value.get(u, ()):
-                if v not in best:
-                    heapq.heappush(heap, (d + w, v))
-        return pdf.assign(length=pdf["trg"].map(best).astype("float64"))[["src", "trg", "length"]]
-
-    kind = dict(pairs.dtypes)["src"]
-    return pairs.select("src", "trg").distinct().groupBy("src").applyInPandas(search, f"src {kind}, trg {kind}, length double")
-
-
-def _relaxed_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    both = edges.select("u", "v", "w").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
-    both = staged(both.groupBy("u", "v").agg(F.min("w").alias("w")), "arcs")
-    best = staged(pairs.select("src").distinct().select("src", F.col("src").alias("node"), F.lit(0.0).alias("d"), F.lit(True).alias("new")), "best")
-    while not best.where("new").isEmpty():
-        step = best.where("new").join(both, best["node"] == both["u"]).groupBy("src", F.col("v").alias("node")).agg(F.min(F.col("d") + F.col("w")).alias("e"))
-        joined = best.drop("new").join(step, ["src", "node"], "full")
-        best = staged(joined.select("src", "node", F.least("d", "e").alias("d"), (F.col("d").isNull() | (F.col("e") < F.col("d"))).alias("new")).withColumn("new", F.coalesce("new", F.lit(False))), "best")
-    found = best.select("src", F.col("node").alias("trg"), F.col("d").alias("length"))
-    return pairs.select("src", "trg").distinct().join(found, ["src", "trg"], "left")
-
-
 def giant_components(edges: DataFrame, island: str) -> DataFrame:
     """(island, node): nodes of the largest component of each island; ties go to the smallest component."""
     from pyspark.sql import Window
@@ -142,33 +93,17 @@ def giant_components(edges: DataFrame, island: str) -> DataFrame:
     return labelled.join(best, [island, "root"]).select(island, "node")
 
 
-def snapped_stations(stations: DataFrame, edges: DataFrame, nodes: DataFrame, island: str, radius: float) -> DataFrame:
-    """(stn, node, dist): the nearest node within `radius` of each station (stn, x, y), among the largest components of
-    the islands of `edges` (u, v, `island`); ties go to the smallest node.  Nodes are (node, x, y)."""
-    giant = giant_components(edges, island).select("node").distinct().join(nodes.select("node", F.col("x").alias("rx"), F.col("y").alias("ry")), "node")
+def snapped_to(stations: DataFrame, nodes: DataFrame, radius: float) -> DataFrame:
+    """(stn, node, dist): the nearest node within `radius` of each station (stn, x, y), among the `giant` ones of nodes
+    (node, x, y, giant); ties go to the smallest node."""
+    giant = nodes.where("giant").select("node", F.col("x").alias("rx"), F.col("y").alias("ry"))
     return spatial.nearest(stations.select("stn", "x", "y"), giant, radius, ["stn"], "node").select("stn", "node", "dist")
 
 
-def contracted(edges: DataFrame, keep: DataFrame | None = None) -> DataFrame:
-    """(u, v, w, n_edges): chains through nodes of degree two as single edges.
-
-    A chain is a component of edges that share such a node; its ends are the nodes of other degrees or of `keep`
-    (node).  Cycles without any end keep their smallest node as both ends.
-    """
-    e = edges.select("u", "v", "w").withColumn("edge", F.xxhash64(F.least("u", "v"), F.greatest("u", "v"), "w", F.monotonically_increasing_id()))
-    e = staged(e, "edges")
-    incident = e.select("edge", F.explode(F.array("u", "v")).alias("node"))
-    degree = incident.groupBy("node").agg(F.count("*").alias("d"), F.min("edge").alias("first"), F.max("edge").alias("last"))
-    inner = degree.where("d = 2 and first <> last")
-    if keep is not None:
-        inner = inner.join(keep, "node", "left_anti")
-    inner = staged(inner, "inner")
-    roots = components(inner.select(F.col("first").alias("u"), F.col("last").alias("v")))
-    chain = e.join(roots, e["edge"] == roots["node"], "left").select("edge", "u", "v", "w", F.coalesce("root", "edge").alias("chain"))
-    ends = chain.select("chain", F.explode(F.array("u", "v")).alias("node")).join(inner.select("node"), "node", "left_anti")
-    ends = ends.groupBy("chain").agg(F.min("node").alias("u"), F.max("node").alias("v"))
-    sums = chain.groupBy("chain").agg(F.sum("w").alias("w"), F.count("*").alias("n_edges"), F.min(F.least("u", "v")).alias("least"))
-    return sums.join(ends, "chain", "left").select(F.coalesce("u", "least").alias("u"), F.coalesce("v", "least").alias("v"), "w", "n_edges")
+def snapped_stations(stations: DataFrame, edges: DataFrame, nodes: DataFrame, island: str, radius: float) -> DataFrame:
+    """As `snapped_to`, among the largest components of the islands of `edges` (u, v, `island`); nodes are (node, x, y)."""
+    giant = giant_components(edges, island).select("node").distinct().withColumn("giant", F.lit(True))
+    return snapped_to(stations, nodes.select("node", "x", "y").join(giant, "node"), radius)
 
 
 def redundant_stations(support: DataFrame, served: DataFrame) -> DataFrame:
@@ -178,116 +113,27 @@ def redundant_stations(support: DataFrame, served: DataFrame) -> DataFrame:
     stations with the number of relations of the lines through them.  Stations are visited by (n, stn); one goes if each
     relation keeps a pair without it, so stations that support none go.
 
-    The loop is sequential, but only among stations that relations tie together: each component of the graph of stations
-    and relations is one task.
+    Rounds decide all stations whose fate no longer depends on those before them.  Let r be a relation of a station.  A
+    station stays if all of r's remaining pairs are its own, as pairs only become fewer.  It goes if each of its relations
+    has a pair of two stations that are visited later or stay for certain: such a pair is there when its turn comes.  The
+    first undecided station always meets one of the two.
     """
-    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
-    ties = support.select(name("s", "stn").alias("u"), name("r", "od").alias("v"))
-    rows = served.select("stn", "n", name("s", "stn").alias("node")).join(components(ties), "node", "left")
-    rows = rows.select("stn", "n", F.coalesce("root", "node").alias("root")).join(support.select("stn", "partner", "od").distinct(), "stn", "left")
-    kind = dict(served.dtypes)["stn"]
-
-    def prune(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = pdf[["n", "stn"]].drop_duplicates().sort_values(["n", "stn"])["stn"]
-        pair = pdf[pdf["od"].notna() & (pdf["stn"] < pdf["partner"])]
-        relation = pair["od"].astype("category").cat.codes.to_numpy()
-        support_ = np.bincount(relation, minlength=1)
-        alive = np.ones(len(pair), bool)
-        ends = np.concatenate([pair["stn"].to_numpy(), pair["partner"].to_numpy()])
-        at = pd.Series(np.tile(np.arange(len(pair)), 2)).groupby(ends).agg(list) if len(pair) else {}
-        gone = []
-        for s in order:
-            mine = np.array(at[s] if s in at else [], dtype=np.int64)
-            mine = mine[alive[mine]]
-            lost = np.bincount(relation[mine], minlength=len(support_))
-            if not ((lost > 0) & (support_ <= lost)).any():
-                gone.append(s)
-                alive[mine] = False
-                support_ = support_ - lost
-        return pd.DataFrame({"stn": pd.Series(gone, dtype=pdf["stn"].dtype)})
-
-    return rows.groupBy("root").applyInPandas(prune, f"stn {kind}")
-
-
-def oriented_pairs(pairs: DataFrame) -> DataFrame:
-    """(u, v, src, trg): undirected pairs with one end as the source, so that few nodes are sources.
-
-    The node with most pairs that have no source yet takes them all, the smallest of equals first, until none is left.
-    Each component of the pairs' graph is one task.
-    """
-    one = pairs.select("u", "v").where("u <> v").distinct()
-    labelled = one.join(components(one).select(F.col("node").alias("u"), "root"), "u")
-    kind = dict(pairs.dtypes)["u"]
-
-    def orient(pdf: pd.DataFrame) -> pd.DataFrame:
-        ends = pdf[["u", "v"]].to_numpy()
-        names, at = np.unique(ends, return_inverse=True)
-        at = at.reshape(ends.shape)
-        source = np.full(len(ends), -1)
-        while (source < 0).any():
-            left = source < 0
-            best = int(np.bincount(at[left].ravel(), minlength=len(names)).argmax())
-            source[left & (at == best).any(axis=1)] = best
-        src = names[source]
-        return pdf.assign(src=src, trg=np.where(pdf["u"] == src, pdf["v"], pdf["u"]))[["u", "v", "src", "trg"]]
-
-    return labelled.select("u", "v", "root").groupBy("root").applyInPandas(orient, f"u {kind}, v {kind}, src {kind}, trg {kind}")
-
-
-def shortest_routes(edges: DataFrame, pairs: DataFrame, limit: int = BROADCAST_EDGES) -> DataFrame:
-    """(src, trg, length, edges): undirected shortest ways of the wanted pairs, with the `edge` values of `edges`
-    (edge, u, v, w) in order from src; nulls where there is no way, an empty array from a node to itself.
-
-    The graph is broadcast; one of more than `limit` edges is an error, to be contracted first.
-    """
-    if (n := edges.count()) > limit:
-        raise ValueError(f"{n} edges exceed the limit of {limit}: contract the graph first")
-    numbered = edges.select("u", "v", F.col("w").cast("double").alias("w"), "edge").toArrow()
-    names = numbered.column("edge")
-    adjacent = defaultdict(list)
-    for k, (u, v, w) in enumerate(zip(*(numbered.column(c).to_pylist() for c in "uvw"), strict=True)):
-        adjacent[u].append((v, w, k))
-        adjacent[v].append((u, w, k))
-    spark = pairs.sparkSession
-    shared = spark.sparkContext.broadcast(dict(adjacent))
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        source, wanted = pdf["src"].iloc[0], set(pdf["trg"])
-        best, heap = {}, [(0.0, 0, source, None, -1)]
-        ticket = 0
-        while heap and wanted:
-            d, _, u, before, edge = heapq.heappop(heap)
-            if u in best:
-                continue
-            best[u] = (d, before, edge)
-            wanted.discard(u)
-            for v, w, k in shared.value.get(u, ()):
-                if v not in best:
-                    ticket += 1
-                    heapq.heappush(heap, (d + w, ticket, v, u, k))
-
-        def way(node):
-            if node not in best:
-                return None
-            out = []
-            while best[node][1] is not None:
-                out.append(best[node][2])
-                node = best[node][1]
-            return out[::-1]
-
-        return pdf.assign(length=[best[x][0] if x in best else None for x in pdf["trg"]], way=[way(x) for x in pdf["trg"]])[["src", "trg", "length", "way"]]
-
-    kind = dict(pairs.dtypes)["src"]
-    found = pairs.select("src", "trg").distinct().groupBy("src").applyInPandas(search, f"src {kind}, trg {kind}, length double, way array<int>")
-    table = spark.createDataFrame(pa.table({"k": pa.array(range(n), pa.int32()), "edge": names}))
-    steps = found.select("src", "trg", F.posexplode("way").alias("i", "k")).join(F.broadcast(table), "k")  # at most `limit` rows
-    ways = steps.groupBy("src", "trg").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "edge"))), lambda x: x["edge"]).alias("edges"))
-    none = F.array().cast(ways.schema["edges"].dataType)
-    return found.join(ways, ["src", "trg"], "left").select("src", "trg", "length", F.when(F.col("way").isNotNull(), F.coalesce("edges", none)).alias("edges"))
-
-
-def oriented_routes(edges: DataFrame, pairs: DataFrame, limit: int = BROADCAST_EDGES) -> DataFrame:
-    """(u, v, length, edges) of undirected pairs, searched from few sources; edges run from the smaller end of each."""
-    turned = oriented_pairs(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
-    r = shortest_routes(edges, turned.select("src", "trg"), limit)
-    return r.select(F.least("src", "trg").alias("u"), F.greatest("src", "trg").alias("v"), "length", F.when(F.col("src") < F.col("trg"), F.col("edges")).otherwise(F.reverse("edges")).alias("edges"))
+    ranks = surrogate_key(served.select("stn", "n").distinct(), "rank", ["n", "stn"])
+    rank = lambda side, name: ranks.select(F.col("stn").alias(side), F.col("rank").cast("long").alias(name))
+    pairs = support.where("stn <> partner").select("stn", "partner", "od").distinct().join(rank("stn", "r"), "stn").join(rank("partner", "q"), "partner")
+    pairs = staged(pairs.select("stn", "partner", "od", "r", "q"), "support")
+    gone = staged(served.select("stn").distinct().join(pairs.select("stn"), "stn", "left_anti"), "gone")
+    while True:
+        one = pairs.where("r < q or (r = q and stn < partner)")  # two that stay have equal ranks
+        whole = one.groupBy("od").agg(F.count("*").alias("n"), F.max("r").alias("safe"))
+        own = pairs.where(F.col("r") < _KEPT).groupBy("stn", "r", "od").agg(F.count("*").alias("own")).join(whole, "od")
+        fate = own.groupBy("stn").agg(F.max(F.col("own") == F.col("n")).alias("stays"), F.min(F.col("safe") > F.col("r")).alias("goes")).where("stays or goes")
+        fate = staged(fate, "fate")
+        if fate.isEmpty():
+            return gone
+        gone = gone.unionByName(fate.where("goes").select("stn"))
+        side = lambda name: fate.select(F.col("stn").alias(name), F.col("stays").alias(f"_{name}"))  # noqa: B023, E731
+        left = pairs.join(side("stn"), "stn", "left").join(side("partner"), "partner", "left").where("coalesce(_stn, true) and coalesce(_partner, true)")
+        kept = lambda flag, r: F.when(F.col(flag), F.lit(_KEPT)).otherwise(F.col(r)).alias(r)
+        before, pairs = pairs, staged(left.select("stn", "partner", "od", kept("_stn", "r"), kept("_partner", "q")), "support")
+        discard(before)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from transitloom.operators import graph, links, spatial
+from transitloom.operators import chains, graph, links, routing, spatial
 from transitloom.plans.catalogue import query
 from transitloom.plans.frames import order_nations, points
 
@@ -121,7 +121,7 @@ def shortest_paths(t, spark):
     e = nation_links(t).where("src <> trg").select(F.col("src").alias("u"), F.col("trg").alias("v"), "w")
     n = t("nation")
     pairs = n.select(F.col("n_nationkey").alias("src")).join(n.select(F.col("n_nationkey").alias("trg")), F.col("src") < F.col("trg"))
-    return graph.shortest_paths(e, pairs).select("src", "trg", F.round("length", 2).alias("length"))
+    return routing.shortest_paths(e, pairs).select("src", "trg", F.round("length", 2).alias("length"))
 
 
 @query(
@@ -133,23 +133,12 @@ def shortest_routes(t, spark):
     e = nation_links(t).where("src <> trg").select(F.struct("src", "trg").alias("edge"), F.col("src").alias("u"), F.col("trg").alias("v"), "w")
     n = t("nation")
     pairs = n.select(F.col("n_nationkey").alias("src")).join(n.select(F.col("n_nationkey").alias("trg")), F.col("src") < F.col("trg"))
-    r = graph.shortest_routes(e, pairs)
+    r = routing.shortest_routes(e, pairs)
     # an edge is crossed from the node where the way has come to
     nodes = F.aggregate("edges", F.array("src"), lambda way, x: F.concat(way, F.array(F.when(x["src"] == F.element_at(way, -1), x["trg"]).otherwise(x["src"]))))
     return r.select("src", "trg", F.round("length", 2).alias("length"), F.when(F.col("length").isNotNull(), F.array_join(nodes, ">")).alias("path"))
 
 
-@query()
-def greedy_station_prune(t, spark):
-    ln = nation_links(t).where("src <> trg")
-    both = ln.select(F.col("src").alias("stn"), F.col("trg").alias("partner")).union(ln.select("trg", "src")).distinct()
-    region = t("nation").select("n_nationkey", "n_regionkey")
-    x = both.join(region.select(F.col("n_nationkey").alias("stn"), F.col("n_regionkey").alias("a")), "stn").join(region.select(F.col("n_nationkey").alias("partner"), F.col("n_regionkey").alias("b")), "partner").where("a <> b")
-    x = x.select("stn", "partner", F.concat_ws("-", F.least("a", "b").cast("string"), F.greatest("a", "b").cast("string")).alias("od"))
-    served = t("nation").select(F.col("n_nationkey").alias("stn")).join(x.groupBy("stn").agg(F.countDistinct("od").alias("n")), "stn", "left")
-    return graph.redundant_stations(x, served.select("stn", F.coalesce("n", F.lit(0)).alias("n")))
-
-
 @query(
     """WITH e AS (SELECT o_custkey AS c, CAST(-c_nationkey - 1 AS BIGINT) AS n, o_totalprice AS w FROM orders JOIN customer ON o_custkey = c_custkey), x AS (SELECT *, count(*) OVER (PARTITION BY c) AS k FROM e)
   SELECT n AS u, n AS v, round(sum(w), 2) AS w, 2 AS n_edges FROM x WHERE k = 2 GROUP BY c, n UNION ALL SELECT least(c, n), greatest(c, n), round(w, 2), 1 FROM x WHERE k <> 2"""
@@ -157,7 +146,7 @@ def greedy_station_prune(t, spark):
 def chain_contraction(t, spark):
     e = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_custkey").alias("u"), (-F.col("c_nationkey") - 1).cast("long").alias("v"), F.col("o_totalprice").alias("w"))
     # nations are stations: they stay ends however few their customers are
-    return graph.contracted(e, e.select(F.col("v").alias("node")).distinct()).withColumn("w", F.round("w", 2))
+    return chains.contracted(e, e.select(F.col("v").alias("node")).distinct()).withColumn("w", F.round("w", 2))
 
 
 @query(f"WITH {LINKS}, moved AS (SELECT * FROM (VALUES (4, 8), (12, 0)) v(node, target)) SELECT coalesce(a.target, src) AS src, coalesce(b.target, trg) AS trg, round(w, 2) AS w FROM ln LEFT JOIN moved a ON src = a.node LEFT JOIN moved b ON trg = b.node WHERE coalesce(a.target, src) <> coalesce(b.target, trg)")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from transitloom.operators import air, network, sequences, spatial
+from transitloom.operators import air, graph, network, sequences, spatial
 from transitloom.params import DEFAULTS
 from transitloom.plans.catalogue import query
 from transitloom.plans.frames import ORDER, journeys, points
@@ -146,6 +146,21 @@ def served_relations(t, spark):
     return network.served_relations(line_tables(t)[0], station_regions(t))
 
 
+@query(
+    STEPS.replace("WITH", "WITH RECURSIVE", 1)
+    + """, sup AS (SELECT DISTINCT a.stn, b.stn AS partner, a.rail::INT || '-' || least(x.n_regionkey, y.n_regionkey) || '-' || greatest(x.n_regionkey, y.n_regionkey) AS od FROM st a JOIN st b ON a.line = b.line JOIN nation x ON a.stn = x.n_nationkey JOIN nation y ON b.stn = y.n_nationkey WHERE x.n_regionkey <> y.n_regionkey AND a.stn < b.stn),
+  f AS (SELECT DISTINCT line, rail, n_regionkey AS g FROM st JOIN nation ON stn = n_nationkey), od AS (SELECT a.line, a.rail, a.g AS fa, b.g AS fb FROM f a JOIN f b ON a.line = b.line AND a.g < b.g), u AS (SELECT DISTINCT st.stn, od.rail, fa, fb FROM st JOIN od ON st.line = od.line),
+  turn AS (SELECT stn, row_number() OVER (ORDER BY n, stn) AS i FROM (SELECT n_nationkey AS stn, count(u.stn) AS n FROM nation LEFT JOIN u ON u.stn = n_nationkey GROUP BY 1)),
+  loop AS (SELECT 0 AS i, (SELECT list(struct_pack(a := stn, b := partner, od := od)) FROM sup) AS alive, NULL::INT AS stn, false AS gone
+    UNION ALL SELECT i, CASE WHEN goes THEN list_filter(alive, lambda p: p.a <> stn AND p.b <> stn) ELSE alive END, stn, goes FROM (SELECT turn.i, alive, turn.stn,
+      coalesce((SELECT bool_and(others > 0) FROM (SELECT p.od, count_if(p.a <> turn.stn AND p.b <> turn.stn) AS others FROM (SELECT unnest(alive) AS p) GROUP BY p.od)), true) AS goes FROM loop JOIN turn ON turn.i = loop.i + 1))
+  SELECT stn FROM loop WHERE gone"""
+)
+def greedy_station_prune(t, spark):
+    table, stations_ = line_tables(t)[0], station_regions(t)
+    return graph.redundant_stations(network.od_support(table, stations_), network.served_relations(table, stations_))
+
+
 @query(
     STEPS
     + """, len AS (SELECT a.n_nationkey AS src, b.n_nationkey AS trg, rail, 10.0 + abs(a.n_nationkey - b.n_nationkey) AS km FROM nation a, nation b, (VALUES (true), (false)) v(rail) WHERE a.n_regionkey > 0 OR b.n_regionkey > 1),

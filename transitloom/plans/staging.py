@@ -10,11 +10,15 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Seconds between two collections of garbage, which cost the driver a few tenths each.
+RELEASE_SECONDS = 3.0
 _own: dict[str, str] = {}
+_released = 0.0
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,6 +34,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished steps: it does so for plans that the driver has collected."""
+    global _released
+    if time.monotonic() - _released < RELEASE_SECONDS:
+        return
+    _released = time.monotonic()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
