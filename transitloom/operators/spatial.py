@@ -3,6 +3,10 @@
 Cells have the size of the radius; the right side is entered in its own cell and the eight around it, so that any two
 points within the radius meet once.  Cells of dense areas are as large as the radius needs; skewed cells are left to
 adaptive execution, which splits them.
+
+Polygons are covered by cells.  A cell that no edge touches is wholly inside or outside; one on the boundary carries the edges
+that touch it and whether its lower left corner is inside.  So a point meets one row for each polygon near it and is decided
+within that row, whatever the size of the polygon.
 """
 
 from __future__ import annotations
@@ -46,16 +50,75 @@ def polygon_edges(polygons: DataFrame, key: str, ring: str) -> DataFrame:
     return e.select(key, F.col("e.a.x").alias("x0"), F.col("e.a.y").alias("y0"), F.col("e.b.x").alias("x1"), F.col("e.b.y").alias("y1")).where("x0 <> x1 or y0 <> y1")
 
 
-def points_in_polygons(points: DataFrame, edges: DataFrame, point: str, key: str, band: float, x: str = "x", y: str = "y") -> DataFrame:
-    """(point, key): polygons that a point lies in, by the parity of the edges that a ray to the right crosses.
+#: Where the grid of a cover begins, in parts of a cell's side: no fraction, so that round coordinates miss its corners.
+ORIGIN = (0.3819660112501051, 0.7236067977499789)
+
+
+def _place(x: Column, y: Column, size: float) -> tuple[Column, Column]:
+    """The cell of a cover that a point lies in."""
+    return _cell(x - ORIGIN[0] * size, size), _cell(y - ORIGIN[1] * size, size)
+
+
+def _corner(size: float) -> tuple[Column, Column]:
+    return (F.col("_cx") + ORIGIN[0]) * float(size), (F.col("_cy") + ORIGIN[1]) * float(size)
 
-    Edges are entered in all bands of height `band` that they touch, so a point meets only the edges of its band.
+
+def _at_height(y: Column) -> Column:
+    """Where an edge is at the height `y`."""
+    return (F.col("x1") - F.col("x0")) * (y - F.col("y0")) / (F.col("y1") - F.col("y0")) + F.col("x0")
+
+
+def polygon_cover(edges: DataFrame, key: str, size: float) -> DataFrame:
+    """(key, _cx, _cy, inside, edges): cells of side `size` that polygons touch.
+
+    `inside` says whether the cell's lower left corner is inside; `edges` are those that touch the cell, as an array of
+    struct<x0, y0, x1, y1>, null for cells that lie inside as a whole.  The corner counts as a point to the right of itself
+    by a hair, and above by a much smaller one.
+    """
+    s = F.lit(float(size))
+    low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
+    across = lambda x: _place(x, x, size)[0]
+    up = lambda y: _place(y, y, size)[1]
+    rows = edges.where(finite(*[F.col(c) for c in ("x0", "y0", "x1", "y1")])).withColumn("_cy", F.explode(F.sequence(up(low), up(high))))
+    bottom = _corner(size)[1]
+    flat = F.col("y0") == F.col("y1")
+    ends = [F.when(flat, F.col("x0")).otherwise(_at_height(F.greatest(low, bottom))), F.when(flat, F.col("x1")).otherwise(_at_height(F.least(high, bottom + s)))]
+    slack = s * 1e-9 + F.greatest(F.abs("x0"), F.abs("x1")) * 1e-12
+    touched = rows.withColumn("_cx", F.explode(F.sequence(across(F.least(*ends) - slack), across(F.greatest(*ends) + slack))))
+    border = touched.groupBy(key, "_cx", "_cy").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("edges"))
+    # of each row of cells, from the right: crossings of its lower line, corners of border cells, and places right of those
+    crossing = rows.where((F.col("y0") > bottom) != (F.col("y1") > bottom)).select(key, "_cy", _at_height(bottom).alias("_at"), F.lit(2).alias("_kind"), F.lit(None).cast("long").alias("_cx"), F.lit(None).cast(border.schema["edges"].dataType).alias("edges"))
+    event = lambda shift, kind, e: border.select(key, "_cy", (_corner(size)[0] + shift * s).alias("_at"), F.lit(kind).alias("_kind"), "_cx", e.alias("edges"))
+    events = crossing.unionByName(event(0, 0, F.col("edges"))).unionByName(event(1, 1, F.lit(None).cast(border.schema["edges"].dataType)))
+    right = Window.partitionBy(key, "_cy").orderBy(F.desc("_at"), "_kind")
+    counted = events.withColumn("inside", F.sum((F.col("_kind") == 2).cast("int")).over(right) % 2 == 1)
+    following = F.min(F.when(F.col("_kind") == 0, F.col("_cx"))).over(Window.partitionBy(key, "_cy").orderBy(F.col("_cx").asc_nulls_first()).rangeBetween(1, Window.unboundedFollowing))
+    counted = counted.where("_kind < 2").withColumn("_next", following)
+    own = counted.where("_kind = 0").select(key, "_cx", "_cy", "inside", "edges")
+    # a gap between border cells lies inside or outside as a whole
+    gap = counted.where("_kind = 1 and inside and _next > _cx + 1").select(key, F.explode(F.sequence(F.col("_cx") + 1, F.col("_next") - 1)).alias("_cx"), "_cy", "inside", "edges")
+    return own.unionByName(gap)
+
+
+def points_in_polygons(points: DataFrame, edges: DataFrame, point: str, key: str, size: float, x: str = "x", y: str = "y") -> DataFrame:
+    """(point, key): polygons that each row of `points` lies in, by the parity of the edges that a ray to the right crosses.
+
+    Within its cell a point is reached from the corner upwards and then to the right; each edge crossed on the way turns
+    inside into outside.  Points with a null, NaN or infinite coordinate lie nowhere.
     """
-    lo, hi = _cell(F.least("y0", "y1"), band), _cell(F.greatest("y0", "y1"), band)
-    banded = edges.withColumn("_band", F.explode(F.sequence(lo, hi)))
-    p = points.where(finite(F.col(x), F.col(y))).withColumn("_band", _cell(F.col(y), band))
-    crosses = ((F.col("y0") > F.col(y)) != (F.col("y1") > F.col(y))) & (F.col(x) < (F.col("x1") - F.col("x0")) * (F.col(y) - F.col("y0")) / (F.col("y1") - F.col("y0")) + F.col("x0"))
-    return p.join(banded, "_band").where(crosses).groupBy(point, key).agg(F.count("*").alias("_n")).where("_n % 2 = 1").select(point, key)
+    px, py = F.col("_px"), F.col("_py")
+    p = points.where(finite(F.col(x), F.col(y))).select(F.col(point), F.col(x).alias("_px"), F.col(y).alias("_py"), *[c.alias(name) for c, name in zip(_place(F.col(x), F.col(y), size), ("_cx", "_cy"), strict=True)])
+    cx, cy = _corner(size)
+
+    def crossed(e: Column) -> Column:
+        slope = (e["y1"] - e["y0"]) / F.nullif(e["x1"] - e["x0"], F.lit(0.0))
+        up = e["y0"] + (cx - e["x0"]) * slope
+        across = (e["x1"] - e["x0"]) * (py - e["y0"]) / F.nullif(e["y1"] - e["y0"], F.lit(0.0)) + e["x0"]
+        vertical = ((e["x0"] > cx) != (e["x1"] > cx)) & ((up > cy) | ((up == cy) & (slope > 0))) & ((up < py) | ((up == py) & (slope <= 0)))
+        return F.coalesce(vertical, F.lit(False)) != F.coalesce(((e["y0"] > py) != (e["y1"] > py)) & (across > cx) & (across <= px), F.lit(False))
+
+    odd = F.coalesce(F.size(F.filter("edges", crossed)) % 2 == 1, F.lit(False))
+    return p.join(polygon_cover(edges, key, size), ["_cx", "_cy"]).where(F.col("inside") != odd).select(point, key)
 
 
 def clusters(points: DataFrame, key: str, radius: float, x: str = "x", y: str = "y") -> DataFrame:
