@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from transitloom.operators.rows import surrogate_key
+
 
 def compose_via(matrix: DataFrame, bridges: DataFrame, costs: Sequence[str], rounds: int = 1) -> DataFrame:
     """The cheapest way of each (src, trg) directly or over bridges (a, b), by the first of `costs`.
@@ -63,3 +65,46 @@ def violations(nodes: DataFrame, links: DataFrame, key: str = "node_id") -> Data
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def matrix_blocks(sources: DataFrame, targets: DataFrame, key: str, size: int) -> DataFrame:
+    """(bi, bj, src, trg): the cross product of the distinct keys of two frames in blocks of up to `size` times `size`, each
+    with its keys as two sorted arrays; the cells of a block lie row by row."""
+
+    def numbered(df: DataFrame, block: str, name: str) -> DataFrame:
+        ids = surrogate_key(df.select(key).where(F.col(key).isNotNull()).distinct(), "_n", [key])
+        return ids.groupBy(F.floor(F.col("_n") / size).alias(block)).agg(F.array_sort(F.collect_list(key)).alias(name))
+
+    rows_, columns = numbered(sources, "bi", "src"), numbered(targets, "bj", "trg")
+    last = columns.agg(F.coalesce(F.max("bj"), F.lit(-1)).alias("_last"))
+    spread = rows_.withColumn("_last", last.scalar()).where("_last >= 0").withColumn("bj", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last")))).drop("_last")
+    return spread.join(columns, "bj").select("bi", "bj", "src", "trg")
+
+
+def filled_blocks(blocks: DataFrame, matrix: DataFrame, values: Sequence[str]) -> DataFrame:
+    """`blocks` with a nested array (rows of cells) for each of `values`, looked up in `matrix` (src, trg, values); cells
+    that the matrix lacks are null."""
+    cells = blocks.select("bi", "bj", F.posexplode("src").alias("_i", "src"), "trg").select("bi", "bj", "_i", "src", F.posexplode("trg").alias("_j", "trg"))
+    found = cells.join(matrix.select("src", "trg", *values), ["src", "trg"], "left")
+    line = found.groupBy("bi", "bj", "_i").agg(F.array_sort(F.collect_list(F.struct("_j", *values))).alias("_row"))
+    nested = line.groupBy("bi", "bj").agg(F.array_sort(F.collect_list(F.struct("_i", "_row"))).alias("_rows"))
+    return blocks.join(nested.select("bi", "bj", *[F.transform("_rows", lambda r: F.transform(r["_row"], lambda c: c[v])).alias(v) for v in values]), ["bi", "bj"])  # noqa: B023
+
+
+def unfolded(blocks: DataFrame, values: Sequence[str]) -> DataFrame:
+    """(src, trg, values): the cells of blocks (src, trg, and a nested array for each of `values`) by their places, row by
+    row.  A block whose nested arrays haven't the shape of its keys is an error."""
+    shape = F.lit(True)
+    for v in values:
+        shape = shape & (F.size(v) == F.size("src")) & F.forall(v, lambda r: F.size(r) == F.size("trg"))
+    checked = blocks.withColumn("_ok", F.when(shape, True).otherwise(F.raise_error(F.lit("a block's cells do not fit its keys")).cast("boolean"))).where("_ok")
+    flat = checked.select("src", "trg", *[F.flatten(v).alias(v) for v in values])
+    cells = flat.select("src", "trg", F.posexplode(F.arrays_zip(*values)).alias("_k", "_c"))
+    wide = F.size("trg")
+    return cells.select(F.get("src", F.floor(F.col("_k") / wide).cast("int")).alias("src"), F.get("trg", F.col("_k") % wide).alias("trg"), *[F.col(f"_c.{v}").alias(v) for v in values])
+
+
+def unusable_cells(blocks: DataFrame, value: str) -> DataFrame:
+    """(bi, bj, n): blocks with cells that are null, NaN or infinite, and their number."""
+    bad = F.filter(F.flatten(F.col(value)), lambda c: c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == float("inf")))
+    return blocks.select("bi", "bj", F.size(bad).alias("n")).where("n > 0")

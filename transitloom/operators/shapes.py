@@ -48,9 +48,58 @@ def geodesic(lon1, lat1, lon2, lat2) -> np.ndarray:
     return np.where(done, out, sphere)
 
 
-@pandas_udf(DoubleType())
-def geodesic_m(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.Series:
-    return pd.Series(geodesic(lon1, lat1, lon2, lat2))
+def _let(value: Column, f) -> Column:
+    """f(value), with `value` evaluated once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def geodesic_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column, rounds: int = 60) -> Column:
+    """Metres along the ellipsoid, as a column: the fixed point of `geodesic` is sought by up to `rounds` steps of an
+    aggregate, which rests once it has been found.  Null if a coordinate is null."""
+    reduced = lambda lat: F.atan((1 - FLAT) * F.tan(F.radians(lat)))
+    turn = F.radians(lon2 - lon1)
+    start = _let(F.struct(reduced(lat1).alias("u"), reduced(lat2).alias("v")), lambda p: F.struct(turn.alias("lam"), F.lit(False).alias("done"), turn.alias("turn"), *[f(p[x]).alias(n) for n, f, x in (("s1", F.sin, "u"), ("c1", F.cos, "u"), ("s2", F.sin, "v"), ("c2", F.cos, "v"))]))
+
+    def angles(k: Column, then) -> Column:
+        """The values that both the step and the length need."""
+
+        def of(t: Column) -> Column:
+            ss = F.sqrt(F.pow(k["c2"] * t["sl"], 2) + F.pow(k["c1"] * k["s2"] - k["s1"] * k["c2"] * t["cl"], 2))
+            return F.struct(ss.alias("ss"), (k["s1"] * k["s2"] + k["c1"] * k["c2"] * t["cl"]).alias("cs"), t["sl"].alias("sl"))
+
+        def more(t: Column) -> Column:
+            sa = F.when(t["ss"] == 0, 0.0).otherwise(k["c1"] * k["c2"] * t["sl"] / F.nullif(t["ss"], F.lit(0.0)))
+            return F.struct(t["ss"].alias("ss"), t["cs"].alias("cs"), F.atan2(t["ss"], t["cs"]).alias("sigma"), sa.alias("sa"), (1 - sa * sa).alias("ca2"))
+
+        def last(t: Column) -> Column:
+            cm = F.when(t["ca2"] == 0, 0.0).otherwise(t["cs"] - 2 * k["s1"] * k["s2"] / F.nullif(t["ca2"], F.lit(0.0)))
+            return F.struct(*[t[x].alias(x) for x in ("ss", "cs", "sigma", "sa", "ca2")], cm.alias("cm"))
+
+        sines = F.struct(F.sin(k["lam"]).alias("sl"), F.cos(k["lam"]).alias("cl"))
+        return _let(_let(_let(_let(sines, of), more), last), then)
+
+    def step(k: Column, _: Column) -> Column:
+        def moved(t: Column) -> Column:
+            c = FLAT / 16 * t["ca2"] * (4 + FLAT * (4 - 3 * t["ca2"]))
+            return k["turn"] + (1 - c) * FLAT * t["sa"] * (t["sigma"] + c * t["ss"] * (t["cm"] + c * t["cs"] * (2 * t["cm"] * t["cm"] - 1)))
+
+        new = _let(angles(k, moved), lambda x: F.struct(x.alias("lam"), (F.abs(x - k["lam"]) < 1e-12).alias("done"), *[k[n].alias(n) for n in ("turn", "s1", "c1", "s2", "c2")]))
+        return F.when(k["done"], k).otherwise(new)
+
+    def length(k: Column) -> Column:
+        def metres(t: Column) -> Column:
+            u = t["ca2"] * ((A**2 - B**2) / B**2)
+            big = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+            small = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+            cm2 = t["cm"] * t["cm"]
+            delta = small * t["ss"] * (t["cm"] + small / 4 * (t["cs"] * (2 * cm2 - 1) - small / 6 * t["cm"] * (4 * t["ss"] * t["ss"] - 3) * (4 * cm2 - 3)))
+            return B * big * (t["sigma"] - delta)
+
+        return F.when(k["done"], angles(k, metres))
+
+    half = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(turn / 2), 2)
+    sphere = 2 * 6371008.8 * F.asin(F.sqrt(F.least(F.lit(1.0), half)))
+    return F.coalesce(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, length), sphere)
 
 
 def cumulative_m(points: DataFrame, shape: str, order: str, lon: str = "lon", lat: str = "lat") -> DataFrame:

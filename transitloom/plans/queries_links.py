@@ -93,12 +93,12 @@ def intercity_filter(t, spark):
 
 @query(
     EV
-    + """, e AS (SELECT a.stn AS src, b.stn AS trg, o_orderstatus = 'F' AS rail FROM ev a JOIN ev b ON a.trip = b.trip AND b.pos = a.pos + 1 JOIN orders ON a.trip = o_orderkey WHERE o_orderstatus IN ('F', 'O'))
+    + """, e AS (SELECT a.stn AS src, b.stn AS trg, o_orderstatus = 'F' AS rail FROM ev a JOIN ev b ON a.trip = b.trip AND b.pos = a.pos + 1 JOIN orders ON a.trip = o_orderkey)
   SELECT src, trg, count(*) AS n, CASE WHEN bool_and(rail) THEN 'Rail' WHEN bool_or(rail) THEN 'Both' ELSE 'Bus' END AS mode FROM e GROUP BY src, trg"""
 )
 def consecutive_segments(t, spark):
     g = journeys(t).groupBy("trip").agg(sequences.ordered_list(F.col("stn"), *[F.col(c) for c in ORDER]).alias("s"))
-    o = t("orders").where("o_orderstatus in ('F', 'O')").select(F.col("o_orderkey").alias("trip"), (F.col("o_orderstatus") == "F").alias("rail"))
+    o = t("orders").select(F.col("o_orderkey").alias("trip"), (F.col("o_orderstatus") == "F").alias("rail"))
     e = g.join(o, "trip").select("rail", F.inline(sequences.consecutive(F.col("s"))))
     return e.groupBy("src", "trg").agg(F.count("*").alias("n"), agg.mode_label(F.col("rail")).alias("mode"))
 

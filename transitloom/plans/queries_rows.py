@@ -63,10 +63,10 @@ def left_agency(t, spark):
     return t("documents").select("doc_id", "lang").join(t("labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
 
 
-@query("SELECT p_partkey, p_brand, n FROM (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_quantity > 45 GROUP BY 1) RIGHT JOIN part ON l_partkey = p_partkey")
+@query("SELECT d.doc_id, source, n FROM (SELECT doc_id, count(*) AS n FROM labels GROUP BY 1) l RIGHT JOIN documents d ON l.doc_id = d.doc_id")
 def right_segments(t, spark):
-    n = t("lineitem").where("l_quantity > 45").groupBy("l_partkey").agg(F.count("*").alias("n"))
-    return n.join(t("part"), F.col("l_partkey") == F.col("p_partkey"), "right").select("p_partkey", "p_brand", "n")
+    n = t("labels").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return n.join(t("documents"), "doc_id", "right").select("doc_id", "source", "n")
 
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
@@ -117,10 +117,10 @@ def redirect_lookup(t, spark):
     return rows.lookup(t("orders").select("o_orderkey", "o_orderpriority"), priorities(spark), "o_orderpriority", "k", "name", "label", keep_missing=True).select("o_orderkey", "label")
 
 
-@query("SELECT c_custkey, n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) ON c_custkey = o_custkey")
+@query("SELECT doc_id, n FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM labels WHERE toxic = 1 GROUP BY 1) USING (doc_id)")
 def reindexed_counts(t, spark):
-    n = t("orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
-    return rows.reindexed(t("customer").select("c_custkey"), n, ["c_custkey"])
+    n = t("labels").where("toxic = 1").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return rows.reindexed(t("documents").select("doc_id"), n, ["doc_id"])
 
 
 @query("SELECT c_nationkey AS nation, round(sum(c_custkey * (c_acctbal + 1000)) / sum(c_acctbal + 1000), 4) AS cx, round(sum((c_custkey % 100) * (c_acctbal + 1000)) / sum(c_acctbal + 1000), 4) AS cy FROM customer GROUP BY 1")
@@ -238,10 +238,10 @@ def union_links(t, spark):
     return rows.union_all(a, b)
 
 
-@query("SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY src, value) AS k FROM (SELECT c_nationkey AS key, c_custkey AS value, 0 AS src FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT s_nationkey, s_suppkey, 1 FROM supplier)) WHERE k = 1")
+@query("SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY src, value) AS k FROM (SELECT doc_id AS key, quality AS value, 0 AS src FROM labels UNION ALL SELECT doc_id, n_chars, 1 FROM documents)) WHERE k = 1")
 def union_by_key(t, spark):
-    a = t("customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("key"), F.col("c_custkey").alias("value"))
-    b = t("supplier").select(F.col("s_nationkey").alias("key"), F.col("s_suppkey").alias("value"))
+    a = t("labels").select(F.col("doc_id").alias("key"), F.col("quality").cast("long").alias("value"))
+    b = t("documents").select(F.col("doc_id").alias("key"), F.col("n_chars").alias("value"))
     return rows.union_distinct([a, b], ["key"])
 
 
