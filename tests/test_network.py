@@ -1,11 +1,12 @@
 """The composite operators on a small world of three cities."""
 
+import random
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
-from transitloom.operators import air, assembly, graph, network, shapes, spatial
+from transitloom.operators import air, assembly, graph, links, network, shapes, spatial
 
 D = [date(2024, 1, 1), date(2024, 1, 2)]
 
@@ -158,3 +159,28 @@ def test_shapes(spark):
     assert sorted(set(shapes.clipped_ring([(-1, -1), (3, -1), (3, 3), (-1, 3)], 0, 0, 1, 1))) == [(0, 0), (0, 1), (1, 0), (1, 1)]
     one = spark.sql("select 1 shape, 0 k, array(named_struct('x', 1D, 'y', 0D), named_struct('x', 0D, 'y', 0D)) part, 0D x0, 0D y0")
     assert [p["x"] for p in shapes.assembled(one, "shape", "k", "part", "x0", "y0").first()["line"]] == [0.0, 1.0]
+
+
+def test_geodesic_columns_equal_the_arrays(spark):
+    rng = random.Random(3)
+    rows = [(rng.uniform(-180, 180), rng.uniform(-85, 85), rng.uniform(-180, 180), rng.uniform(-85, 85)) for _ in range(300)]
+    rows += [(5.0, 5.0, 5.0, 5.0), (0.0, 0.0, 1.0, 0.0), (0.0, 90.0, 20.0, 90.0), (0.0, 0.0, 180.0, 0.0), (10.0, 20.0, -170.0, -20.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    got = [r["m"] for r in df.select("*", shapes.geodesic_m(*[F.col(c) for c in "abcd"]).alias("m")).collect()]
+    want = shapes.geodesic(*zip(*rows, strict=True))
+    assert all(abs(g - w) < 1e-3 for g, w in zip(got, want, strict=True))
+    assert spark.range(1).select(shapes.geodesic_m(F.lit(1.0), F.lit(None).cast("double"), F.lit(1.0), F.lit(1.0)).alias("m")).first()["m"] is None
+
+
+def test_matrix_blocks(spark):
+    a = spark.createDataFrame([(k,) for k in [5, 3, 9, 1, 7, None, 3]], "k int")
+    b = spark.createDataFrame([(10,), (20,), (30,)], "k int")
+    blocks = links.matrix_blocks(a, b, "k", 2)
+    assert sorted((r["bi"], r["bj"], r["src"], r["trg"]) for r in blocks.collect()) == [(i, j, s, t) for i, s in enumerate([[1, 3], [5, 7], [9]]) for j, t in enumerate([[10, 20], [30]])]
+    m = spark.createDataFrame([(1, 10, 1.0), (1, 20, 2.0), (3, 10, float("nan")), (9, 30, 5.0)], "src int, trg int, time double")
+    full = links.filled_blocks(blocks, m, ["time"])
+    assert {(r["src"], r["trg"]): str(r["time"]) for r in links.unfolded(full, ["time"]).collect()} == {(s, t): str({(1, 10): 1.0, (1, 20): 2.0, (3, 10): float("nan"), (9, 30): 5.0}.get((s, t))) for s in (1, 3, 5, 7, 9) for t in (10, 20, 30)}
+    assert {(r["bi"], r["bj"]): r["n"] for r in links.unusable_cells(full, "time").collect()} == {(0, 0): 2, (0, 1): 2, (1, 0): 4, (1, 1): 2, (2, 0): 2}
+    with pytest.raises(Exception, match="do not fit"):
+        links.unfolded(full.withColumn("time", F.slice("time", 1, 1)), ["time"]).collect()
+    assert links.matrix_blocks(a, b.limit(0), "k", 2).count() == 0

@@ -98,7 +98,7 @@ def geodesic_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column, rounds: i
         return F.when(k["done"], angles(k, metres))
 
     half = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(turn / 2), 2)
-    sphere = 2 * 6371008.8 * F.asin(F.sqrt(F.least(F.lit(1.0), half)))
+    sphere = F.when(half.isNotNull(), 2 * 6371008.8 * F.asin(F.sqrt(F.least(F.lit(1.0), half))))
     return F.coalesce(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, length), sphere)
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from transitloom.operators import polygons
 from transitloom.plans.catalogue import query
 from transitloom.plans.frames import points
 from transitloom.plans.queries_graph import PT
+from transitloom.plans.staging import shared_folder
+from transitloom.sources import geojson
 
 CELL = 500.0
 
@@ -61,3 +65,18 @@ def dissolved_cells(t, spark):
 def label_hulls(t, spark):
     h = polygons.hulls(points(t), "label").select("label", F.explode("ring").alias("p"))
     return h.select("label", F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y"))
+
+
+@query(
+    """WITH b AS (SELECT vec_id AS id, label, embedding[1]::DOUBLE * 10000 AS x, embedding[2]::DOUBLE * 10000 AS y, 200 + abs(embedding[3]::DOUBLE) * 5000 AS w FROM embeddings)
+  SELECT id, label, round(x, 3) AS x0, round(y + w, 3) AS y1, round(w * w * 0.75, 2) AS area FROM b WHERE label >= 3 AND x > -500"""
+)
+def vector_layer(t, spark):
+    x, y, w = dimension(0) * 10000, dimension(1) * 10000, 200 + F.abs(dimension(2)) * 5000
+    square = lambda a, b, side: F.array(point(a, b), point(a + side, b), point(a + side, b + side), point(a, b + side))
+    boxes = t("embeddings").select(F.col("vec_id").alias("id"), "label", F.array(square(x, y, w), F.reverse(square(x + w / 4, y + w / 4, w / 2))).alias("rings"))
+    path = f"{shared_folder(spark)}/layer-{uuid.uuid4().hex}"
+    geojson.write_features(boxes, path, ["id", "label"])
+    back = geojson.read_features(spark, path if ":" in path else f"file://{path}", "id long, label int", lines=True).where("label >= 3 and x0 > -500")
+    area = F.aggregate(F.transform("rings", polygons.signed_area), F.lit(0.0), lambda s, a: s + a)
+    return back.select("id", "label", F.round("x0", 3).alias("x0"), F.round("y1", 3).alias("y1"), F.round(area, 2).alias("area"))
