@@ -122,7 +122,7 @@ def redundant_stations(support: DataFrame, served: DataFrame) -> DataFrame:
     rank = lambda side, name: ranks.select(F.col("stn").alias(side), F.col("rank").cast("long").alias(name))
     pairs = support.where("stn <> partner").select("stn", "partner", "od").distinct().join(rank("stn", "r"), "stn").join(rank("partner", "q"), "partner")
     pairs = staged(pairs.select("stn", "partner", "od", "r", "q"), "support")
-    gone = staged(served.select("stn").distinct().join(pairs.select("stn"), "stn", "left_anti"), "gone")
+    kept_stations = None
     while True:
         one = pairs.where("r < q or (r = q and stn < partner)")  # two that stay have equal ranks
         whole = one.groupBy("od").agg(F.count("*").alias("n"), F.max("r").alias("safe"))
@@ -130,8 +130,11 @@ def redundant_stations(support: DataFrame, served: DataFrame) -> DataFrame:
         fate = own.groupBy("stn").agg(F.max(F.col("own") == F.col("n")).alias("stays"), F.min(F.col("safe") > F.col("r")).alias("goes")).where("stays or goes")
         fate = staged(fate, "fate")
         if fate.isEmpty():
-            return gone
-        gone = gone.unionByName(fate.where("goes").select("stn"))
+            # nobody needs whoever is undecided now: all its pairs have gone with their other stations
+            stations = served.select("stn").distinct()
+            return stations if kept_stations is None else stations.join(kept_stations, "stn", "left_anti")
+        stay = fate.where("stays").select("stn")
+        kept_stations = stay if kept_stations is None else kept_stations.unionByName(stay)
         side = lambda name: fate.select(F.col("stn").alias(name), F.col("stays").alias(f"_{name}"))  # noqa: B023, E731
         left = pairs.join(side("stn"), "stn", "left").join(side("partner"), "partner", "left").where("coalesce(_stn, true) and coalesce(_partner, true)")
         kept = lambda flag, r: F.when(F.col(flag), F.lit(_KEPT)).otherwise(F.col(r)).alias(r)
