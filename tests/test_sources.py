@@ -158,3 +158,23 @@ def test_stream(spark, sf_dir, tmp_path):
     q = stream.windowed_statistics(stream.read_events(spark, str(tmp_path / "e"))).writeStream.format("memory").queryName("st").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("st").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_archives_round_trip(spark):
+    stops = spark.createDataFrame([("a", "1", 'x, "y"'), ("a", "2", None), ("b", "1", " z "), (None, "3", "lost")], "fid string, stop_id string, stop_name string")
+    agency = spark.createDataFrame([("b", "A")], "fid string, agency_name string")
+    packed = export.archives({"agency": agency, "stops": stops, "routes": stops.where("false")})
+    rows = {tuple(r) for r in gtfs.read_table(packed, "stops", ["stop_id", "stop_name"]).collect()}
+    assert rows == {("a", "1", 'x, "y"'), ("a", "2", None), ("b", "1", " z ")}
+    assert [tuple(r) for r in gtfs.read_table(packed, "agency", ["agency_name"]).collect()] == [("b", "A")]
+    found = {r["fid"]: (r["f_agency"], r["f_stops"], r["f_routes"], r["valid"]) for r in gtfs.inventory(packed).collect()}
+    assert found == {"a": (False, True, False, False), "b": (True, True, False, False)}
+    again = export.archives({"agency": agency, "stops": stops})
+    assert {r["fid"]: bytes(r["content"]) for r in again.collect()} == {r["fid"]: bytes(r["content"]) for r in packed.collect()}
+
+
+def test_the_first_validity_counts(spark, tmp_path):
+    frame = "<ValidBetween><FromDate>{}</FromDate>{}</ValidBetween>"
+    later = frame.format("2020-01-01", "<ToDate>2020-02-01</ToDate>")
+    (tmp_path / "v.xml").write_text(f"<D><CompositeFrame>{frame.format('2025-03-01T00:00:00', '')}<frames><F>{later}</F></frames></CompositeFrame></D>")
+    assert [str(x) for x in netex.validity(spark, str(tmp_path / "v.xml"), end="2030-12-31").first()] == ["2025-03-01", "2030-12-31"]

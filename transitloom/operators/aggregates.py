@@ -79,3 +79,8 @@ def names_by_frequency(df: DataFrame, keys: Sequence[str], name: str, separator:
     counts = df.groupBy(*keys, name).agg(F.count("*").alias("_n"))
     entry = F.struct((-F.col("_n")).alias("n"), F.col(name).alias("name"))
     return counts.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["name"]), separator).alias("names"))
+
+
+def median_lengths(segments: DataFrame, keys: list[str], length: str = "len_km") -> DataFrame:
+    """The median of the known lengths of each key's segments; keys without a known length are left out."""
+    return segments.where(F.col(length).isNotNull()).groupBy(*keys).agg(F.median(length).alias(length))

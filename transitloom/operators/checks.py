@@ -54,3 +54,13 @@ def require(report_frame: DataFrame) -> None:
     bad = report_frame.where("violations > 0").collect()  # one row a check
     if bad:
         raise ValueError("; ".join(f"{r['check']}: {r['violations']}" for r in bad))
+
+
+def any_of(*flags: str):
+    """Whether one of a row's flags is true; a flag that is null counts as false."""
+    return F.exists(F.array(*[F.coalesce(F.col(c), F.lit(False)) for c in flags]), lambda x: x)
+
+
+def all_of(*flags: str):
+    """Whether all of a row's flags are true; a flag that is null counts as false."""
+    return F.forall(F.array(*[F.coalesce(F.col(c), F.lit(False)) for c in flags]), lambda x: x)

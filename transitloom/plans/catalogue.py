@@ -25,4 +25,4 @@ def query(sql: str | None = None):
     return register
 
 
-from transitloom.plans import queries_composite, queries_graph, queries_infrastructure, queries_links, queries_network, queries_polygons, queries_rows, queries_flagship  # noqa: E402, F401
+from transitloom.plans import queries_composite, queries_feeds, queries_graph, queries_infrastructure, queries_links, queries_network, queries_polygons, queries_rows, queries_flagship  # noqa: E402, F401

@@ -7,7 +7,10 @@ import io
 import os
 import tempfile
 import zipfile
+from itertools import groupby
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,6 +165,38 @@ def minimal_feed(agency: tuple[str, str, str, str], validity: DataFrame, stop_ta
     return {"agency": row, "stops": stop_table, "routes": routes_, "trips": trips, "stop_times": times, "calendar": all_days(trips, validity), "feed_info": info}
 
 
+def archives(tables: dict[str, DataFrame]) -> DataFrame:
+    """(fid, content): a GTFS ZIP of each feed, made in the tasks, as `gtfs.archives` reads them.
+
+    Every table has a text column `fid`; its other columns are the member's.  Rows come to their feed's task as sorted
+    CSV lines and are compressed as they come, so that a task holds one archive, of at most 2 GB.  An archive that is
+    made again has the same names and dates.  Rows without a feed are left out, and so are members without rows.
+    """
+    options = {"escape": '"', "nullValue": "", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    names, headers, lines = list(tables), [], None
+    for k, df in enumerate(tables.values()):
+        columns = [c for c in df.columns if c != "fid"]
+        headers.append(",".join(columns))
+        part = df.where("fid is not null").select("fid", F.lit(k).alias("k"), F.to_csv(F.struct(*[F.col(f"`{c}`").cast("string") for c in columns]), options).alias("line"))
+        lines = part if lines is None else lines.union(part)
+
+    def run(batches):
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for fid, own in groupby(rows, key=itemgetter(0)):
+            held = io.BytesIO()
+            with zipfile.ZipFile(held, "w") as archive:
+                for k, member in groupby(own, key=itemgetter(1)):
+                    entry = zipfile.ZipInfo(f"{names[k]}.txt")
+                    entry.compress_type = zipfile.ZIP_DEFLATED
+                    with archive.open(entry, "w", force_zip64=True) as raw:
+                        raw.write(f"{headers[k]}\n".encode())
+                        for _, _, line in member:
+                            raw.write(f"{line}\n".encode())
+            yield pa.record_batch([pa.array([fid]), pa.array([held.getvalue()])], names=["fid", "content"])
+
+    return lines.repartition("fid").sortWithinPartitions("fid", "k", "line").mapInArrow(run, "fid string, content binary")
+
+
 def write_archive(tables: dict[str, DataFrame], path: str) -> None:
     """A GTFS ZIP of finished tables on the driver's disk: rows stream through the driver one partition at a time, and
     the file appears under its name only when complete and readable."""

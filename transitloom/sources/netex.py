@@ -50,9 +50,14 @@ def coordinates() -> tuple[Column, Column]:
 
 
 def validity(spark: SparkSession, path: str, start: str = "2026-01-01", end: str = "2026-12-31") -> DataFrame:
-    """One row (from_date, to_date): the validity of a composite frame, or the given dates."""
+    """One row (from_date, to_date): the document's first validity, or the given dates for what it lacks.
+
+    The format puts a composite frame's validity before those of the frames in it, so no task reads a whole frame.
+    """
     v = elements(spark, path, "ValidBetween", "FromDate string, ToDate string")
-    return v.agg(F.coalesce(F.first(iso_date(F.col("FromDate")), True), F.lit(start).cast("date")).alias("from_date"), F.coalesce(F.first(iso_date(F.col("ToDate")), True), F.lit(end).cast("date")).alias("to_date"))
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    first = v.select(place.alias("place"), F.struct(iso_date(F.col("FromDate")).alias("a"), iso_date(F.col("ToDate")).alias("b")).alias("v")).agg(F.min_by("v", "place").alias("v"))
+    return first.select(F.coalesce("v.a", F.lit(start).cast("date")).alias("from_date"), F.coalesce("v.b", F.lit(end).cast("date")).alias("to_date"))
 
 
 def stops(spark: SparkSession, path: str) -> DataFrame:
