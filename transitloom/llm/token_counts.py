@@ -5,8 +5,9 @@ word.  The automaton is a trie of the vocabulary whose nodes carry a failure lin
 following it, both computed once, so that counting a word's pieces takes one step for each byte and builds no piece.
 
 A word is a maximal run of bytes other than white space (0x20, 0x09-0x0D); pieces that begin a word carry the
-vocabulary's word mark (the leading space of a byte-level vocabulary), which is matched before the word's bytes.  The
-vocabulary holds all single bytes, so every word has pieces.
+vocabulary's word mark (the leading space of a byte-level vocabulary), which is matched before the word's bytes.  A word
+that the vocabulary can't build counts as one token, the unknown token of word pieces; a vocabulary that holds all
+single bytes has no such word.
 
 Null and empty texts have no words and no tokens; repeated rows are repeated; other columns are ignored.
 """
@@ -105,7 +106,8 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, mark: bytes = M
                 for i, (s, e) in enumerate(zip(words.start[where].tolist(), words.end[where].tolist(), strict=True)):
                     w = words.data[s:e].tobytes()
                     if (n := known.get(w)) is None:
-                        n = known[w] = machine.count(mark + w)
+                        n = machine.count(mark + w)
+                        n = known[w] = 1 if n < 0 else n
                     counts[i] = n
                 per_word = counts[which]
                 sums = np.concatenate([[0], np.cumsum(per_word)])
