@@ -127,6 +127,20 @@ def test_packed_ids_round_trip(odd, capacity, window):
         assert all(pos[a] == 0 and pos[b - 1] == b - a - 1 for a, b in zip(cu, cu[1:], strict=False))
 
 
+@pytest.mark.parametrize("capacity", [64, 500, 2048])
+def test_packed_ids_is_plain_best_fit_decreasing(documents, capacity):
+    packed = packed_ids.packed_ids(documents.coalesce(1), capacity, window=10**9)
+    sizes = [len(r["ids"]) for r in packed_ids.unpacked(packed).collect()]
+    rooms = []
+    for size in sorted(sizes, reverse=True):
+        k = min((k for k, room in enumerate(rooms) if room >= size), key=rooms.__getitem__, default=None)
+        if k is None:
+            rooms.append(capacity - size)
+        else:
+            rooms[k] -= size
+    assert sorted(r["n_tokens"] for r in packed.collect()) == sorted(capacity - room for room in rooms)
+
+
 def test_matrix_files(odd, spark, tmp_path):
     packed_ids.write_matrices(packed_ids.packed_ids(odd), str(tmp_path / "m"))
     rows = spark.read.parquet(str(tmp_path / "m")).collect()

@@ -113,6 +113,16 @@ def test_token_counts_odd_inputs(odd, nothing):
     assert token_counts.token_counts(odd).count() == 12 and token_counts.token_counts(nothing).count() == 0
 
 
+def test_words_beyond_the_vocabulary_are_one_token(spark, tmp_path):
+    import base64
+
+    path = tmp_path / "v.tiktoken"
+    path.write_text("".join(f"{base64.b64encode(x).decode()} {i}\n" for i, x in enumerate((b" ", b" a", b"b", b"bb"))))
+    docs = spark.createDataFrame([(1, "abbb xyz"), (2, "xyz a"), (3, None)], "doc_id long, text string")
+    got = {tuple(r) for r in token_counts.token_counts(docs, str(path)).collect()}
+    assert got == {(1, 2, 4, 3), (2, 2, 2, 1), (3, 0, 0, 0)}
+
+
 def base(text):
     words, seen, dup = SPACED.findall(text or ""), set(), 0
     for line in (text or "").split("\n"):
@@ -175,6 +185,27 @@ def test_quality(spark, documents, sf_dir):
     assert sum(r["kept"] for r in sound) / len(sound) > 0.97
 
 
+def test_quality_equals_plain_counts(spark):
+    import math
+
+    rng, names = random.Random(8), ["Ab", "cd", "eF", "gh", "ij", "kl", "mn", "op", "qr", "st", "uv", "wx"]
+    texts = {d: " ".join(rng.choice(names[:7] if d % 4 == 0 else names) for _ in range(rng.randint(15, 60))) for d in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(d, int(d % 4 == 0)) for d in texts if d % 8 < 6], "doc_id long, quality int")
+    grams = {d: [*w, *zip(w, w[1:], strict=False)] for d, w in ((d, lower(t).split()) for d, t in texts.items())}
+    raw = Counter(g for own in grams.values() for g in own)
+    target = Counter(g for d, own in grams.items() for g in own if d % 8 in (0, 4))
+    buckets = 1 << 22  # so many that these grams don't share one
+    ratio = {g: math.log((target[g] + 1) / (target.total() + buckets)) - math.log((n + 1) / (raw.total() + buckets)) for g, n in raw.items()}
+    means = {d: sum(ratio[g] for g in own) / len(own) for d, own in grams.items()}
+    threshold = sorted(means.values())[30] - 1e-6
+    rows = quality.judged(docs, quality.fit(docs, labels, buckets), threshold).collect()
+    assert len(rows) == 60 and len({r["kept"] for r in rows if not r["base_failed"]}) == 2
+    for r in rows:
+        want = means[r["doc_id"]]
+        assert abs(r["llr"] - want) < 1e-9 and r["kept"] == (not r["base_failed"] and want >= threshold)
+
+
 def test_quality_odd_inputs(spark, odd, nothing):
     labels = spark.createDataFrame([(1, 1), (None, 1), (7, None)], "doc_id long, quality int")
     rows = quality_rows(odd, labels).collect()
@@ -336,6 +367,50 @@ def test_secrets_of_long_texts(spark):
     assert row["base_sha256"] == hashlib.sha256(findings(text).encode()).hexdigest()
 
 
+ALPHABETS = [secrets.HEX_DIGITS, secrets.HEX_DIGITS.upper(), secrets.BASE32_DIGITS, secrets.BASE64_DIGITS]
+
+
+def test_final_spans_follow_from_plain_thresholds(spark):
+    """The histograms, both rules and the verdicts, in plain Python over the operator's own tests of each token."""
+    import math
+
+    rng, rows = random.Random(6), []
+    for d in range(300):
+        t = "".join(rng.choice(ALPHABETS[d % 4]) for _ in range(rng.randint(20, 80)))
+        rows.append((d, f"{rng.choice(WORDS)} {t if d % 3 else 'nothing'} {rng.choice(WORDS)}{d % 10}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tokens = [(r["doc_id"], x["s"], x["e"], x["test"]) for r in secrets.base_findings(docs).collect() for x in r["tokens"]]
+    band = lambda x: sum(x[2] - x[1] >= b for b in secrets.BANDS)
+    unit = lambda v: min(secrets.BINS, max(0, math.floor(v * 4)))
+    battery, ratio = (lambda x: unit(-math.log(max(x[3]["uniform"], 1e-300)))), (lambda x: unit(x[3]["ratio"]))
+
+    def rejected(bins, share):
+        """Those at or above the least evidence whose bound is within `share` of its rank."""
+        good = [b for b in range(secrets.BINS + 1) if (n := sum(v >= b for v in bins)) and math.exp(-b / 4) <= share * n / len(bins)]
+        return min(good, default=secrets.BINS + 1)
+
+    want = {d: set() for d, _ in rows}
+    for k in range(3):
+        own = [x for x in tokens if band(x) == k]
+        limit = rejected([battery(x) for x in own], secrets.FALSE_REJECTIONS)
+        left = [x for x in own if battery(x) < limit]
+        least = rejected([ratio(x) for x in left], secrets.FALSE_DISCOVERIES)
+        for x in left:
+            if ratio(x) >= least:
+                want[x[0]].add(f"random:{x[1]}:{x[2]}")
+    got = {r["doc_id"]: {x for x in r["spans"].split(",") if x.startswith("random")} for r in secrets.scan(docs).collect()}
+    assert got == want and sum(map(len, want.values())) > 50
+
+
+def test_blocks_of_matches(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["", "x", "a" * 3, "ab" * 700, "b" + "ab" * 128, "ab" * 127 + "a", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", secrets.spans(F.col("t"), "a").alias("f")).collect()
+    for r in rows:
+        assert r["f"] is None if r["t"] is None else [(x["s"], x["e"]) for x in r["f"]] == [m.span() for m in re.finditer("a", r["t"])]
+
+
 def test_secrets_on_documents(documents):
     for r in secrets.scan(documents).join(documents.select("doc_id", "text"), "doc_id").collect():
         assert r["base_sha256"] == hashlib.sha256(findings(r["text"]).encode()).hexdigest()

@@ -83,14 +83,20 @@ def best_fit_decreasing(counts: np.ndarray, capacity: int) -> list[tuple[Pattern
                         bins.setdefault(room, []).append((pattern, n))
                         tree.add(room, n)
                 break
+            # Once begun, a sequence has the least room that fits and takes all it can; the last one takes the rest.
             pattern, n = bins[r].pop()
-            used = min(n, left)
-            tree.add(r, -used)
-            if used < n:
-                bins[r].append((pattern, n - used))
-            bins.setdefault(r - s, []).append(((*pattern, s), used))
-            tree.add(r - s, used)
-            left -= used
+            per = r // s
+            used = min(n, left // per)
+            rest = left - used * per if used < n else 0
+            for copies, k in ((per, used), (rest, 1 if rest else 0)):
+                if k:
+                    bins.setdefault(r - s * copies, []).append(((*pattern, *(s,) * copies), k))
+                    tree.add(r, -k)
+                    tree.add(r - s * copies, k)
+                    left -= k * copies
+                    n -= k
+            if n:
+                bins[r].append((pattern, n))
     return [x for kept in bins.values() for x in kept]
 
 
