@@ -43,7 +43,7 @@ def _bucket(h: Column) -> Column:
 def word_ranks(docs: DataFrame) -> str:
     """For each bucket the number that turns it into its rank by xor, comma-joined.  Ranks go by the bucket's count in the
     corpus, rarest first, and each bucket has a rank of its own, so words' keys are as distinct as their hashes."""
-    words = docs.select(F.explode(F.split("text", "[ \n]+")).alias("w")).where("w <> ''")
+    words = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
     rows = words.select(_bucket(F.xxhash64("w")).alias("b")).groupBy("b").count().toArrow()  # one row a bucket
     size = 1 << BUCKET_BITS
     counts = np.zeros(size, dtype=np.int64)
