@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from transitloom.functions.geo import planar
 from transitloom.operators.rows import finite
+from transitloom.plans.staging import staged
 
 
 def _cell(c: Column, size: float) -> Column:
@@ -36,11 +37,65 @@ def within_distance(left: DataFrame, right: DataFrame, radius: float, lx: str =
     return joined.where(F.col(distance) <= radius).drop("_cx", "_cy")
 
 
-def nearest(left: DataFrame, right: DataFrame, radius: float, keys: Sequence[str], tie: str, **columns) -> DataFrame:
-    """The nearest row of `right` within `radius` for each row of `left` (its `keys`); ties go to the smallest `tie`."""
-    distance = columns.get("distance", "dist")
+#: The search for the nearest begins in cells of so many points at most, in steps of STEP times the side, DEPTH steps deep.
+CROWD, STEP, DEPTH = 64, 4.0, 8
+
+
+def _first_step(spots: DataFrame, radius: float, within: Sequence[str]) -> int:
+    """The coarsest step whose cells hold `CROWD` of the points (rx, ry) or fewer; `DEPTH` if none does."""
+    side = F.lit(float(radius)) / F.pow(F.lit(STEP), F.col("_step"))
+    cells = spots.select(*within, "rx", "ry", F.explode(F.sequence(F.lit(0), F.lit(DEPTH - 1))).alias("_step"))
+    n = cells.groupBy("_step", F.floor(F.col("rx") / side).alias("_cx"), F.floor(F.col("ry") / side).alias("_cy"), *within).agg(F.count("*").alias("n"))
+    return min((r["_step"] for r in n.groupBy("_step").agg(F.max("n").alias("n")).where(F.col("n") <= CROWD).collect()), default=0 if spots.isEmpty() else DEPTH)
+
+
+def _nearest(left: DataFrame, right: DataFrame, radius: float, keys: Sequence[str], tie: str, lx: str, ly: str, rx: str, ry: str, distance: str, group: str | None = None, unequal: tuple[str, str] | None = None) -> DataFrame:
+    """The work of `nearest` and `nearest_in_group`.
+
+    Rows of the right side at one place count once: only the first of them by `tie` can be the nearest, or the second where
+    the first is the row's own.  Rows search in small cells first; those that find nothing there search in larger ones, up
+    to `radius`.  So a row meets few others, however dense they lie.
+    """
+    within = [] if group is None else ["_group"]
+    other = right.where(finite(F.col(rx), F.col(ry)))
+    other = other if group is None else other.where("_group is not null")
+    # F.struct compares by its fields in order, so the tie decides
+    row = F.struct(F.col(tie).alias("t"), *([F.col(unequal[1]).alias("o")] if unequal else []), F.struct(*right.columns).alias("r"))
+    place = [F.col(rx).cast("double").alias("rx"), F.col(ry).cast("double").alias("ry"), *within]
+    spots = other.select(*place, row.alias("_row")).groupBy("rx", "ry", *within).agg(F.min("_row").alias("_row"))
+    if unequal:
+        own = other.select(*place, row.alias("_second")).join(spots, ["rx", "ry", *within])
+        spots = own.groupBy("rx", "ry", *within).agg(F.first("_row").alias("_row"), F.min(F.when(F.col("_second.o") != F.col("_row.o"), F.col("_second"))).alias("_second"))
+    spots = staged(spots, "spots")
+    named = left.where(finite(F.col(lx), F.col(ly)))
+    named = named if group is None else named.where(F.col(group).isNotNull())
+    rows = staged(named.withColumn("_id", F.monotonically_increasing_id()), "searching")
+    open_ = rows.select("_id", F.col(lx).cast("double").alias("_x"), F.col(ly).cast("double").alias("_y"), *([F.col(group).alias("_group")] if group else []), *([F.col(unequal[0]).alias("_own")] if unequal else []))
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    found = None
+    for step in range(_first_step(spots, radius, within), -1, -1):
+        side = float(radius) / STEP**step
+        a = open_.withColumn("_o", around).withColumn("_cx", _cell(F.col("_x"), side) + F.col("_o.i")).withColumn("_cy", _cell(F.col("_y"), side) + F.col("_o.j")).drop("_o")
+        b = spots.withColumn("_cx", _cell(F.col("rx"), side)).withColumn("_cy", _cell(F.col("ry"), side))
+        met = a.join(b, ["_cx", "_cy", *within]).withColumn("_d", planar(F.col("_x"), F.col("_y"), F.col("rx"), F.col("ry"))).where(F.col("_d") <= side)
+        if unequal:
+            met = met.withColumn("_row", F.when(F.col("_row.o") != F.col("_own"), F.col("_row")).otherwise(F.col("_second"))).where(F.col("_row").isNotNull() & (F.col("_row.o") != F.col("_own")))
+        best = met.groupBy("_id").agg(F.min(F.struct("_d", F.col("_row.t").alias("t"), F.col("_row.r").alias("r"))).alias("_best"))
+        best = staged(best, "nearest") if step else best
+        found = best if found is None else found.unionByName(best)
+        if step:
+            open_ = staged(open_.join(best.select("_id"), "_id", "left_anti"), "searching")
+            if open_.isEmpty():
+                break
+    out = rows.join(found, "_id").select(*left.columns, *[F.col("_best.r")[c].alias(c) for c in right.columns], F.col("_best._d").alias(distance))
+    # left rows of equal keys
     w = Window.partitionBy(*keys).orderBy(distance, tie)
-    return within_distance(left, right, radius, **columns).withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    return out.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+
+
+def nearest(left: DataFrame, right: DataFrame, radius: float, keys: Sequence[str], tie: str, lx: str = "x", ly: str = "y", rx: str = "rx", ry: str = "ry", distance: str = "dist") -> DataFrame:
+    """The nearest row of `right` within `radius` for each row of `left` (its `keys`); ties go to the smallest `tie`."""
+    return _nearest(left, right, radius, keys, tie, lx, ly, rx, ry, distance)
 
 
 def polygon_edges(polygons: DataFrame, key: str, ring: str) -> DataFrame:
@@ -121,25 +176,58 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, point: str, key: str
     return p.join(polygon_cover(edges, key, size), ["_cx", "_cy"]).where(F.col("inside") != odd).select(point, key)
 
 
+def connecting(points: DataFrame, key: str, radius: float, x: str = "x", y: str = "y", group: str | None = None) -> DataFrame:
+    """(u, v) and `group`: edges that join the same points as all pairs within `radius` do, directly or in a chain; with
+    `group`, pairs of one group only.
+
+    Cells are so small that all their points are within the radius: they hang on their smallest key, the cell's name.  Two
+    cells meet if a pair of their points does.  The outermost points towards each other are tried first; all points near the
+    other cell's box are compared only between cells that are not joined yet, so crowded places cost no more than others.
+    """
+    from transitloom.plans.components import components
+
+    side, within = radius / 2, [] if group is None else [group]
+    at = [*within, "_cx", "_cy"]
+    px, py = F.col("_x"), F.col("_y")
+    usable = points.where(finite(F.col(x), F.col(y)) & F.col(key).isNotNull())
+    usable = usable if group is None else usable.where(F.col(group).isNotNull())
+    p = staged(usable.select(F.col(key).alias("_k"), *within, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), _cell(F.col(x), side).alias("_cx"), _cell(F.col(y), side).alias("_cy")), "points")
+    half = [(i, j) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0)]
+    spot = F.struct(px.alias("x"), py.alias("y"))
+    tip = lambda i, j: F.max_by(spot, i * px + j * py)
+    ends = [*[tip(i, j) for i, j in half], *[tip(-i, -j) for i, j in half]]
+    box = F.struct(F.min("_x").alias("x0"), F.max("_x").alias("x1"), F.min("_y").alias("y0"), F.max("_y").alias("y1")).alias("box")
+    cells = staged(p.groupBy(*at).agg(F.min("_k").alias("name"), box, F.array(*ends[: len(half)]).alias("to"), F.array(*ends[len(half) :]).alias("back")).withColumn("cell", F.monotonically_increasing_id()), "cells")
+    to = cells.select(*within, F.col("cell").alias("uc"), F.col("name").alias("u"), F.col("box").alias("ubox"), "_cx", "_cy", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(i).alias("i"), F.lit(j).alias("j")) for n, (i, j) in enumerate(half)])).alias("o"), "to")
+    to = to.select(*within, "uc", "u", "ubox", F.col("_cx").alias("ux"), F.col("_cy").alias("uy"), (F.col("_cx") + F.col("o.i")).alias("_cx"), (F.col("_cy") + F.col("o.j")).alias("_cy"), F.col("o.n").alias("n"), F.get("to", F.col("o.n")).alias("a"))
+    beside = to.join(cells.select(*at, F.col("cell").alias("vc"), F.col("name").alias("v"), F.col("box").alias("vbox"), "back"), at).withColumn("b", F.get("back", F.col("n")))
+    beside = staged(beside.withColumn("near", planar(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y")) <= radius).drop("n", "to", "back"), "beside")
+    roots = staged(components(beside.where("near").select(F.col("uc").alias("u"), F.col("vc").alias("v"))), "roots")
+    root = lambda a, name: roots.select(F.col("node").alias(a), F.col("root").alias(name))
+    apart = beside.where("not near").join(root("uc", "_ra"), "uc", "left").join(root("vc", "_rb"), "vc", "left")
+    apart = apart.where("_ra is null or _rb is null or _ra <> _rb").select(*within, "u", "v", "ux", "uy", "ubox", "_cx", "_cy", "vbox")
+    off = lambda c, b: F.greatest(F.col(f"{b}.{c}0") - F.col(f"_{c}"), F.col(f"_{c}") - F.col(f"{b}.{c}1"), F.lit(0.0))
+    close = lambda b: off("x", b) * off("x", b) + off("y", b) * off("y", b) <= radius * radius * (1 + 1e-9)
+    one = apart.join(p.withColumnRenamed("_cx", "ux").withColumnRenamed("_cy", "uy").drop("_k"), [*within, "ux", "uy"]).where(close("vbox")).select(*at, "ux", "uy", "u", "v", "ubox", px.alias("ax"), py.alias("ay"))
+    two = one.join(p.drop("_k"), at).where(close("ubox")).where(planar(F.col("ax"), F.col("ay"), px, py) <= radius)
+    edge = [*within, "u", "v"]
+    stars = p.join(cells.select(*at, F.col("name").alias("u")), at).where("u <> _k").select(*within, "u", F.col("_k").alias("v"))
+    return stars.unionByName(beside.where("near and u <> v").select(*edge)).unionByName(two.where("u <> v").select(*edge).distinct())
+
+
 def clusters(points: DataFrame, key: str, radius: float, x: str = "x", y: str = "y") -> DataFrame:
     """(key, cluster): density clusters with a minimum size of one, that is components of points within `radius`;
     a cluster's name is its smallest key."""
     from transitloom.plans.components import components
 
-    right = points.select(F.col(key).alias("_key"), F.col(x).alias("rx"), F.col(y).alias("ry"))
-    edges = within_distance(points.select(key, x, y), right, radius, lx=x, ly=y).where(F.col(key) < F.col("_key")).select(F.col(key).alias("u"), F.col("_key").alias("v"))
-    roots = components(edges)
+    roots = components(connecting(points, key, radius, x, y))
     return points.select(key).join(roots, points[key] == roots["node"], "left").select(key, F.coalesce("root", key).alias("cluster"))
 
 
 def nearest_in_group(left: DataFrame, right: DataFrame, group: str, radius: float, keys: Sequence[str], tie: str, unequal: tuple[str, str] | None = None) -> DataFrame:
     """As `nearest`, among rows with the same `group` only (`_group` on the right side); with `unequal`, a column of
     each side, rows that agree in those do not meet."""
-    pairs = within_distance(left, right, radius).where(F.col(group) == F.col("_group"))
-    if unequal is not None:
-        pairs = pairs.where(F.col(unequal[0]) != F.col(unequal[1]))
-    w = Window.partitionBy(*keys).orderBy("dist", tie)
-    return pairs.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank", "_group")
+    return _nearest(left, right, radius, keys, tie, "x", "y", "rx", "ry", "dist", group, unequal).drop("_group")
 
 
 def weighted_centroid(points: DataFrame, keys: Sequence[str], weight: str, x: str = "x", y: str = "y") -> DataFrame:

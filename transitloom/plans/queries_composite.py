@@ -109,8 +109,7 @@ def merged_hubs(t, spark):
 )
 def station_snap(t, spark):
     p = points(t)
-    other = p.select(F.col("id").alias("v"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("label").alias("_label"))
-    edges = spatial.within_distance(p, other, RADIUS).where("id < v and label = _label").select("label", F.col("id").alias("u"), "v")
+    edges = spatial.connecting(p, "id", RADIUS, group="label")
     s = graph.snapped_stations(p.select(F.col("id").alias("stn"), "x", "y"), edges, p.select(F.col("id").alias("node"), "x", "y"), "label", 500.0)
     return s.select("stn", "node", F.round("dist", 4).alias("dist"))
 
