@@ -20,6 +20,7 @@ from transitloom.operators import calendar
 from transitloom.operators.rows import surrogate_key
 from transitloom.operators.sequences import ordered_list, relative
 from transitloom.params import DEFAULTS, Params
+from transitloom.plans.staging import staged
 
 TABLES = ("agency", "stops", "routes", "trips", "stop_times", "calendar", "calendar_dates")
 REQUIRED = ("agency", "stops", "routes", "trips", "stop_times")
@@ -124,15 +125,17 @@ def normalised(feeds: DataFrame, params: Params = DEFAULTS, mode: str = "set", s
     of = of.select("service.fid", "service.service_id", "dateset")
 
     stop_table, route_table = stops(feeds), routes(feeds)
-    trips = t.join(route_table.select("fid", "route_id"), ["fid", "route_id"], "left_semi").join(of, ["fid", "service_id"])
+    # members are read from their archives once: the tables below use these two several times
+    trips = staged(t.join(route_table.select("fid", "route_id"), ["fid", "route_id"], "left_semi").join(of, ["fid", "service_id"]), "trips")
     times = read_table(feeds, "stop_times", ["trip_id", "stop_sequence", "stop_id", "arrival_time", "departure_time"])
     times = times.select("fid", "trip_id", "stop_id", F.trim("stop_sequence").try_cast("int").alias("pos"), clock_seconds(F.col("arrival_time")).alias("arr"), clock_seconds(F.col("departure_time")).alias("dep"))
     times = times.where(F.col("pos") <= params.max_stop_sequence).na.drop(subset=["arr", "dep"])
     times = times.join(stop_table.select("fid", "stop_id"), ["fid", "stop_id"], "left_semi").join(trips.select("fid", "trip_id"), ["fid", "trip_id"], "left_semi")
     by_trip = times.groupBy("fid", "trip_id").agg(ordered_list(F.col("stop_id"), F.col("pos"), F.col("arr"), F.col("stop_id")).alias("stops"), ordered_list(F.col("arr"), F.col("pos"), F.col("arr"), F.col("stop_id")).alias("arr"), ordered_list(F.col("dep") - F.col("arr"), F.col("pos"), F.col("arr"), F.col("stop_id")).alias("wait"))
-    by_trip = by_trip.select("fid", "trip_id", "stops", relative(F.col("arr")).alias("rel"), "wait", F.element_at("arr", 1).alias("start"), F.element_at("arr", -1).alias("end"))
+    by_trip = staged(by_trip.select("fid", "trip_id", "stops", relative(F.col("arr")).alias("rel"), "wait", F.element_at("arr", 1).alias("start"), F.element_at("arr", -1).alias("end")), "by_trip")
     stop_seq = surrogate_key(by_trip.select("fid", "stops").distinct(), "stop_seq", ["fid", "stops"])
     time_seq = surrogate_key(by_trip.groupBy("fid", "rel").agg(F.min_by("wait", "trip_id").alias("wait")), "time_seq", ["fid", "rel"])
+    used = trips.join(by_trip.select("fid", "trip_id"), ["fid", "trip_id"]).select("fid", "route_id").distinct()
     full = trips.join(by_trip, ["fid", "trip_id"]).join(stop_seq, ["fid", "stops"]).join(time_seq.select("fid", "rel", "time_seq"), ["fid", "rel"])
     full = full.select("fid", "trip_id", "route_id", "dateset", "stop_seq", "time_seq", "start", "end")
-    return {"stops": stop_table, "routes": route_table.join(full.select("fid", "route_id").distinct(), ["fid", "route_id"], "left_semi"), "datesets": dates, "stop_seq": stop_seq, "time_seq": time_seq, "trips": full}
+    return {"stops": stop_table, "routes": route_table.join(used, ["fid", "route_id"], "left_semi"), "datesets": dates, "stop_seq": stop_seq, "time_seq": time_seq, "trips": full}
