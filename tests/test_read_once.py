@@ -1,6 +1,9 @@
 """Members and documents are read no more often than needed, and documents stay small."""
 
-from transitloom.sources import export, gtfs
+import pyspark.sql.functions as F
+
+from transitloom.plans import queries_feeds
+from transitloom.sources import export, gtfs, netex
 
 
 def test_trips_of_feeds_are_read_once(spark):
@@ -19,3 +22,25 @@ def test_trips_of_feeds_are_read_once(spark):
     assert sorted(r["trip_id"] for r in n["trips"].collect()) == ["1", "2"]
     assert [r["route_id"] for r in n["routes"].collect()] == ["R"]
     assert n["stop_seq"].count() == n["time_seq"].count() == 1
+
+
+def test_absent_journeys_are_not_searched(spark, tmp_path, monkeypatch):
+    body = '<PublicationDelivery><Line id="L"><Name>l</Name></Line>{}<ServiceJourney id="1"><Ref x="VehicleJourney"/><LineRef ref="L"/></ServiceJourney></PublicationDelivery>'
+    searched, real = [], netex.elements
+    monkeypatch.setattr(netex, "elements", lambda s, p, tag, schema: searched.append(tag) or real(s, p, tag, schema))
+    for name, extra, ids in (("a", "", ["1"]), ("b", '<n:VehicleJourney id="2"><LineRef ref="L"/></n:VehicleJourney>', ["1", "2"])):
+        searched.clear()
+        (tmp_path / f"{name}.xml").write_text(body.format(extra))
+        path = str(tmp_path / f"{name}.xml")
+        trips, _ = netex.journeys(spark, path, netex.routes(spark, path, "AG"))
+        assert sorted(r["trip_id"] for r in trips.collect()) == ids
+        assert ("VehicleJourney" in searched) == (len(ids) == 2)
+
+
+def test_documents_stay_small(spark, monkeypatch):
+    monkeypatch.setattr(queries_feeds, "ELEMENTS", 3)
+    rows = spark.range(0, 20, 1, 2).select(F.format_string('<StopPointInJourneyPattern id="%s"><QuayRef ref="Q"/></StopPointInJourneyPattern>', "id").alias("value"))
+    path = queries_feeds._document(spark, rows)
+    texts = [r["value"].split() for r in spark.read.text(path, wholetext=True).collect()]
+    assert len(texts) == 8 and all(t[0] == "<PublicationDelivery>" and t[-1] == "</PublicationDelivery>" and len([x for x in t if "<Stop" in x]) <= 3 for t in texts)
+    assert sorted(int(r["point"]) for r in netex.pattern_stops(spark, path).collect()) == list(range(20))

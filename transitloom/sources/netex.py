@@ -15,6 +15,12 @@ def elements(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame
     return spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", True).schema(schema).load(path)
 
 
+def mentions(spark: SparkSession, path: str, tag: str) -> bool:
+    """Whether a document's text holds the name of an element that begins: far cheaper than a search for its elements."""
+    pieces = spark.read.option("lineSep", ">").text(path)
+    return not pieces.where(F.col("value").contains(tag) & F.col("value").rlike(f"<([^<>/\\s]+:)?{tag}(\\s|/|$)")).isEmpty()
+
+
 def iso_date(c: Column) -> Column:
     """The date that begins an ISO date or time; null otherwise."""
     return F.try_to_date(F.nullif(F.regexp_extract(F.trim(c), r"^(\d{4}-\d{2}-\d{2})", 1), F.lit("")), "yyyy-MM-dd")
@@ -89,8 +95,8 @@ def routes(spark: SparkSession, path: str, agency: str) -> DataFrame:
         short = F.coalesce(F.nullif(F.trim("PublicCode"), F.lit("")), name) if tag == "Line" else name
         return e.select(F.col("_id").alias("route_id"), F.lit(agency).alias("agency_id"), F.left(short, F.lit(50)).alias("route_short_name"), F.left(name, F.lit(1000)).alias("route_long_name"), F.lit(2).alias("route_type"))
 
-    lines = of("Line").dropDuplicates(["route_id"])
-    return of("Route").dropDuplicates(["route_id"]) if lines.isEmpty() else lines
+    found = of("Line")
+    return (of("Route") if found.isEmpty() else found).dropDuplicates(["route_id"])
 
 
 def journeys(spark: SparkSession, path: str, route_table: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -99,7 +105,10 @@ def journeys(spark: SparkSession, path: str, route_table: DataFrame) -> tuple[Da
     A journey's route is its line, or else its route, if known, or else the first route; without a day type its service
     is ALL_DAYS.  Stops without any time or reference are left out; of one missing time the other is used.
     """
-    j = elements(spark, path, "ServiceJourney", JOURNEY).unionByName(elements(spark, path, "VehicleJourney", JOURNEY)).where("_id is not null")
+    j = elements(spark, path, "ServiceJourney", JOURNEY)
+    if mentions(spark, path, "VehicleJourney"):
+        j = j.unionByName(elements(spark, path, "VehicleJourney", JOURNEY))
+    j = j.where("_id is not null")
     known = route_table.select("route_id")
     fallback = known.agg(F.coalesce(F.min("route_id"), F.lit("UNKNOWN_ROUTE")).alias("fallback"))
     line, route = known.withColumnRenamed("route_id", "line"), known.withColumnRenamed("route_id", "route")
