@@ -90,25 +90,71 @@ def shortest_routes(edges: DataFrame, pairs: DataFrame, stride: float = STRIDE)
     return ends.join(ways, ["src", "trg"], "left").select("src", "trg", "length", F.when(F.col("length").isNotNull(), F.coalesce("edges", none)).alias("edges"))
 
 
+#: Nodes whose pairs among each other the driver looks at in a round.
+FRONT = 512
+
+
+def _front(ends: DataFrame, left: DataFrame) -> list:
+    """The nodes that the sequential rule serves next, in order, as far as the first `FRONT` nodes tell.
+
+    `ends` has node and n, less the number of its pairs.  Nodes behind the front only lose pairs, so the first of the front
+    is the first of all as long as it comes before the one that was first behind the front.
+    """
+    top = [(r["n"], r["node"]) for r in ends.orderBy("n", "node").limit(FRONT + 1).collect()]
+    behind = top[FRONT] if len(top) > FRONT else None
+    n = {node: k for k, node in top[:FRONT]}
+    some = left.sparkSession.createDataFrame([(node,) for node in n], ends.select("node").schema)
+    some = F.broadcast(some)  # FRONT rows
+    beside: dict = {node: [] for node in n}
+    for r in left.join(some.withColumnRenamed("node", "u"), "u", "left_semi").join(some.withColumnRenamed("node", "v"), "v", "left_semi").collect():
+        beside[r["u"]].append(r["v"])
+        beside[r["v"]].append(r["u"])
+    served = []
+    while n:
+        k, node = min((k, node) for node, k in n.items())
+        if k >= 0 or (behind is not None and (k, node) > behind):
+            break
+        served.append(node)
+        del n[node]
+        for other in beside[node]:
+            if other in n:
+                n[other] += 1
+    return served
+
+
 def oriented_pairs(pairs: DataFrame) -> DataFrame:
     """(u, v, src, trg): undirected pairs with one end as the source, so that few nodes are sources.
 
     The node with most pairs that have no source yet takes them all, the smallest of equals first, until none is left.  A
-    node that comes before all its neighbours takes its pairs before any of them can: their numbers only fall, and its own
-    falls by theirs alone.  So all such nodes are served in one round, with the result of the sequential rule.
+    round serves the nodes that come first of all, one after the other, as found among a front of bounded size; then those
+    that come before all their neighbours: a node's number of pairs only falls, so such a node takes its pairs before any
+    neighbour can.  Both have the result of the sequential rule.
     """
     left, done = staged(pairs.select("u", "v").where("u <> v").distinct(), "pairs"), None
+    count = lambda df: df.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg((-F.count("*")).alias("n"))
+
+    def turned(left: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs taken by the nodes of `first` (node, i), the smaller i first, and the others."""
+        a, b = first.select(F.col("node").alias("u"), F.col("i").alias("iu")), first.select(F.col("node").alias("v"), F.col("i").alias("iv"))
+        t = staged(left.join(a, "u", "left").join(b, "v", "left"), "turned")
+        own = F.col("iv").isNull() | (F.col("iu") < F.col("iv"))
+        source = F.coalesce(own & F.col("iu").isNotNull(), F.lit(False))
+        taken = t.where("iu is not null or iv is not null").select("u", "v", F.when(source, F.col("u")).otherwise(F.col("v")).alias("src"), F.when(source, F.col("v")).otherwise(F.col("u")).alias("trg"))
+        return taken, t.where("iu is null and iv is null").select("u", "v")
+
     while not left.isEmpty():
-        ends = left.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg((-F.count("*")).alias("n"))
+        ends = staged(count(left), "ends")
+        served = _front(ends, left)
+        order = left.sparkSession.createDataFrame(list(zip(served, range(len(served)), strict=True)), f"node {ends.schema['node'].dataType.simpleString()}, i int")
+        taken, left = turned(left, F.broadcast(order))
+        done = taken if done is None else done.unionByName(taken)
+        ends = count(left)
         rank = lambda side: ends.select(F.col("node").alias(side), F.struct("n", "node").alias(f"k{side}"))  # noqa: B023, E731
         ranked = staged(left.join(rank("u"), "u").join(rank("v"), "v"), "ranked")
         sides = ranked.select("ku", "kv").unionByName(ranked.select(F.col("kv").alias("ku"), F.col("ku").alias("kv")))
-        first = sides.groupBy("ku").agg(F.min("kv").alias("kv")).where("ku < kv").select(F.col("ku.node").alias("node"), F.lit(True).alias("takes"))
-        a, b = first.select(F.col("node").alias("u"), F.col("takes").alias("tu")), first.select(F.col("node").alias("v"), F.col("takes").alias("tv"))
-        turned = staged(ranked.select("u", "v").join(a, "u", "left").join(b, "v", "left"), "turned")
-        taken = turned.where("tu or tv").select("u", "v", F.when(F.col("tu"), F.col("u")).otherwise(F.col("v")).alias("src"), F.when(F.col("tu"), F.col("v")).otherwise(F.col("u")).alias("trg"))
-        done = taken if done is None else done.unionByName(taken)
-        left = turned.where("tu is null and tv is null").select("u", "v")
+        first = sides.groupBy("ku").agg(F.min("kv").alias("kv")).where("ku < kv").select(F.col("ku.node").alias("node"), F.lit(0).alias("i"))
+        taken, left = turned(ranked.select("u", "v"), first)
+        done = done.unionByName(taken)
         discard(ranked)
     return done if done is not None else left.select("u", "v", F.col("u").alias("src"), F.col("v").alias("trg"))
 
