@@ -67,3 +67,32 @@ def test_connecting(spark, grouped):
     assert got == {k: root[k] for pair in pairs for k in pair}
     # far fewer edges than the pairs of a crowd
     assert edges.count() < len(rows) + len(pairs) // 4
+
+
+@pytest.mark.parametrize("radius", [0.3, 1.0, 10.0])
+def test_greatest_within(spark, monkeypatch, radius):
+    monkeypatch.setattr(spatial, "BLOCK", 16)
+    rows = crowd(3, 700)
+    left = spark.createDataFrame(rows, "id int, x double, y double, g int").select((F.col("id") % 900).alias("node"), "x", "y")
+    right = spark.createDataFrame([(f"T{r[0] * 7 % 1009}" if r[0] % 50 else None, r[1], r[2]) for r in rows[::2]], "target string, rx double, ry double")
+    want = {}
+    places = [(t["target"], t["rx"], t["ry"]) for t in right.collect()]
+    for p in usable(rows):
+        near = [q[0] for q in usable(places) if distance(p, q) <= radius]
+        if near:
+            want.setdefault(p[0] % 900, []).extend(t for t in near if t is not None)
+    got = {r["node"]: r["target"] for r in spatial.greatest_within(left, right, radius, "node", "target").collect()}
+    assert got == {k: max(v, default=None) for k, v in want.items()} and len(got) > 600
+
+
+def test_a_crowd_of_stations_meets_few_airports(spark, monkeypatch):
+    """All of one place's pairs: none is made."""
+    from transitloom.operators import assembly
+
+    seen, real = [], spatial.staged
+    monkeypatch.setattr(spatial, "staged", lambda df, name="table": seen.append((name, t := real(df, name))) or t)
+    many = spark.range(2000).select(F.col("id").cast("string").alias("node_id"), (F.col("id") % 100).cast("double").alias("x"), F.floor(F.col("id") / 100).cast("double").alias("y"))
+    moved = assembly.merged_stations(many, many)
+    assert {r["target"] for r in moved.collect()} == {"999"} and moved.count() == 2000
+    assert [t.count() for name, t in seen if name == "found"] == [2000]
+    assert "ArrayFilter" not in moved._jdf.queryExecution().toString() and sum(name == "lists" for name, _ in seen) == 1

@@ -55,8 +55,7 @@ def station_kinds(links_: DataFrame) -> DataFrame:
 def merged_stations(stations: DataFrame, airports: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """(node, target): stations so near to an airport that they are one hub; of several airports the last id wins."""
     a = airports.select(F.col("node_id").alias("target"), F.col("x").alias("rx"), F.col("y").alias("ry"))
-    near = spatial.within_distance(stations.select(F.col("node_id").alias("node"), "x", "y"), a, params.airport_station_m)
-    return near.groupBy("node").agg(F.max("target").alias("target"))
+    return spatial.greatest_within(stations.select(F.col("node_id").alias("node"), "x", "y"), a, params.airport_station_m, "node", "target")
 
 
 def nodes(cities_: DataFrame, airports: DataFrame, stations: DataFrame, merged: DataFrame) -> DataFrame:

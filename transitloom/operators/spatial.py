@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transitloom.functions.geo import planar
-from transitloom.operators.rows import finite
+from transitloom.operators.rows import finite, union_all
 from transitloom.plans.staging import staged
 
 
@@ -37,6 +37,39 @@ def within_distance(left: DataFrame, right: DataFrame, radius: float, lx: str =
     return joined.where(F.col(distance) <= radius).drop("_cx", "_cy")
 
 
+#: Lists for `greatest_within` are cut into blocks of so many points at most.
+BLOCK = 1024
+
+
+def greatest_within(left: DataFrame, right: DataFrame, radius: float, key: str, value: str, lx: str = "x", ly: str = "y", rx: str = "rx", ry: str = "ry") -> DataFrame:
+    """(key, value): for each `key` of `left` the greatest `value` of `right` within `radius`; keys with none are left out.
+
+    Each cell lists the points of itself and the eight around it by descending value, so the first one near enough is the
+    answer, and a row of a crowd meets few points instead of all.  Lists are searched level by level, each level eight times
+    as long as the one before, by the rows that have found nothing yet.
+    """
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    # rows at one place count once
+    spots = right.where(finite(F.col(rx), F.col(ry))).groupBy(F.col(rx).cast("double").alias("rx"), F.col(ry).cast("double").alias("ry")).agg(F.max(value).alias("_v")).withColumn("_o", around)
+    spots = spots.select("rx", "ry", "_v", (_cell(F.col("rx"), radius) + F.col("_o.i")).alias("_cx"), (_cell(F.col("ry"), radius) + F.col("_o.j")).alias("_cy"))
+    ranked = spots.withColumn("_n", F.row_number().over(Window.partitionBy("_cx", "_cy").orderBy(F.desc_nulls_last("_v"), "rx", "ry")))
+    level = (F.floor(F.log(F.col("_n") + 7.0) / F.log(F.lit(8.0))) - 1).cast("int")  # the first 56 points, then 448, and so on
+    members = F.array_sort(F.collect_list(F.struct("_n", "_v", "rx", "ry"))).alias("_members")
+    lists = staged(ranked.groupBy("_cx", "_cy", level.alias("_level"), F.floor(F.col("_n") / BLOCK).alias("_block")).agg(members), "lists")
+    open_ = left.where(finite(F.col(lx), F.col(ly))).select(F.monotonically_increasing_id().alias("_id"), F.col(key), F.col(lx).alias("_x"), F.col(ly).alias("_y"), _cell(F.col(lx), radius).alias("_cx"), _cell(F.col(ly), radius).alias("_cy"))
+    open_ = staged(open_, "searching")
+    hit = F.get(F.filter("_members", lambda m: planar(F.col("_x"), F.col("_y"), m["rx"], m["ry"]) <= radius), F.lit(0))
+    found = []
+    for k in range((lists.agg(F.max("_level")).first()[0] or 0) + 1):
+        met = open_.join(lists.where(F.col("_level") == k), ["_cx", "_cy"]).withColumn("_hit", hit).where("_hit is not null")
+        found.append(staged(met.groupBy("_id", key).agg(F.min("_hit").alias("_hit")), "found"))
+        left_over = open_.join(found[-1].select("_id"), "_id", "left_anti")
+        open_ = staged(left_over.join(lists.where(F.col("_level") == k + 1).select("_cx", "_cy").distinct(), ["_cx", "_cy"], "left_semi"), "searching")
+        if open_.isEmpty():
+            break
+    return union_all(*found).groupBy(key).agg(F.max("_hit._v").alias(value))
+
+
 #: The search for the nearest begins in cells of so many points at most, in steps of STEP times the side, DEPTH steps deep.
 CROWD, STEP, DEPTH = 64, 4.0, 8
 
