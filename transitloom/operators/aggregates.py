@@ -17,10 +17,12 @@ def link_statistics(pairs: DataFrame, keys: Sequence[str], time: Column, total_d
 def weighted_link_statistics(pairs: DataFrame, keys: Sequence[str], time: str, weight: str, total_days: int) -> DataFrame:
     """The same for pairs that each stand for `weight` equal services: dates are never exploded.
 
-    Moments are weighted sums; the median is the weighted percentile.
+    Moments are weighted sums; the median is the weighted percentile.  Equal times are added up first, so no task sorts its
+    pairs for the percentile.
     """
-    t, w = F.col(time).cast("double"), F.col(weight)
-    sums = pairs.where(w > 0).groupBy(*keys).agg(F.sum(w).alias("nservices"), (F.sum(t * w) / F.sum(w)).alias("avg_time"), F.percentile(t, F.lit(0.5), w).alias("median_time"), F.sum(t * t * w).alias("_s2"), F.sum(t * w).alias("_s1"))
+    t, w = F.col("_t"), F.col("_w")
+    times = pairs.where(F.col(weight) > 0).groupBy(*keys, F.col(time).cast("double").alias("_t")).agg(F.sum(weight).alias("_w"))
+    sums = times.groupBy(*keys).agg(F.sum(w).alias("nservices"), (F.sum(t * w) / F.sum(w)).alias("avg_time"), F.percentile(t, F.lit(0.5), w).alias("median_time"), F.sum(t * t * w).alias("_s2"), F.sum(t * w).alias("_s1"))
     n = F.col("nservices")
     var = F.greatest(F.lit(0.0), (F.col("_s2") - F.col("_s1") * F.col("_s1") / n) / (n - 1))
     return sums.withColumn("std_time", F.when(n > 1, F.sqrt(var))).withColumn("avg_freq", n / total_days).drop("_s1", "_s2")

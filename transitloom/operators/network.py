@@ -140,17 +140,27 @@ def harmonised(line_table: DataFrame, operators: DataFrame, kept: DataFrame, loc
 
 def operator_pairs(line_table: DataFrame, segment_lengths: DataFrame, local: str = ".Local") -> DataFrame:
     """(src, trg, rail, operator, dist, n_lines, intercity): median length along the lines' segments of all downstream
-    pairs; null if any segment's length is missing for all lines."""
-    legs = line_table.where(F.col("operator") != local).select("line", "rail", "operator", "intercity", F.posexplode("stns").alias("pos", "stn"))
-    w = Window.partitionBy("line").orderBy("pos")
-    legs = legs.withColumn("prev", F.lag("stn").over(w)).join(segment_lengths.select(F.col("src").alias("prev"), F.col("trg").alias("stn"), "rail", "len_km"), ["prev", "stn", "rail"], "left")
+    pairs; null if any segment's length is missing for all lines.
+
+    One sort by line gives each stop those after it, and equal distances are counted before medians are taken: no task sorts
+    or holds the pairs of its lines.
+    """
+    steps = F.transform("stns", lambda x, i: F.struct(F.get("stns", i - 1).alias("prev"), x.alias("stn")))
+    legs = line_table.where(F.col("operator") != local).select("line", "rail", "operator", "intercity", F.posexplode(steps).alias("pos", "e")).select("line", "rail", "operator", "intercity", "pos", "e.prev", "e.stn")
+    legs = legs.join(segment_lengths.select(F.col("src").alias("prev"), F.col("trg").alias("stn"), "rail", "len_km"), ["prev", "stn", "rail"], "left")
     legs = legs.withColumn("len_km", F.when(F.col("pos") == 0, 0.0).otherwise(F.col("len_km")))
     c = sequences.cumulative_pairs(legs, "line", "pos", "len_km")
-    a = c.select("line", "rail", "operator", "intercity", F.col("stn").alias("src"), F.col("pos").alias("i"), F.col("cum").alias("ca"), F.col("missing").alias("ma"))
-    b = c.select("line", F.col("stn").alias("trg"), F.col("pos").alias("j"), F.col("cum").alias("cb"), F.col("missing").alias("mb"))
-    p = keep_first(a.join(b, "line").where("i < j and src <> trg"), ["line", "src", "trg"], [F.col("i"), F.col("j")])
-    p = p.withColumn("dist", F.when(F.col("ma") == F.col("mb"), F.col("cb") - F.col("ca")))
-    return p.groupBy("src", "trg", "rail", "operator").agg(F.median("dist").alias("dist"), F.count("*").alias("n_lines"), F.max("intercity").alias("intercity"))
+    w = Window.partitionBy("line").orderBy("pos")
+    at = F.struct("stn", "cum", "missing")
+    before = F.collect_list("stn").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.collect_list(at).over(w.rowsBetween(1, Window.unboundedFollowing))
+    # the first pair of two stations is from the first visit of one to the next visit of the other
+    p = c.select("rail", "operator", "intercity", at.alias("a"), before.alias("before"), after.alias("after")).where(~F.array_contains("before", F.col("a.stn")))
+    p = p.select("rail", "operator", "intercity", "a", F.transform("after", lambda x: x["stn"]).alias("stns"), F.posexplode("after").alias("j", "b"))
+    p = p.where((F.col("a.stn") != F.col("b.stn")) & (F.array_position("stns", F.col("b.stn")) == F.col("j") + 1))
+    p = p.select(F.col("a.stn").alias("src"), F.col("b.stn").alias("trg"), "rail", "operator", "intercity", F.when(F.col("a.missing") == F.col("b.missing"), F.col("b.cum") - F.col("a.cum")).alias("dist"))
+    n = p.groupBy("src", "trg", "rail", "operator", "dist").agg(F.count("*").alias("n"), F.max("intercity").alias("intercity"))
+    return n.groupBy("src", "trg", "rail", "operator").agg(F.percentile("dist", F.lit(0.5), F.col("n")).alias("dist"), F.sum("n").alias("n_lines"), F.max("intercity").alias("intercity"))
 
 
 def pt_links(timetable: DataFrame, journey_table: DataFrame, line_table: DataFrame, datesets: DataFrame, segment_lengths: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -160,8 +170,9 @@ def pt_links(timetable: DataFrame, journey_table: DataFrame, line_table: DataFra
     """
     pairs = sequences.timetable_pairs(timetable, "jrn", ["arr", "dep", "stn"], "stn", "arr", "dep")
     days = datesets.select("dateset", F.size("dates").cast("long").alias("days"))
-    j = journey_table.select(F.col("jrn").alias("trip"), "line", "dateset").join(days, "dateset")
-    full = pairs.join(j, "trip").join(line_table.where("operator <> '.Local'").select("line", "rail", "operator"), "line").withColumn("time", F.col("arr") - F.col("dep"))
+    # journeys find their lines before they meet the pairs, which so stay where their trips are
+    j = journey_table.select(F.col("jrn").alias("trip"), "line", "dateset").join(days, "dateset").join(line_table.where("operator <> '.Local'").select("line", "rail", "operator"), "line").select("trip", "rail", "operator", "days")
+    full = pairs.join(j, "trip").withColumn("time", F.col("arr") - F.col("dep"))
     keys = ["src", "trg", "rail", "operator"]
     return aggregates.weighted_link_statistics(full, keys, "time", "days", params.total_days).join(operator_pairs(line_table, segment_lengths), keys, "left")
 
