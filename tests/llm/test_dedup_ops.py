@@ -222,3 +222,20 @@ def test_line_dedup_odd_inputs(spark, odd, nothing):
     assert line_dedup.line_report(nothing).count() == 0
     after = line_dedup.dedup(odd, drop_emptied=True)
     assert after.columns == odd.columns and 8 not in {r["doc_id"] for r in after.collect()}
+
+
+def test_line_links_make_few_pairs_and_lose_none(spark):
+    """Lines that share rare words (each is in 40) without being similar make no pairs; similar ones share two links."""
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(400)]
+    texts = [" ".join([f"r{i % 50}", *rng.sample(common, 30)]) for i in range(2000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    shared = line_dedup.shared_links(line_dedup.lines(docs, line_dedup.word_ranks(docs)))
+    assert line_dedup.other_pairs(shared, spark.createDataFrame([], "doc_id long, line int")).count() == 0
+    rows = []
+    for n in range(1, 45):  # words lost, won and changed, up to the limit and one beyond it
+        base = [f"n{n}w{i}" for i in range(n)]
+        for k in (n // 9, n // 9 + 1, n // 5, n // 5 + 1):
+            lost = set(rng.sample(range(n), min(k, n)))
+            rows.append((len(rows), "\n".join(" ".join(w) for w in (base, [w for i, w in enumerate(base) if i not in lost], [f"x{n}y{k}z{i}" if i in lost else w for i, w in enumerate(base)], base + [f"e{n}y{k}z{i}" for i in range(k)]))))
+    check_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows)

@@ -5,15 +5,20 @@ earlier line of any document, as given in the input, has a Jaccard similarity of
 
 Words become 64-bit hashes whose first bits are replaced by the rarity rank of their bucket, over counts of all words
 of the corpus, so that sorting a set puts rare words first; the replacement is one to one.  Equal sets are found by
-their hash, size and parity sketch and keep their first position; only that one is compared with other sets.  Two sets
-with a similarity of 4/5 share one of the first n / 5 + 1 words of each (prefix filter); sizes must be within 4/5 (length
-filter), and the first shared word must leave enough words after it in both (positional filter).  Parity sketches, which
-never differ more than the sets do, reject most other pairs first.  Each set is first compared with the earliest set of
-its size class that shares a prefix word, which settles members of large groups with one comparison; only sets that stay
-unmatched are compared with all their other candidates.  Similarities are verified on whole sets.
+their hashes and size and keep their first position; only that one is compared with other sets.
 
-Where only some documents are needed, a bitmap of fixed size keeps most others out of the shuffle; a full bitmap costs
-time but loses nothing.
+Two neighbours in a sorted set are a link.  Of sets of x and y words with o in common, a word that is missing from the
+other set breaks two of its links and one of the other's, so 2 (x - o) + (y - o) links of x at most are not links of y.
+A similarity of 4/5 needs 9 o >= 4 (x + y) and 5 y >= 4 x, which makes these 2 x / 5 at most.  All sets of four words or
+more have two links more than that, so two similar sets share two of the first 2 n / 5 + 2 links of each (prefix
+filter); sizes must be within 4/5 (length filter), and parity sketches, which never differ more than the sets do, must be
+close.  Links are far rarer than words, so that most belong to one set only
+and end there.  Each set is first compared with the earliest set that shares a link, which settles members of
+large groups with few comparisons; only sets that stay unmatched are compared with all their other candidates.
+Similarities are verified on the words of the lines.
+
+Where only some lines or documents are needed, a bitmap of fixed size keeps most others out of the shuffle; a full
+bitmap costs time but loses nothing.
 
 Null texts have no lines and stay as they are, as do rows with a null doc_id, which match nothing.  Lines without words
 stay.  Rows of the same doc_id are one document with the same positions, and do not remove each other's lines at equal
@@ -32,8 +37,6 @@ from transitloom.plans.staging import discard, staged
 
 #: Words are counted in 2**BUCKET_BITS counters, by the first bits of their hashes.
 BUCKET_BITS = 16
-#: Lines of more distinct words have a second sketch word.
-ONE_WORD = 64
 
 
 def _bucket(h: Column) -> Column:
@@ -56,8 +59,13 @@ def word_ranks(docs: DataFrame) -> str:
 def sorted_words(line: Column, ranks: str) -> Column:
     """The line's distinct words as longs, rarest first."""
     table = F.split(F.lit(ranks), ",").cast("array<int>")  # a constant, folded before the plan runs
-    hashes = F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(hashes, lambda h: h.bitwiseXOR(F.shiftleft(F.get(table, _bucket(h)).cast("long"), 64 - BUCKET_BITS))))
+
+    def key(w: Column) -> Column:
+        h = F.xxhash64(w)
+        # Never null: arrays of plain longs are sorted without objects.
+        return h.bitwiseXOR(F.shiftleft(F.coalesce(F.get(table, _bucket(h)), F.lit(0)).cast("long"), 64 - BUCKET_BITS))
+
+    return F.sort_array(F.array_remove(F.array_distinct(F.transform(F.split(line, " "), key)), key(F.lit(""))))
 
 
 def _parities(keys: Column) -> Column:
@@ -67,24 +75,24 @@ def _parities(keys: Column) -> Column:
 
 
 def lines(docs: DataFrame, ranks: str) -> DataFrame:
-    """doc_id, line, n (words), sid (hash of the set), sketch (parities of all words), sketch2 (of lines of more than
-    ONE_WORD words: parities of about half of them, else 0) and prefix (the words of which a match must share one) of every line."""
+    """doc_id, line, n (words), sid and sid2 (hashes of the set), sketch (parities of all words) and prefix (first halves of
+    the words in whose links a match must share two) of every line."""
     every = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).where("trim(t) <> ''")
     keyed = every.select("doc_id", "line", sorted_words(F.col("t"), ranks).alias("keys"))
-    half = F.filter("keys", lambda h: h.bitwiseAND(F.lit(64)) != 0)
-    second = F.when(F.size("keys") > ONE_WORD, _parities(half)).otherwise(F.lit(0).cast("long"))
     # Below four words only equal sets are similar enough.
-    prefix = F.when(F.size("keys") >= 4, F.slice("keys", F.lit(1), (F.size("keys") / 5).cast("int") + 1)).otherwise(F.array().cast("array<long>"))
-    return keyed.select("doc_id", "line", F.size("keys").alias("n"), F.xxhash64("keys").alias("sid"), _parities(F.col("keys")).alias("sketch"), second.alias("sketch2"), prefix.alias("prefix"))
+    words = F.when(F.size("keys") >= 4, F.slice("keys", F.lit(1), F.floor(F.size("keys") * 2 / 5).cast("int") + 3)).otherwise(F.array().cast("array<long>"))
+    prefix = F.transform(words, lambda k: F.shiftright(k, 32).cast("int"))
+    return keyed.select("doc_id", "line", F.size("keys").alias("n"), F.xxhash64("keys").alias("sid"), F.hash("keys").alias("sid2"), _parities(F.col("keys")).alias("sketch"), prefix.alias("prefix"))
 
 
-def first_of_equals(all_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The lines at the first position of each set, and (doc_id, line) of the others; `all_lines` is discarded.
+def first_of_equals(all_lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The lines at the first position of each set, (doc_id, line) of the others, and the staged table that both read
+    besides `all_lines`.
 
-    Sets count as equal where their hashes, sizes and sketches are.  Only lines that a bitmap does not rule out are
+    Sets count as equal where their hashes and sizes are.  Only lines that a bitmap does not rule out are
     shuffled; sets that make up a thousandth of all lines or more, so at most a thousand, are broadcast instead.
     """
-    key = ["sid", "n", "sketch"]
+    key = ["sid", "sid2", "n"]
     at = F.struct("doc_id", "line")
     again = all_lines.groupBy(*key).agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("c"))
     again = staged(again.where("first <> last").drop("last"), "again")
@@ -94,93 +102,76 @@ def first_of_equals(all_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     some = all_lines.where(repeated.has("sid"))
     marked = staged(some.join(hot, key).unionByName(some.join(hot, key, "left_anti").join(cold, key, "left"), allowMissingColumns=True), "marked")
     copy = F.col("first").isNotNull() & (F.col("first") != at)
-    firsts = staged(all_lines.where(~repeated.has("sid")).unionByName(marked.where(~copy).drop("first")).drop("sid"), "firsts")
-    copies = staged(marked.where(copy).select("doc_id", "line"), "copies")
-    discard(all_lines, again, marked)
-    return firsts, copies
-
-
-def verified(docs: DataFrame, pairs: DataFrame, ranks: str) -> DataFrame:
-    """(doc_id, line) of the y in pairs (y, x) that are similar, compared on whole sets."""
-    need = staged(pairs.select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line")).unionByName(pairs.select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line"))).distinct(), "need")
-    by_doc = need.groupBy("doc_id").agg(F.collect_set("line").alias("wanted"))
-    some = docs.select("doc_id", "text").where(Bitmap(by_doc).has()).join(by_doc, "doc_id")
-    found = some.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"), "wanted").where("array_contains(wanted, line)")
-    sets = staged(found.select("doc_id", "line", sorted_words(F.col("t"), ranks).alias("keys")), "sets")
-    side = lambda s: sets.select(*[F.col(c).alias(f"{s}_{c.replace('doc_id', 'doc')}") for c in sets.columns])
-    both = pairs.join(side("y"), ["y_doc", "y_line"]).join(side("x"), ["x_doc", "x_line"]).withColumn("common", F.size(F.array_intersect("x_keys", "y_keys")))
-    found = staged(both.where("5 * common >= 4 * (size(x_keys) + size(y_keys) - common)").select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line")).distinct(), "matched")
-    discard(sets, need)
-    return found
+    firsts = all_lines.where(~repeated.has("sid")).unionByName(marked.where(~copy).drop("first")).drop("sid", "sid2")
+    discard(again)
+    return firsts, marked.where(copy).select("doc_id", "line"), marked
 
 
-#: A pair may be similar: its sketches, sizes and the words from the first common one on allow it, and x is earlier.
-#: The first test rejects most pairs, so it stands first.  Without `coalesce` the optimizer would add filters to one reader
-#: of the entries, which then needs a shuffle of its own.
-_PARITY = "bit_count(x_sketch ^ y_sketch)"
-_PARITY_2 = f"if(x_n > {ONE_WORD} and y_n > {ONE_WORD}, bit_count(x_sketch ^ x_sketch2 ^ y_sketch ^ y_sketch2) + bit_count(x_sketch2 ^ y_sketch2), 0)"
-_MAY = f"""coalesce(9 * {_PARITY} <= x_n + y_n and (x_doc < y_doc or x_doc = y_doc and x_line < y_line)
-    and 5 * x_n >= 4 * y_n and 5 * y_n >= 4 * x_n
-    and 9 * least(x_n - x_i, y_n - y_i) >= 4 * (x_n + y_n) and 9 * {_PARITY_2} <= x_n + y_n, false)"""
 _PAIR = ["y_doc", "y_line", "x_doc", "x_line"]
 
 
-def _entries(some_lines: DataFrame) -> DataFrame:
-    """token, doc, at (line and place of the word), n and sketches of each prefix word."""
-    # The outer form, with the filter stated, gets no filters of its own from the optimizer: all readers share one shuffle.
-    each = some_lines.select("doc_id", "line", "n", "sketch", "sketch2", F.posexplode_outer("prefix").alias("i", "token"))
-    return each.where("token is not null").selectExpr("token", "doc_id as doc", "shiftleft(cast(line as long), 32) | cast(i as long) as at", "n", "sketch", "sketch2")
-
-
-def _side(entries: DataFrame, s: str) -> DataFrame:
-    """Entries with their packed numbers unpacked, columns named for one side of a pair."""
-    number = {"line": "shiftright(at, 32)", "i": f"at & {(1 << 32) - 1}"}
-    return entries.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("doc", "n", "sketch", "sketch2")], *[F.expr(f"cast({e} as int)").alias(f"{s}_{k}") for k, e in number.items()])
-
-
-def candidates(first_lines: DataFrame) -> DataFrame:
-    """Pairs (y, x) of positions of different sets that may be similar, x earlier: with `led` the earliest set of y's
-    size class that may be, else all others that may be.
-
-    One shuffle by prefix word serves the leaders and both sides of the self-join.
-    """
+def shared_links(first_lines: DataFrame) -> DataFrame:
+    """link, doc, line, n and sketch of each prefix link of more than one set, and those of the earliest set of the link."""
     from pyspark.sql import Window
 
-    entries = _entries(first_lines).repartition("token")
-    w = Window.partitionBy("token", "size_class")
-    y = _side(entries, "y").withColumn("size_class", F.floor(F.log("y_n") / float(np.log(1.25))))
-    leader = F.min(F.struct(*[F.col(f"y_{c}").alias(f"x_{c}") for c in ("doc", "line", "n", "i", "sketch", "sketch2")])).over(w)
-    own = ["token", *[f"y_{c}" for c in ("doc", "line", "n", "i", "sketch", "sketch2")]]
-    led = y.withColumn("l", leader).select(*own, "l.*").withColumn("led", F.expr(_MAY))
-    mine = led.where("led").select(*_PAIR, "led")
-    rest = led.where("not led").select(*own, "led").join(_side(entries, "x"), "token").where(_MAY).select(*_PAIR, "led")
-    return mine.unionByName(rest)
-
-
-def other_candidates(first_lines: DataFrame, open_lines: DataFrame) -> DataFrame:
-    """All pairs (y, x) that may be similar of the y in `open_lines` (doc_id, line)."""
-    own = first_lines.join(open_lines, ["doc_id", "line"], "left_semi")
-    mine = staged(_entries(own), "open")
-    others = _entries(first_lines).where(Bitmap(mine.select("token"), "token").has("token"))
-    return _side(mine, "y").join(_side(others, "x"), "token").where(_MAY).select(*_PAIR).distinct()
+    each = first_lines.select("doc_id", "line", "n", "sketch", "prefix", F.posexplode("prefix").alias("i", "a")).where("i + 1 < size(prefix)")
+    entries = each.selectExpr(f"shiftleft(cast(a as long), 32) | (prefix[i + 1] & {(1 << 32) - 1}) as link", "doc_id as doc", "shiftleft(cast(line as long), 32) | n as at", "sketch")
+    same = Window.partitionBy("link")
+    # Two windows of one sort: the second meets only what the first leaves.
+    found = entries.withColumn("c", F.count("*").over(same)).where("c > 1").withColumn("lead", F.min(F.struct("doc", "at", "sketch")).over(same))
+    number = lambda c: [f"cast(shiftright({c}, 32) as int)", f"cast({c} & {(1 << 32) - 1} as int)"]
+    names = ["line", "n", "lead_line", "lead_n"]
+    return found.selectExpr("link", "doc", "sketch", "lead.doc as lead_doc", "lead.sketch as lead_sketch", *[f"{e} as {c}" for c, e in zip(names, number("at") + number("lead.at"), strict=True)])
+
+
+def _sharing_two(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy(*_PAIR).count().where("count > 1").drop("count")
+
+
+def led_pairs(shared: DataFrame) -> DataFrame:
+    """Pairs (y, x) of positions of sets that may be similar, where x is the earliest set of links they share."""
+    return _sharing_two(shared.where("(lead_doc < doc or lead_doc = doc and lead_line < line) and 5 * n >= 4 * lead_n and 5 * lead_n >= 4 * n and 9 * bit_count(sketch ^ lead_sketch) <= n + lead_n").selectExpr("doc as y_doc", "line as y_line", "lead_doc as x_doc", "lead_line as x_line"))
+
+
+def other_pairs(shared: DataFrame, matched: DataFrame) -> DataFrame:
+    """All pairs (y, x) of positions of sets that may be similar, x earlier, of the y that are not in `matched`."""
+    side = lambda t, s: t.select("link", *[F.col(c).alias(f"{s}_{c}") for c in ("doc", "line", "n", "sketch")])
+    known = matched.select(F.col("doc_id").alias("doc"), "line")
+    y = side(shared.join(known, ["doc", "line"], "left_anti"), "y")
+    return _sharing_two(y.join(side(shared, "x"), "link").where("(x_doc < y_doc or x_doc = y_doc and x_line < y_line) and 5 * x_n >= 4 * y_n and 5 * y_n >= 4 * x_n and 9 * bit_count(x_sketch ^ y_sketch) <= x_n + y_n"))
+
+
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_id, line) of the y in pairs (y, x) that are similar, compared on their words."""
+    place = F.xxhash64("doc_id", "line")
+    need = staged(pairs.selectExpr("y_doc as doc_id", "y_line as line").unionByName(pairs.selectExpr("x_doc as doc_id", "x_line as line")).distinct().withColumn("place", place), "need")
+    every = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    some = every.where(Bitmap(need, "place").has_value(place)).join(need.drop("place"), ["doc_id", "line"], "left_semi")
+    texts = staged(some, "texts")
+    side = lambda s: texts.selectExpr(f"doc_id as {s}_doc", f"line as {s}_line", f"t as {s}_t")
+    words = lambda c: F.array_remove(F.array_distinct(F.split(c, " ")), "")
+    both = pairs.join(side("y"), ["y_doc", "y_line"]).join(side("x"), ["x_doc", "x_line"]).select("y_doc", "y_line", words("x_t").alias("x"), words("y_t").alias("y"))
+    similar = both.withColumn("common", F.size(F.array_intersect("x", "y"))).where("9 * common >= 4 * (size(x) + size(y))")
+    found = staged(similar.select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line")).distinct(), "matched")
+    discard(need, texts)
+    return found
 
 
 def later_matches(docs: DataFrame) -> DataFrame:
     """(doc_id, line) of every line that is removed."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranks = word_ranks(docs)
-    all_lines = staged(lines(docs, ranks), "lines")
-    firsts, copies = first_of_equals(all_lines)
-    found = staged(candidates(firsts).distinct(), "pairs")
-    matched = verified(docs, found.where("led").select(*_PAIR), ranks)
-    rest = found.where("not led").join(matched.select(F.col("doc_id").alias("y_doc"), F.col("line").alias("y_line")), ["y_doc", "y_line"], "left_anti")
-    second = verified(docs, rest.select(*_PAIR), ranks)
-    still = found.where("led").select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line")).distinct()
-    still = staged(still.join(matched.unionByName(second), ["doc_id", "line"], "left_anti"), "open")
-    more = staged(other_candidates(firsts, still).join(found.select(*_PAIR), _PAIR, "left_anti"), "pairs")
-    third = verified(docs, more, ranks)
-    removed = staged(copies.unionByName(matched).unionByName(second).unionByName(third).distinct(), "removed")
-    discard(firsts, copies, found, still, more, matched, second, third)
+    all_lines = staged(lines(docs, word_ranks(docs)), "lines")
+    firsts, copies, marked = first_of_equals(all_lines)
+    shared = staged(shared_links(firsts), "shared")
+    copies = staged(copies, "copies")
+    discard(all_lines, marked)
+    led = staged(led_pairs(shared), "pairs")
+    matched = verified(docs, led)
+    rest = staged(other_pairs(shared, matched).join(led, _PAIR, "left_anti"), "pairs")
+    discard(shared, led)
+    second = verified(docs, rest)
+    removed = staged(copies.unionByName(matched).unionByName(second).distinct(), "removed")
+    discard(copies, rest, matched, second)
     return removed
 
 
