@@ -1,8 +1,11 @@
 """Members and documents are read no more often than needed, and documents stay small."""
 
+import io
+import zipfile
+
 import pyspark.sql.functions as F
 
-from transitloom.plans import queries_feeds
+from transitloom.plans import catalogue, queries_feeds
 from transitloom.sources import export, gtfs, netex
 
 
@@ -44,3 +47,30 @@ def test_documents_stay_small(spark, monkeypatch):
     texts = [r["value"].split() for r in spark.read.text(path, wholetext=True).collect()]
     assert len(texts) == 8 and all(t[0] == "<PublicationDelivery>" and t[-1] == "</PublicationDelivery>" and len([x for x in t if "<Stop" in x]) <= 3 for t in texts)
     assert sorted(int(r["point"]) for r in netex.pattern_stops(spark, path).collect()) == list(range(20))
+
+
+def test_routes_need_no_sequences(spark, sf_dir, monkeypatch):
+    """Routes of feeds with trips are found without sequences of trips, ids of dates or numbers of either."""
+
+    def none(*a, **k):
+        raise AssertionError("a sequence is numbered")
+
+    whole = gtfs.normalised(queries_feeds.archives(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")))["routes"]
+    want = sorted(tuple(map(str, r)) for r in whole.select("fid", "route_id", "name", "agency", "tz", "mode_id").collect())
+    monkeypatch.setattr(gtfs, "surrogate_key", none)
+    monkeypatch.setattr(gtfs.calendar, "datesets", none)
+    routes = catalogue.QUERIES["feed_routes"](spark, sf_dir)
+    assert "collect_list" not in routes._jdf.queryExecution().toString()
+    assert sorted(tuple(map(str, r)) for r in routes.collect()) == want and want
+
+
+def test_ragged_lines_and_empty_cells(spark):
+    body = 'b, a,c\n1,"x, ""y""",3,4\n\n2\n3,,""\n'
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("in/t.csv", body.encode())
+        z.writestr("empty.txt", "")
+        z.writestr("head.txt", "a\n")
+    feeds = spark.createDataFrame([("f", held.getvalue()), ("g", b"no archive"), ("h", None)], "fid string, content binary")
+    assert sorted(map(tuple, gtfs.read_table(feeds, "t", ["a", "c", "none", "b"]).collect()), key=lambda r: r[4]) == [("f", 'x, "y"', "3", None, "1"), ("f", None, None, None, "2"), ("f", None, None, None, "3")]
+    assert gtfs.read_table(feeds, "empty", ["a"]).count() == gtfs.read_table(feeds, "head", ["a"]).count() == 0

@@ -7,10 +7,12 @@ import io
 import os
 import tempfile
 import zipfile
-from itertools import groupby
+from itertools import groupby, pairwise
 from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -180,9 +182,18 @@ def archives(tables: dict[str, DataFrame]) -> DataFrame:
         part = df.where("fid is not null").select("fid", F.lit(k).alias("k"), F.to_csv(F.struct(*[F.col(f"`{c}`").cast("string") for c in columns]), options).alias("line"))
         lines = part if lines is None else lines.union(part)
 
+    def runs(batches):
+        """(fid, k, text) of the lines of a batch that belong to one member."""
+        for b in batches:
+            fids, k, text = b.columns
+            place = fids.dictionary_encode().indices.to_numpy()
+            starts = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (np.diff(k.to_numpy()) != 0)))[: b.num_rows]
+            whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([*starts, b.num_rows], pa.int32()), text.cast(pa.string())), "\n")
+            for i, lines in zip(starts.tolist(), whole.to_pylist(), strict=True):
+                yield fids[i].as_py(), k[i].as_py(), lines
+
     def run(batches):
-        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        for fid, own in groupby(rows, key=itemgetter(0)):
+        for fid, own in groupby(runs(batches), key=itemgetter(0)):
             held = io.BytesIO()
             with zipfile.ZipFile(held, "w") as archive:
                 for k, member in groupby(own, key=itemgetter(1)):
@@ -190,8 +201,8 @@ def archives(tables: dict[str, DataFrame]) -> DataFrame:
                     entry.compress_type = zipfile.ZIP_DEFLATED
                     with archive.open(entry, "w", force_zip64=True) as raw:
                         raw.write(f"{headers[k]}\n".encode())
-                        for _, _, line in member:
-                            raw.write(f"{line}\n".encode())
+                        for _, _, text in member:
+                            raw.write(f"{text}\n".encode())
             yield pa.record_batch([pa.array([fid]), pa.array([held.getvalue()])], names=["fid", "content"])
 
     return lines.repartition("fid").sortWithinPartitions("fid", "k", "line").mapInArrow(run, "fid string, content binary")

@@ -9,8 +9,10 @@ import csv
 import io
 import zipfile
 from collections.abc import Sequence
+from itertools import islice, zip_longest
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from transitloom.functions.text import blank_to, is_digits, strip_chars
 from transitloom.functions.times import clock_seconds
 from transitloom.operators import calendar
 from transitloom.operators.rows import surrogate_key
-from transitloom.operators.sequences import ordered_list, relative
+from transitloom.operators.sequences import relative
 from transitloom.params import DEFAULTS, Params
 from transitloom.plans.staging import staged
 
@@ -41,7 +43,7 @@ def read_table(feeds: DataFrame, table: str, columns: Sequence[str]) -> DataFram
     schema = ", ".join(f"`{c}` string" for c in ("fid", *columns))
     names = ["fid", *columns]
 
-    def run(batches):
+    def parts(batches):
         for batch in batches:
             for fid, content in zip(batch.column("fid").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 try:
@@ -55,19 +57,22 @@ def read_table(feeds: DataFrame, table: str, columns: Sequence[str]) -> DataFram
                     reader = csv.reader(io.TextIOWrapper(raw, encoding="utf-8-sig", errors="replace", newline=""))
                     header = [h.strip() for h in next(reader, [])]
                     place = [header.index(c) if c in header else None for c in columns]
-                    rows: list[list] = []
-
-                    def batch_of():
-                        return pa.record_batch([pa.array([fid] * len(rows)), *[pa.array([r[i] for r in rows], pa.string()) for i in range(len(columns))]], names=names)
+                    while block := list(islice(reader, ROWS)):
+                        lines = [line for line in block if line]
+                        cells = list(zip_longest(*lines, fillvalue=""))
+                        texts = [pa.array(cells[i], pa.string()) if i is not None and i < len(cells) else pa.nulls(len(lines), pa.string()) for i in place]
+                        yield pa.record_batch([pa.repeat(pa.scalar(fid, pa.string()), len(lines)), *[pc.if_else(pc.equal(x, ""), pa.scalar(None, pa.string()), x) for x in texts]], names=names)
 
-                    for line in reader:
-                        if line:
-                            rows.append([line[p] if p is not None and p < len(line) and line[p] != "" else None for p in place])
-                        if len(rows) >= ROWS:
-                            yield batch_of()
-                            rows = []
-                    if rows:
-                        yield batch_of()
+    def run(batches):
+        held, n = [], 0
+        for part in parts(batches):
+            held.append(part)
+            n += part.num_rows
+            if n >= ROWS:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, n = [], 0
+        if n:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     return feeds.mapInArrow(run, schema)
 
@@ -111,28 +116,47 @@ def routes(feeds: DataFrame) -> DataFrame:
     return joined.select("fid", "route_id", name.alias("name"), blank_to(F.coalesce("agency_name", "only_name"), "Unknown").alias("agency"), F.coalesce("agency_timezone", "only_tz").alias("tz"), F.trim("route_type").cast("int").alias("mode_id"))
 
 
+def _active(feeds: DataFrame, params: Params, mode: str, shift_months: int) -> DataFrame:
+    """(service, date) of all feeds; a service is a struct of fid and service_id."""
+    cal = read_table(feeds, "calendar", ["service_id", *calendar.DAYS, "start_date", "end_date"])
+    extra = read_table(feeds, "calendar_dates", ["service_id", "date", "exception_type"])
+    key = F.struct("fid", "service_id")
+    return calendar.compile_services(cal.withColumn("service_id", key), extra.withColumn("service_id", key), params.calendar_start, params.calendar_end, mode, shift_months)
+
+
+def _times(feeds: DataFrame, params: Params) -> DataFrame:
+    """fid, trip_id, stop_id, pos, arr and dep of all stop times with a place and both times."""
+    times = read_table(feeds, "stop_times", ["trip_id", "stop_sequence", "stop_id", "arrival_time", "departure_time"])
+    times = times.select("fid", "trip_id", "stop_id", F.trim("stop_sequence").try_cast("int").alias("pos"), clock_seconds(F.col("arrival_time")).alias("arr"), clock_seconds(F.col("departure_time")).alias("dep"))
+    return times.where(F.col("pos") <= params.max_stop_sequence).na.drop(subset=["arr", "dep"])
+
+
+def used_routes(feeds: DataFrame, params: Params = DEFAULTS, mode: str = "set", shift_months: int = 0) -> DataFrame:
+    """The routes of `normalised` by themselves: no sequence is put together, sorted or numbered for them."""
+    route_table = staged(routes(feeds), "routes")
+    services = _active(feeds, params, mode, shift_months).select("service.fid", "service.service_id").distinct()
+    trips = read_table(feeds, "trips", ["trip_id", "route_id", "service_id"]).join(route_table.select("fid", "route_id"), ["fid", "route_id"], "left_semi").join(services, ["fid", "service_id"], "left_semi")
+    called = _times(feeds, params).select("fid", "trip_id", "stop_id").join(trips.select("fid", "trip_id", "route_id"), ["fid", "trip_id"]).select("fid", "route_id", "stop_id").distinct()
+    used = called.join(stops(feeds).select("fid", "stop_id"), ["fid", "stop_id"], "left_semi").select("fid", "route_id").distinct()
+    return route_table.join(used, ["fid", "route_id"], "left_semi")
+
+
 def normalised(feeds: DataFrame, params: Params = DEFAULTS, mode: str = "set", shift_months: int = 0) -> dict[str, DataFrame]:
     """Tables of all feeds: stops, routes, datesets, stop_seq, time_seq and trips, with repeated sequences stored once.
 
     Trips without an active date, without a known route or without usable stop times vanish; routes without trips too.
     """
     t = read_table(feeds, "trips", ["trip_id", "route_id", "service_id"])
-    cal = read_table(feeds, "calendar", ["service_id", *calendar.DAYS, "start_date", "end_date"])
-    extra = read_table(feeds, "calendar_dates", ["service_id", "date", "exception_type"])
-    key = F.struct("fid", "service_id")
-    active = calendar.compile_services(cal.withColumn("service_id", key), extra.withColumn("service_id", key), params.calendar_start, params.calendar_end, mode, shift_months)
-    dates, of = calendar.datesets(active)
+    dates, of = calendar.datesets(staged(_active(feeds, params, mode, shift_months), "active"))
     of = of.select("service.fid", "service.service_id", "dateset")
 
-    stop_table, route_table = stops(feeds), routes(feeds)
-    # members are read from their archives once: the tables below use these two several times
+    # members are read from their archives once: the tables below use these several times
+    stop_table, route_table = stops(feeds), staged(routes(feeds), "routes")
     trips = staged(t.join(route_table.select("fid", "route_id"), ["fid", "route_id"], "left_semi").join(of, ["fid", "service_id"]), "trips")
-    times = read_table(feeds, "stop_times", ["trip_id", "stop_sequence", "stop_id", "arrival_time", "departure_time"])
-    times = times.select("fid", "trip_id", "stop_id", F.trim("stop_sequence").try_cast("int").alias("pos"), clock_seconds(F.col("arrival_time")).alias("arr"), clock_seconds(F.col("departure_time")).alias("dep"))
-    times = times.where(F.col("pos") <= params.max_stop_sequence).na.drop(subset=["arr", "dep"])
-    times = times.join(stop_table.select("fid", "stop_id"), ["fid", "stop_id"], "left_semi").join(trips.select("fid", "trip_id"), ["fid", "trip_id"], "left_semi")
-    by_trip = times.groupBy("fid", "trip_id").agg(ordered_list(F.col("stop_id"), F.col("pos"), F.col("arr"), F.col("stop_id")).alias("stops"), ordered_list(F.col("arr"), F.col("pos"), F.col("arr"), F.col("stop_id")).alias("arr"), ordered_list(F.col("dep") - F.col("arr"), F.col("pos"), F.col("arr"), F.col("stop_id")).alias("wait"))
-    by_trip = staged(by_trip.select("fid", "trip_id", "stops", relative(F.col("arr")).alias("rel"), "wait", F.element_at("arr", 1).alias("start"), F.element_at("arr", -1).alias("end")), "by_trip")
+    times = _times(feeds, params).join(stop_table.select("fid", "stop_id"), ["fid", "stop_id"], "left_semi").join(trips.select("fid", "trip_id"), ["fid", "trip_id"], "left_semi")
+    call = F.struct("pos", "arr", "stop_id", (F.col("dep") - F.col("arr")).alias("wait"))
+    calls = times.groupBy("fid", "trip_id").agg(F.array_sort(F.collect_list(call)).alias("c"))
+    by_trip = staged(calls.select("fid", "trip_id", F.col("c.stop_id").alias("stops"), relative(F.col("c.arr")).alias("rel"), F.col("c.wait").alias("wait"), F.element_at("c.arr", 1).alias("start"), F.element_at("c.arr", -1).alias("end")), "by_trip")
     stop_seq = surrogate_key(by_trip.select("fid", "stops").distinct(), "stop_seq", ["fid", "stops"])
     time_seq = surrogate_key(by_trip.groupBy("fid", "rel").agg(F.min_by("wait", "trip_id").alias("wait")), "time_seq", ["fid", "rel"])
     used = trips.join(by_trip.select("fid", "trip_id"), ["fid", "trip_id"]).select("fid", "route_id").distinct()
